@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphnom.plans.shipping import ship_package
+
 #: The characters that separate words: space and U+0009 to U+000D. Nothing else does.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,3 +40,9 @@ def materialise(df: DataFrame) -> DataFrame:
 def hash_bucket(column: str, modulus: int):
     """crc32 of the column as text, modulo; null hashes as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with this package present on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import langid
+from .merkle import merkle_neighbours
 from .quality import quality
 
 
@@ -16,8 +18,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(C.table(spark, sf_dir, "documents"), trusted)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").withColumn("held_out", C.hash_bucket("doc_id", 4) == 2)
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_neighbours(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 #: Queries that SQL can express over whole tables.
