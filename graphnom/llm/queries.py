@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid
+from . import html_extract, langid, secrets, url_filter
 from .merkle import merkle_neighbours
 from .quality import quality
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(C.table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = C.table(spark, sf_dir, "labels").where("quality = 1")
     return quality(C.table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(C.table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").withColumn("held_out", C.hash_bucket("doc_id", 4) == 2)
     model = langid.train(docs.where("not held_out"))
@@ -28,10 +36,17 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_neighbours(C.table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(C.table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: Queries that SQL can express over whole tables.

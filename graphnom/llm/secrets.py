@@ -1,0 +1,109 @@
+"""Secret scan with built-in SQL functions only.
+
+Base kinds (assign, access, hex) are found by pattern in whole texts. The method looks at the corpus: every
+candidate value is hashed, and its hash is counted over distinct repositories and owners. A value that many
+of them hold is a widely copied example; one that few hold looks like a live credential of its owner. Beside
+the base kinds, long mixed tokens are candidates; those that are owner-specific are added as spans of kind
+`token`, those that are widely copied are not. Base spans are never dropped; each is told apart as live or
+example.
+
+Spans are code points, end exclusive. Starts come from the lengths of what lies between matches (split) and
+of the matches themselves (regexp_extract_all), so the scan stays inside the built-in functions.
+
+Defined cases: a null text is empty and has no spans; null repositories or owners count as one of their own
+name; repeated rows give repeated results, and copies in one repository count once; an empty table gives an
+empty result; extra columns are ignored, clashing names do no harm (working columns start with `_`).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+
+# The base kinds' patterns, and the least length of the group that counts.
+PATTERNS = [
+    ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 20),
+    ("hex", r"([0-9a-f]{24,})", 24),
+]
+#: What the method adds: long tokens that mix upper case, lower case and digits.
+TOKEN = r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z0-9+/_-]{28})(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])[A-Za-z0-9+/_-]{28,})"
+KINDS = ["assign", "access", "hex", "token"]
+#: A value found in so many distinct repositories, or with so many distinct owners, is an example.
+EXAMPLE_REPOSITORIES = 5
+EXAMPLE_OWNERS = 5
+SALTS = 16
+
+
+def spans_of(text: Column, kind: str, pattern: str, least: int) -> Column:
+    """array<struct<start, end, kind, value>> of the non-overlapping matches whose group is long enough."""
+    place = KINDS.index(kind)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    gaps = F.split(text, pattern, -1)
+    row = F.arrays_zip(whole.alias("w"), group.alias("g"), F.slice(gaps, F.lit(1), F.size(whole)).alias("p"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,place:int,value:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + F.length(x["p"])
+        end = begin + F.length(x["w"])
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(place).alias("place"), x["g"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    found = F.aggregate(row, start, step, lambda s: s["out"])
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,place:int,value:string>>"))
+
+
+def shown(spans: Column) -> Column:
+    """kind:start:end, comma-joined, of spans sorted by start, then kind, then end."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["place"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+
+
+def in_order(spans: Column) -> Column:
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.array_sort(keyed)
+
+
+def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in `keep`; _base and _all: sorted spans (start, place, end, value), live: whether the value
+    looks owner-specific, for each span of _all. owner: the column of owners (None: the repository)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = F.concat(*[spans_of(F.col("_text"), *p) for p in PATTERNS])
+    extra = spans_of(F.col("_text"), "token", TOKEN, 28)
+    who = F.coalesce(F.col(owner or repository).cast("string"), F.lit("\x00"))
+    found = docs.select(*keep, text.alias("_text"), F.coalesce(F.col(repository).cast("string"), F.lit("\x00")).alias("_repo"), who.alias("_owner"))
+    found = found.select(*keep, "_repo", "_owner", base.alias("_spans"), extra.alias("_extra"))
+    # a token that overlaps a base span is that span again
+    free = F.filter("_extra", lambda x: ~F.exists("_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    found = found.withColumn("_found", in_order(F.concat("_spans", free))).drop("_spans", "_extra")
+    found = C.materialise(found.withColumn("_row", F.monotonically_increasing_id()))
+    one = found.where(F.size("_found") > 0).select("_row", "_repo", "_owner", F.posexplode("_found").alias("_k", "_s"))
+    one = one.select("_row", "_repo", "_owner", "_k", F.xxhash64("_s.value", F.lit(1)).alias("_h1"), F.sha2("_s.value", 256).substr(1, 16).alias("_h2"))
+    held = one.groupBy("_h1", "_h2", "_repo", "_owner").agg(F.lit(1).alias("_n"))  # a value held a million times in one place is one row from here
+    spread = held.groupBy("_h1", "_h2").agg(F.count_distinct("_repo").alias("_repos"), F.count_distinct("_owner").alias("_owners"))
+    live = spread.select("_h1", "_h2", ((F.col("_repos") < EXAMPLE_REPOSITORIES) & (F.col("_owners") < EXAMPLE_OWNERS)).alias("_live"))
+    # a value that a third of all rows hold meets its verdict in SALTS tasks, not in one
+    live = live.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = one.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(live, ["_h1", "_h2", "_salt"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_live"))).alias("_lives"))
+    joined = found.join(judged, "_row", "left")
+    marked = F.transform("_found", lambda s, k: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(F.element_at("_lives", k), F.lit(False)).alias("live")))
+    joined = joined.select(*keep, F.when(F.size("_found") > 0, marked).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,value:string,live:boolean>>")).alias("_all"))
+    token = KINDS.index("token")
+    return joined.withColumn("_all", F.filter("_all", lambda s: (s["place"] < token) | s["live"])).withColumn("_base", F.filter("_all", lambda s: s["place"] < token))
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """Counts of each base kind, the base spans' digest, all spans, and how many are live or examples."""
+    r = scan(docs, **options)
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["place"] == KINDS.index(kind))).cast("long")
+    return r.select(
+        *[c for c in r.columns if not c.startswith("_")],
+        *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(shown(F.col("_base")), 256).alias("base_sha256"),
+        shown(F.col("_all")).alias("spans"),
+        F.size(F.filter("_all", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("_all", lambda s: ~s["live"])).cast("long").alias("n_example"),
+    )
