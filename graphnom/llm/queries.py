@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import html_extract, langid, secrets, url_filter
+from . import html_extract, langid, mixing, secrets, url_filter
 from .merkle import merkle_neighbours
 from .quality import quality
 
@@ -32,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_neighbours(C.table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
+    "op6_mixing": op6_mixing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_html_extraction": op10_html_extraction,
 }
