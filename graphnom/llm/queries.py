@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import html_extract, langid, mixing, secrets, url_filter
+from . import html_extract, langid, mixing, secret_scan, url_filter
 from .merkle import merkle_neighbours
 from .quality import quality
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(C.table(spark, sf_dir, "documents"))
+    return secret_scan.report(C.table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
