@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
+from . import ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
 from .merkle import merkle_neighbours
 from .quality import quality
 
@@ -44,6 +44,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(C.table(spark, sf_dir, "documents"), pieces.model_bytes())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").withColumn("held_out", C.hash_bucket("doc_id", 10) == 0)
+    return ctw.score(docs, "held_out", keep=("doc_id", "held_out"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_neighbours(C.table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_html_extraction": op10_html_extraction,
 }
