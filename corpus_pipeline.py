@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphnom.llm import common as C
+from graphnom.llm import mixing, near_dedup, pieces, secret_scan
 from graphnom.llm.quality import quality
 
 
@@ -16,8 +17,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, trusted, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.survivors(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by marks."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its ids, checked by decoding."""
+    return pieces.tokenize(docs, pieces.model_bytes(), keep=("doc_id", "lang", "source"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
+    ("tokenize", tokenize),
 ]
 
 #: The hashed n-gram model and the samplers have no SQL form; tests hold the run against a brute-force version.

@@ -46,3 +46,12 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with this package present on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+#: Columns that tell rows apart, where doc_id may be null or repeated: equal for equal rows only.
+ROW_KEY = ("_key_id", "_key_text")
+
+
+def row_key(docs: DataFrame) -> dict:
+    last = (1 << 63) - 1
+    return {"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_key_text": F.xxhash64("text", *[c for c in ("lang", "source") if c in docs.columns])}

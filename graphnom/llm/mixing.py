@@ -146,3 +146,11 @@ def mix(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_i
     out = rows.withColumn("_rank", rank).join(planned, ["_key", "size", "_slice"])
     times = F.col("times") + F.when(F.col("_rank") + F.col("_before") <= F.col("picked"), 1).otherwise(0)
     return out.select(*keep, "size", "source_size", "target", times.cast("int").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, source: str = "source", seed: int = SEED) -> DataFrame:
+    """docs as the mix takes them: each row as many times as it is taken."""
+    marked = docs.withColumns(C.row_key(docs))
+    taken = mix(marked, source, keep=C.ROW_KEY, seed=seed).groupBy(*C.ROW_KEY).agg(F.sum("times").cast("int").alias("_times"))
+    one = marked.join(taken.where("_times > 0"), list(C.ROW_KEY)).dropDuplicates(list(C.ROW_KEY))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

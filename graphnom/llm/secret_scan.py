@@ -35,6 +35,7 @@ KINDS = ["assign", "access", "hex", "token"]
 EXAMPLE_REPOSITORIES = 5
 EXAMPLE_OWNERS = 5
 SALTS = 16
+LIVE_MARK, EXAMPLE_MARK = "<SECRET>", "<EXAMPLE>"
 
 
 def spans_of(text: Column, kind: str, pattern: str, least: int) -> Column:
@@ -88,7 +89,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str | None = None,
     # a value that a third of all rows hold meets its verdict in SALTS tasks, not in one
     live = live.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = one.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(live, ["_h1", "_h2", "_salt"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_live"))).alias("_lives"))
-    joined = found.join(judged, "_row", "left")
+    # only rows with candidates go through the shuffle
+    with_some = found.where(F.size("_found") > 0).join(judged, "_row", "left")
+    joined = with_some.unionByName(found.where(F.size("_found") == 0).withColumn("_lives", F.lit(None).cast(judged.schema["_lives"].dataType)))
     marked = F.transform("_found", lambda s, k: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(F.element_at("_lives", k), F.lit(False)).alias("live")))
     joined = joined.select(*keep, F.when(F.size("_found") > 0, marked).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,value:string,live:boolean>>")).alias("_all"))
     token = KINDS.index("token")
@@ -107,3 +110,22 @@ def report(docs: DataFrame, **options) -> DataFrame:
         F.size(F.filter("_all", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("_all", lambda s: ~s["live"])).cast("long").alias("n_example"),
     )
+
+
+def redact(docs: DataFrame, **options) -> DataFrame:
+    """docs with every secret's value replaced by a mark that tells live ones from copied examples; n_chars, if
+    it is a column, is the new length."""
+    rows = scan(docs, keep=tuple(docs.columns), **options)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    values = F.array_sort(F.transform("_all", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["live"].alias("live"))))
+
+    def step(state: Column, s: Column) -> Column:
+        mark = F.when(s["live"], F.lit(LIVE_MARK)).otherwise(F.lit(EXAMPLE_MARK))
+        kept = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), mark)
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], kept).otherwise(state["out"]).alias("out"))
+
+    rebuilt = F.aggregate(values, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    out = rows.withColumn("text", F.when(F.size("_all") > 0, rebuilt).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
