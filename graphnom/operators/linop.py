@@ -1,0 +1,243 @@
+"""Matrix-free linear operators: an expression tree that compiles to joins and aggregates.
+
+A (block of) vector(s) is a table (id, col, x), zeros left out; a matrix is a table (i, j, v). Nothing is computed
+before an action asks for the result, so the products of a tree are planned together.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import graph
+
+SHOWN_CELLS = 10_000
+
+
+def unit_vectors(ids: DataFrame) -> DataFrame:
+    """ids: id. One column for each id."""
+    return ids.select("id", F.col("id").alias("col"), F.lit(1.0).alias("x"))
+
+
+class Operator:
+    """A linear map between the indices 0 to shape-1. Made of a function from vectors to vectors."""
+
+    def __init__(self, shape: tuple[int, int], apply: Callable[[DataFrame], DataFrame], transposed: Callable[[], Operator] | None = None):
+        self.shape, self._apply, self._transposed = shape, apply, transposed
+
+    def apply(self, x: DataFrame) -> DataFrame:
+        return self._apply(x.select("id", "col", "x"))
+
+    def transpose(self) -> Operator:
+        if self._transposed is None:
+            raise NotImplementedError("this operator has no transpose")
+        return self._transposed()
+
+    def __add__(self, other: Operator | float) -> Operator:
+        if not isinstance(other, Operator):  # a number is added to every entry
+            if self.shape[0] != self.shape[1]:
+                raise ValueError("a number can be added to square operators only")
+            return self + ones(self.shape[0], float(other))
+        if self.shape != other.shape:
+            raise ValueError(f"{self.shape} and {other.shape}")
+        return Operator(self.shape, lambda x: added(self.apply(x), other.apply(x)), lambda: self.transpose() + other.transpose())
+
+    __radd__ = __add__
+
+    def __neg__(self) -> Operator:
+        return self * -1.0
+
+    def __sub__(self, other: Operator | float) -> Operator:
+        return self + (-other)
+
+    def __mul__(self, other: Operator | float) -> Operator:
+        if isinstance(other, Operator):
+            if self.shape[1] != other.shape[0]:
+                raise ValueError(f"{self.shape} and {other.shape}")
+            return Operator((self.shape[0], other.shape[1]), lambda x: self.apply(other.apply(x)), lambda: other.transpose() * self.transpose())
+        c = float(other)
+        return Operator(self.shape, lambda x: self.apply(x).withColumn("x", F.col("x") * c), lambda: self.transpose() * c)
+
+    __rmul__ = __mul__
+
+    def get(self, spark, i: int, j: int) -> float:
+        unit = spark.createDataFrame([(j, 0, 1.0)], "id long, col long, x double")
+        row = self.apply(unit).where(F.col("id") == i).first()
+        return row.x if row else 0.0
+
+    def todense(self, spark) -> np.ndarray:
+        """For tests and small operators: every entry is collected."""
+        out = np.zeros(self.shape)
+        for r in self.apply(unit_vectors(spark.range(self.shape[1]))).collect():
+            out[r.id, r.col] = r.x
+        return out
+
+    def __repr__(self) -> str:
+        return f"{type(self).__name__}{self.shape}"
+
+    def scaled_by_sums(self, spark, rows: bool) -> Operator:
+        """Divided by its row (else column) sums; a sum of 0 is left."""
+        n = self.shape[1] if rows else self.shape[0]
+        side = self if rows else self.transpose()
+        sums = side.apply(spark.range(n).select("id", F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("x")))
+        inverse = diagonal(side.shape[0], sums.where("x <> 0").select("id", (1 / F.col("x")).alias("d")))
+        return inverse * self if rows else self * inverse
+
+    def row_stochastic(self, spark) -> Operator:
+        return self.scaled_by_sums(spark, True)
+
+    def column_stochastic(self, spark) -> Operator:
+        return self.scaled_by_sums(spark, False)
+
+
+def added(*vectors: DataFrame) -> DataFrame:
+    out = vectors[0].select("id", "col", "x")
+    for v in vectors[1:]:
+        out = out.unionByName(v.select("id", "col", "x"))
+    return out.groupBy("id", "col").agg(F.sum("x").alias("x"))
+
+
+def sparse(shape: tuple[int, int], matrix: DataFrame, symmetric: bool = False) -> Operator:
+    def product(x: DataFrame) -> DataFrame:
+        return matrix.join(x, F.col("j") == F.col("id")).groupBy(F.col("i").alias("id"), "col").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+
+    out = Operator(shape, product)
+    out._transposed = (lambda: out) if symmetric else lambda: sparse(shape[::-1], matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return out
+
+
+def diagonal(n: int, d: DataFrame) -> Operator:
+    """d: id, d."""
+    out = Operator((n, n), lambda x: x.join(d, "id").select("id", "col", (F.col("x") * F.col("d")).alias("x")))
+    out._transposed = lambda: out
+    return out
+
+
+def constant_diagonal(n: int, c: float) -> Operator:
+    out = Operator((n, n), lambda x: x.select("id", "col", (F.col("x") * c).alias("x")))
+    out._transposed = lambda: out
+    return out
+
+
+def weighted_sum(x: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """col, s: the sum of each column, weighted by weights (id, w) if given."""
+    if weights is None:
+        return x.groupBy("col").agg(F.sum("x").alias("s"))
+    return x.join(weights, "id").groupBy("col").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
+
+
+def outer(u: DataFrame, sums: DataFrame, value: Column | None = None) -> DataFrame:
+    """u (id, w) times the sum of each column. sums has one row for each vector of the block."""
+    return u.crossJoin(sums).select("id", "col", (F.col("w") * F.col("s")).alias("x"))
+
+
+def rank_one(shape: tuple[int, int], u: DataFrame, v: DataFrame) -> Operator:
+    """u v'. u, v: id, w."""
+    return Operator(shape, lambda x: outer(u, weighted_sum(x, v)), lambda: rank_one(shape[::-1], v, u))
+
+
+def filled(n: int, c: float):
+    def table(x: DataFrame) -> DataFrame:
+        return x.sparkSession.range(n).select("id", F.lit(float(c)).alias("w"))
+
+    return table
+
+
+def ones(n: int, c: float = 1.0) -> Operator:
+    """Every entry is c."""
+    full = filled(n, c)
+    out = Operator((n, n), lambda x: outer(full(x), weighted_sum(x, None)))
+    out._transposed = lambda: out
+    return out
+
+
+def replicated_column(n: int, u: DataFrame) -> Operator:
+    """u 1'."""
+    return Operator((n, n), lambda x: outer(u, weighted_sum(x, None)), lambda: replicated_row(n, u))
+
+
+def replicated_row(n: int, u: DataFrame) -> Operator:
+    """1 u'."""
+    full = filled(n, 1.0)
+    return Operator((n, n), lambda x: outer(full(x), weighted_sum(x, u)), lambda: replicated_column(n, u))
+
+
+def pmi(n: int, matrix: DataFrame, constant: float, u: DataFrame) -> Operator:
+    """F + constant 11' - u1' - 1u': sparse plus rank two. u: id, w for every id."""
+    full = filled(n, 1.0)
+    base = sparse((n, n), matrix, True)
+    rest = u.select("id", (constant - F.col("w")).alias("w"))
+    out = Operator((n, n), lambda x: added(base.apply(x), outer(rest, weighted_sum(x, None)), outer(full(x), weighted_sum(x, u).withColumn("s", -F.col("s")))))
+    out._transposed = lambda: out
+    return out
+
+
+def laplacian(n: int, matrix: DataFrame) -> Operator:
+    return sparse((n, n), graph.laplacian(matrix), True)
+
+
+def normalized_laplacian(n: int, matrix: DataFrame) -> Operator:
+    return constant_diagonal(n, 1.0) - sparse((n, n), graph.scaled(matrix), True)
+
+
+def regularized_laplacian(n: int, matrix: DataFrame, tau: float | None = None) -> Operator:
+    tau = graph.mean_degree(matrix, n) if tau is None else tau
+    return constant_diagonal(n, 1.0) - sparse((n, n), graph.scaled(matrix, tau), True)
+
+
+def diagonal_added(n: int, matrix: DataFrame) -> Operator:
+    return sparse((n, n), graph.add_diagonal(matrix, n), True)
+
+
+def blocks(grid: list[list[Operator]]) -> Operator:
+    """A matrix of operators; the sizes along each row and column of the grid agree."""
+    heights, widths = [row[0].shape[0] for row in grid], [b.shape[1] for b in grid[0]]
+    if any(b.shape != (h, w) for row, h in zip(grid, heights, strict=True) for b, w in zip(row, widths, strict=True)):
+        raise ValueError("block sizes do not agree")
+    tops, lefts = np.concatenate([[0], np.cumsum(heights)]), np.concatenate([[0], np.cumsum(widths)])
+
+    def apply(x: DataFrame) -> DataFrame:
+        parts = []
+        for r, row in enumerate(grid):
+            for c, block in enumerate(row):
+                own = x.where((F.col("id") >= int(lefts[c])) & (F.col("id") < int(lefts[c + 1]))).withColumn("id", F.col("id") - int(lefts[c]))
+                parts.append(block.apply(own).withColumn("id", F.col("id") + int(tops[r])))
+        return added(*parts)
+
+    return Operator((int(tops[-1]), int(lefts[-1])), apply, lambda: blocks([[row[c].transpose() for row in grid] for c in range(len(widths))]))
+
+
+def collapse_matrix(mapping: DataFrame) -> DataFrame:
+    """i, j, v: column j (node) holds 1/k at each of its k images i. mapping: node, image."""
+    share = 1.0 / F.count("*").over(Window.partitionBy("node"))
+    return mapping.select(F.col("image").alias("i"), F.col("node").alias("j"), share.alias("v"))
+
+
+def collapse(mapping: DataFrame, m: int, n: int) -> Operator:
+    """mapping: node, image, distinct rows; every node has an image, and images are below m."""
+    row = mapping.agg(F.count_distinct("node").alias("n"), F.max("image").alias("most"), F.min("image").alias("least")).first()
+    if row.n != n or not 0 <= row.least <= row.most < m:
+        raise ValueError("each node needs an image, and images are 0 to m - 1")
+    return sparse((m, n), collapse_matrix(mapping))
+
+
+def joint_blocks(diagonal_blocks: list[Operator], tau: float | None = None) -> Operator:
+    """The given symmetric operators along the diagonal; elsewhere the mean of its row's and its column's, with tau
+    added along that block's diagonal if given."""
+    n = diagonal_blocks[0].shape[0]
+    if any(b.shape != (n, n) for b in diagonal_blocks):
+        raise ValueError("the blocks must be square and of one size")
+
+    def between(a: Operator, b: Operator) -> Operator:
+        mean = 0.5 * (a + b)
+        return mean if tau is None else mean + constant_diagonal(n, tau)
+
+    return blocks([[a if r == c else between(a, b) for c, b in enumerate(diagonal_blocks)] for r, a in enumerate(diagonal_blocks)])
+
+
+def uncollapsed(collapse_op: Operator, similarity: Operator) -> Operator:
+    """C' S C: node similarity as the mean similarity of both nodes' values, never built as a matrix."""
+    return collapse_op.transpose() * similarity * collapse_op

@@ -1,0 +1,105 @@
+"""From a graph and its attributes to a ranked list of nodes that may hold a value."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphnom.config import Config
+from graphnom.operators import evaluate, features, graph, models, spectral
+from graphnom.operators.attributes import Attributes, check_seeds
+from graphnom.sources import writers
+
+from .embed import embed
+from .tables import materialise
+
+
+def width_of(df: DataFrame) -> int:
+    row = df.select(F.size("features")).first()
+    return row[0] if row else 0
+
+
+def predictors(spark: SparkSession, edges: DataFrame, attributes: DataFrame, config: Config, folder: str | None = None) -> DataFrame:
+    """node, features for every vertex: embeddings (on the sphere where asked), numeric attributes with missing
+    ones filled, z-scored, and their principal components if asked."""
+    nodes = graph.vertices(edges)
+    embeddings = embed(spark, edges, attributes, config, folder)
+    blocks = []
+    if config.use_context:
+        own = embeddings[""].features
+        blocks.append(features.on_sphere(own) if config.sphere_context else own)
+    for kind in config.categorical:
+        own = embeddings[kind].features
+        blocks.append(features.on_sphere(own) if config.sphere_content else own)
+    if config.numeric:
+        wide = features.impute(features.numeric_pivot(attributes, config.numeric, nodes), config.numeric, config.imputation)
+        blocks.append(wide.select("node", F.array(*config.numeric).alias("features")))
+    if not blocks:
+        raise ValueError("no predictors")
+    full = materialise(features.stacked(nodes, blocks))
+    width = width_of(full)
+    full = features.zscored(full, width)
+    if config.use_pca:
+        variances, full = features.pca(full, width, config.max_eig_pca, config.whiten)
+        keep = spectral.kept_columns(variances, config.which_elbow_pca) if len(variances) > 2 else len(variances)
+        full = full.withColumn("features", F.slice("features", 1, max(keep, 1)))
+    return full
+
+
+def classifier(config: Config):
+    options = {"randfor": {"trees": config.num_trees, "seed": config.rng_seed}, "boost": {"rounds": config.num_trees, "seed": config.rng_seed}, "kde": {"gridsize": config.kde_grid, "dynamic_range": config.kde_range, "cv": config.kde_folds}}
+    return lambda train, test: models.classify(config.classifier, train, test, **options.get(config.classifier, {}))
+
+
+def decorated(ranked: DataFrame, attributes: DataFrame, config: Config, also: tuple[str, ...] = ()) -> DataFrame:
+    """Ranked nodes with their values: sorted sets of categorical types (empty if none), numbers or null."""
+    out = ranked
+    for kind in (*also, *config.categorical):
+        sets = attributes.where(F.col("attributeType") == kind).groupBy("node").agg(F.array_sort(F.collect_set("attributeVal")).alias(kind))
+        out = out.join(sets, "node", "left").withColumn(kind, F.coalesce(kind, F.array().cast("array<string>")))
+    if config.numeric:
+        out = out.join(features.numeric_pivot(attributes, config.numeric), "node", "left")
+    return out
+
+
+def nominate(scores: DataFrame, most: int) -> DataFrame:
+    """The likeliest nodes: node, prob."""
+    return scores.orderBy(F.desc("prob"), "node").limit(most)
+
+
+def run(spark: SparkSession, edges: DataFrame, attributes: DataFrame, config: Config, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cross-validation curve, nominations); both are written if a folder is given."""
+    rows = materialise(predictors(spark, edges, attributes, config, folder))
+    labels = Attributes(attributes).indicator(graph.vertices(edges), config.nomination_type, config.nomination_value)
+    check_seeds(labels)
+    known = materialise(rows.join(labels, "node"))
+    seeds, unknown = known.where("ind is not null"), known.where("ind is null")
+    held = evaluate.interleaved(seeds, config.cv_max, config.rng_seed)
+    fit = classifier(config)
+    if config.classifier == "naive_bayes":
+        tested = evaluate.leave_one_out_bayes(seeds, held)
+    else:
+        tested = evaluate.leave_one_out(seeds, held, fit)
+    curve = evaluate.cumulative_precision(tested)
+    top = nominate(fit(seeds, unknown), config.nominate_max)
+    if folder:
+        stem = f"{folder}/{config.nomination_type}_{config.nomination_value}".replace(" ", "_")
+        order = [F.desc("prob"), "node"]
+        cv = decorated(tested.select("node", "prob", "ind"), attributes, config, (config.nomination_type,))
+        writers.save_ranked(cv.orderBy(*order), f"{stem}_cv_nomination.txt")
+        writers.save_ranked(decorated(top, attributes, config).orderBy(*order), f"{stem}_nomination.out")
+    return curve, top
+
+
+def precision_summary(curve: DataFrame) -> DataFrame:
+    return evaluate.mean_cumulative_precision(curve)
+
+
+def facet_curves(seeds_by_choice: dict[str, DataFrame], samples: int, positives: int, negatives: int, top: int) -> DataFrame:
+    """Mean precision curves with bands of two errors, one facet for each choice of features (node, features, ind)."""
+    out = None
+    for choice, seeds in seeds_by_choice.items():
+        own = evaluate.resampled_bayes(seeds, samples, positives, negatives, top).withColumn("choice", F.lit(choice))
+        out = own if out is None else out.unionByName(own)
+    return out
+
