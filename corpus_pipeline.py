@@ -14,7 +14,7 @@ from graphnom.llm.quality import quality
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     trusted = C.table(spark, sf_dir, "labels").where("quality = 1")
-    return quality(docs, trusted, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return C.unpacked(quality(C.packed(docs), trusted, keep=("_doc",)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: table access and materialised intermediates."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphnom.plans.shipping import ship_package
+from graphnom.plans.tables import materialise  # noqa: F401
 
 #: The characters that separate words: space and U+0009 to U+000D. Nothing else does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,25 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphnom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later stages survive lost executors
-    without recomputing what stands before, and row ids drawn before it stay as they are."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hash_bucket(column: str, modulus: int):
     """crc32 of the column as text, modulo; null hashes as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -48,10 +27,24 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-#: Columns that tell rows apart, where doc_id may be null or repeated: equal for equal rows only.
+#: Columns that tell rows apart, where doc_id may be null or repeated: equal for equal texts of one id only.
 ROW_KEY = ("_key_id", "_key_text")
 
 
-def row_key(docs: DataFrame) -> dict:
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and source, the row key, and the whole row as one struct `_doc`: its columns may have any names,
+    those that operators use for themselves too."""
     last = (1 << 63) - 1
-    return {"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_key_text": F.xxhash64("text", *[c for c in ("lang", "source") if c in docs.columns])}
+    own = [c for c in ("lang", "source") if c in docs.columns]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        "doc_id",
+        "text",
+        *[c for c in ("source",) if c in docs.columns],
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_key_id"),
+        F.xxhash64("text", *own).alias("_key_text"),
+    )
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    return docs.select("_doc.*")

@@ -185,7 +185,7 @@ def train(totals: DataFrame) -> DataFrame:
     found = nodes.orderBy("name").toPandas()  # at most 256 bytes x 256 prefixes
     one = {k: np.zeros(1 << 16) for k in ("zeros", "ones", "children")}
     for k in one:
-        one[k][found.name.to_numpy()] = np.round(found[k].to_numpy(), 6)
+        one[k][found.name.to_numpy(dtype=np.int64)] = np.round(found[k].to_numpy(dtype=float), 6)
     own = block(one["zeros"], one["ones"])
     weight = mixed(own, one["children"]).reshape(256, 256)
     root = {k: one[k].reshape(256, 256).sum(axis=0) for k in ("zeros", "ones")}

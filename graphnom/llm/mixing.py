@@ -150,7 +150,7 @@ def mix(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_i
 
 def mixed(docs: DataFrame, source: str = "source", seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: each row as many times as it is taken."""
-    marked = docs.withColumns(C.row_key(docs))
-    taken = mix(marked, source, keep=C.ROW_KEY, seed=seed).groupBy(*C.ROW_KEY).agg(F.sum("times").cast("int").alias("_times"))
-    one = marked.join(taken.where("_times > 0"), list(C.ROW_KEY)).dropDuplicates(list(C.ROW_KEY))
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = C.packed(docs)
+    taken = mix(rows, source, keep=C.ROW_KEY, seed=seed).groupBy(*C.ROW_KEY).agg(F.sum("times").cast("int").alias("_times"))
+    one = rows.join(taken.where("_times > 0"), list(C.ROW_KEY)).dropDuplicates(list(C.ROW_KEY))
+    return C.unpacked(one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

@@ -115,8 +115,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every secret's value replaced by a mark that tells live ones from copied examples; n_chars, if
     it is a column, is the new length."""
-    rows = scan(docs, keep=tuple(docs.columns), **options)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = scan(C.packed(docs), keep=("_doc",), **options)
+    text = F.coalesce(F.col("_doc.text"), F.lit(""))
     values = F.array_sort(F.transform("_all", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["live"].alias("live"))))
 
     def step(state: Column, s: Column) -> Column:
@@ -125,7 +125,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], kept).otherwise(state["out"]).alias("out"))
 
     rebuilt = F.aggregate(values, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = rows.withColumn("text", F.when(F.size("_all") > 0, rebuilt).otherwise(F.col("text")))
+    new = {"text": rebuilt}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(rebuilt).cast(docs.schema["n_chars"].dataType)
+    own = lambda c: F.col("_doc").getField(c)
+    return rows.select(*[F.when(F.size("_all") > 0, new[c]).otherwise(own(c)).alias(c) if c in new else own(c).alias(c) for c in docs.columns])
