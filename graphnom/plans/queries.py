@@ -184,9 +184,9 @@ def loglog_rank(f: Fixtures) -> DataFrame:
 
 
 @query(f"""WITH {RANKED}, tot AS (SELECT type, count(*) AS k, sum(freq) AS s FROM freq GROUP BY type), shown AS (
-    SELECT type, -2 AS at, '=== ' || type || ' ===' AS value FROM tot UNION ALL SELECT type, -1, k || ' values, ' || s || ' instances' FROM tot
+    SELECT type, -2 AS ord, '=== ' || type || ' ===' AS value FROM tot UNION ALL SELECT type, -1, k || ' values, ' || s || ' instances' FROM tot
     UNION ALL SELECT type, rank, printf('%d\t%s\t%d\t%.4f', rank, val, freq, cumulative_pct) FROM ranked WHERE rank < 10)
-  SELECT CAST(row_number() OVER (ORDER BY type, at) - 1 AS INTEGER) AS line, value FROM shown""")
+  SELECT CAST(row_number() OVER (ORDER BY type, ord) - 1 AS INTEGER) AS line, value FROM shown""")
 def attr_report(f: Fixtures) -> DataFrame:
     return Attributes(f.attributes(), KINDS).report(10)
 
