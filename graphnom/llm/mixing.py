@@ -31,6 +31,8 @@ SEED = 20240229
 SLICES = 1 << 12
 #: Words left to the dynamic program, at least, in lengths: bounds its table whatever the source's size.
 DP_LENGTHS = 4
+#: A budget of at most so many lengths is fitted by the program alone, exactly.
+DP_ALONE = 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -70,13 +72,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return np.zeros(len(lengths), np.int64)
     longest = int(lengths.max())
     # a proportional part of each length, short of the budget by what the program needs to be exact
-    part = max(0.0, (budget - DP_LENGTHS * longest) / total)
+    part = max(0.0, (budget - DP_LENGTHS * longest) / total) if budget > DP_ALONE * longest else 0.0
     taken = np.floor(counts * part).astype(np.int64)
     rest = budget - int((lengths * taken).sum())
     room = counts - taken
     # whole lengths while the rest is wide, the longest first: keeps the program's table bounded
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= 2 * DP_LENGTHS * longest:
+        if rest <= max(2 * DP_LENGTHS, DP_ALONE) * longest:
             break
         more = min(int(room[i]), max(0, (rest - DP_LENGTHS * longest) // int(lengths[i])))
         taken[i] += more

@@ -181,7 +181,7 @@ def test_secret_spans_against_a_plain_scan(spark, none):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(p == k for _, p, _ in spans) for k in range(3))
         assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
     by = {r.doc_id: r for r in got}
-    assert by[2000].spans == "token:4:41" and by[2000].n_live == 1  # one owner
+    assert by[2000].spans == "token:4:40" and by[2000].n_live == 1  # one owner
     assert by[1003].spans == ""  # many owners: an example, which the method does not add
     assert secret_scan.report(none).count() == 0
 
@@ -255,7 +255,13 @@ def test_mixing_targets_and_takes(spark, docs, none):
     for r in got:
         assert r.target == pytest.approx(want[r.source], rel=1e-9) and r.source_size == total[r.source]
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 200 for s in order)
+    for s in order:  # as near as whole documents come
+        own = [r.size for r in got if r.source == s]
+        full = int(want[s] // total[s]) if total[s] else 0
+        sums = {0}
+        for size in own if full < 2 else []:
+            sums |= {x + size for x in sums}
+        assert abs(taken[s] - want[s]) <= min(abs(full * total[s] + x - want[s]) for x in sums) + 1
     assert sorted(map(str, mixing.mix(docs.drop("size").repartition(7), keep=("doc_id", "source")).collect())) == sorted(map(str, got))
     assert mixing.mix(none).count() == 0
     copies = mixing.mixed(docs)
