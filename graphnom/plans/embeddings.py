@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphnom.config import Config
 from graphnom.functions.text import token
-from graphnom.operators import cooccur, graph, linop, spectral
+from graphnom.operators import cooccur, graph, algebra, spectral
 from graphnom.operators.attributes import Attributes
 from graphnom.sources.writers import EmbeddingCache, embedding_key, save_eigenvalues, save_report
 
@@ -24,20 +24,20 @@ class Embedding:
     key: str
 
 
-def variant(kind: str, n: int, matrix: DataFrame) -> linop.Operator:
+def variant(kind: str, n: int, matrix: DataFrame) -> algebra.Operator:
     """The operator that an embedding kind takes of an adjacency matrix."""
     if kind == "adj":
-        return linop.sparse((n, n), matrix, True)
+        return algebra.sparse((n, n), matrix, True)
     if kind == "adj+diag":
-        return linop.diagonal_added(n, matrix)
+        return algebra.diagonal_added(n, matrix)
     if kind == "normlap":
-        return linop.normalized_laplacian(n, matrix)
+        return algebra.normalized_laplacian(n, matrix)
     if kind == "regnormlap":
-        return linop.regularized_laplacian(n, matrix)
+        return algebra.regularized_laplacian(n, matrix)
     raise ValueError(f"no embedding {kind!r}")
 
 
-def node_operator(edges: DataFrame, values: DataFrame, nodes: DataFrame, sim: str, delta: float) -> linop.Operator:
+def node_operator(edges: DataFrame, values: DataFrame, nodes: DataFrame, sim: str, delta: float) -> algebra.Operator:
     """Node similarity as the mean similarity of the nodes' values. values: node, val."""
     if (delta > 0) != (sim == "PMIs"):
         raise ValueError("smoothing (delta) goes with PMIs, and only with it")
@@ -53,15 +53,15 @@ def node_operator(edges: DataFrame, values: DataFrame, nodes: DataFrame, sim: st
         sparse, constant, u = cooccur.smoothed_pmi_parts(counts, delta)
         floor = float(np.log(delta * m))
         full = words.join(u, "val", "left").select(F.col("idx").alias("id"), F.coalesce("u", F.lit(floor)).alias("w"))
-        similarity = linop.pmi(m, materialise(indexed(sparse)), constant, materialise(full))
+        similarity = algebra.pmi(m, materialise(indexed(sparse)), constant, materialise(full))
     else:
-        similarity = linop.sparse((m, m), materialise(indexed(cooccur.similarity_matrix(counts, sim))), True)
+        similarity = algebra.sparse((m, m), materialise(indexed(cooccur.similarity_matrix(counts, sim))), True)
     named = nodes.join(values, "node", "left").select("node", F.coalesce("val", token(F.col("node"))).alias("val"))
     mapping = materialise(named.join(words, "val").select("node", F.col("idx").alias("image")))
-    return linop.uncollapsed(linop.collapse(mapping, m, n), similarity)
+    return algebra.uncollapsed(algebra.collapse(mapping, m, n), similarity)
 
 
-def content_operator(op: linop.Operator, kind: str, spark: SparkSession) -> linop.Operator:
+def content_operator(op: algebra.Operator, kind: str, spark: SparkSession) -> algebra.Operator:
     """The variant of a matrix-free operator: degrees are its product with ones."""
     n = op.shape[0]
     if kind == "adj":
@@ -69,10 +69,10 @@ def content_operator(op: linop.Operator, kind: str, spark: SparkSession) -> lino
     ones = spark.range(n).select("id", F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("x"))
     d = materialise(op.apply(ones).select("id", F.col("x").alias("d")))
     if kind == "adj+diag":
-        return op + linop.diagonal(n, d.withColumn("d", F.col("d") / n))
+        return op + algebra.diagonal(n, d.withColumn("d", F.col("d") / n))
     shift = (d.agg(F.sum("d")).first()[0] or 0.0) / n if kind == "regnormlap" else 0.0
-    root = linop.diagonal(n, d.where(F.col("d") + shift > 0).select("id", (1 / F.sqrt(F.col("d") + shift)).alias("d")))
-    return linop.constant_diagonal(n, 1.0) - root * op * root
+    root = algebra.diagonal(n, d.where(F.col("d") + shift > 0).select("id", (1 / F.sqrt(F.col("d") + shift)).alias("d")))
+    return algebra.constant_diagonal(n, 1.0) - root * op * root
 
 
 def context(spark: SparkSession, edges: DataFrame, config: Config, cache: EmbeddingCache | None = None) -> Embedding:

@@ -10,7 +10,7 @@ from graphnom.operators import evaluate, features, graph, models, spectral
 from graphnom.operators.attributes import Attributes, check_seeds
 from graphnom.sources import writers
 
-from .embed import embed
+from .embeddings import embed
 from .tables import materialise
 
 

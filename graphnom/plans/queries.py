@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from graphnom.config import Config
 from graphnom.functions import measures as M
-from graphnom.operators import cooccur, evaluate, features, graph, linop, models, spectral
+from graphnom.operators import cooccur, evaluate, features, graph, algebra, models, spectral
 from graphnom.operators.attributes import Attributes, log_ranks, seed_counts
 
 from .fixtures import Fixtures
-from .nominate import nominate
+from .nomination import nominate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -263,7 +263,7 @@ def _vector(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("col"), (F.col("node") % 7 + 1).cast("double").alias("x"))
 
 
-def _result(op: linop.Operator, x: DataFrame) -> DataFrame:
+def _result(op: algebra.Operator, x: DataFrame) -> DataFrame:
     return op.apply(x).select("id", F.round("x", 5).alias("x"))
 
 
@@ -275,22 +275,22 @@ def _adjacency(f: Fixtures) -> tuple[int, DataFrame, DataFrame]:
 @query(f"WITH {FULL}, {AX} SELECT id, round(x, 5) AS x FROM ax")
 def matvec_adj(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
-    return _result(linop.sparse((n, n), m, True), x)
+    return _result(algebra.sparse((n, n), m, True), x)
 
 
 @query(f"WITH {FULL}, {AX} SELECT xs.id, round(xs.x - 2 * coalesce(ax.x, 0) + 3 * coalesce(ax.x, 0) + 0.5 * d * xs.x + (SELECT sum(x) FROM xs), 5) AS x FROM xs LEFT JOIN ax ON xs.id = ax.id JOIN deg ON xs.id = deg.i")
 def matvec_tree(f: Fixtures) -> DataFrame:
     """Sum, scale, negation, diagonal, constant diagonal and a number added to every entry, in one tree."""
     n, m, x = _adjacency(f)
-    a = linop.sparse((n, n), m, True)
-    d = linop.diagonal(n, graph.degrees(m).select(F.col("i").alias("id"), "d"))
-    return _result(linop.constant_diagonal(n, 1.0) - 2.0 * a + 3.0 * a + 0.5 * d + 1.0, x)
+    a = algebra.sparse((n, n), m, True)
+    d = algebra.diagonal(n, graph.degrees(m).select(F.col("i").alias("id"), "d"))
+    return _result(algebra.constant_diagonal(n, 1.0) - 2.0 * a + 3.0 * a + 0.5 * d + 1.0, x)
 
 
 @query(f"WITH {FULL}, {AX} SELECT i AS id, round(sum(v * x), 5) AS x FROM adj JOIN ax ON j = ax.id GROUP BY i")
 def matvec_product(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
-    a = linop.sparse((n, n), m, True)
+    a = algebra.sparse((n, n), m, True)
     return _result(a * a, x)
 
 
@@ -299,13 +299,13 @@ def matvec_rank_one(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
     u = graph.degrees(m).select(F.col("i").alias("id"), F.col("d").alias("w"))
     v = x.select("id", F.col("x").alias("w"))
-    return _result(linop.replicated_column(n, u) + linop.replicated_row(n, u) + linop.rank_one((n, n), u, v), x)
+    return _result(algebra.replicated_column(n, u) + algebra.replicated_row(n, u) + algebra.rank_one((n, n), u, v), x)
 
 
 @query(f"WITH {FULL} SELECT xs.id, round(xs.x - coalesce(s, 0), 5) AS x FROM xs LEFT JOIN (SELECT adj.i, sum(adj.v * x / sqrt(p.d * q.d)) AS s FROM adj JOIN deg p ON adj.i = p.i JOIN deg q ON adj.j = q.i JOIN xs ON adj.j = id GROUP BY adj.i) ON xs.id = i")
 def matvec_norm_laplacian(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
-    return _result(linop.normalized_laplacian(n, m), x)
+    return _result(algebra.normalized_laplacian(n, m), x)
 
 
 BLOCK_X = "bx AS (SELECT id, x FROM xs UNION ALL SELECT id + n, 2 * x FROM xs, n)"
@@ -314,9 +314,9 @@ BLOCK_X = "bx AS (SELECT id, x FROM xs UNION ALL SELECT id + n, 2 * x FROM xs, n
 @query(f"WITH {FULL}, {AX}, {BLOCK_X} SELECT id, round(x, 5) AS x FROM (SELECT id, x + 2 * (id % 7 + 1) AS x FROM ax UNION ALL SELECT ax.id + n, (ax.id % 7 + 1) + 2 * 2 * ax.x FROM ax, n)")
 def block_matvec(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
-    a, one = linop.sparse((n, n), m, True), linop.constant_diagonal(n, 1.0)
+    a, one = algebra.sparse((n, n), m, True), algebra.constant_diagonal(n, 1.0)
     both = x.unionByName(x.select((F.col("id") + n).alias("id"), "col", (2 * F.col("x")).alias("x")))
-    return _result(linop.blocks([[a, one], [one, 2.0 * a]]), both)
+    return _result(algebra.blocks([[a, one], [one, 2.0 * a]]), both)
 
 
 @query(f"""WITH {FULL}, {AX} SELECT id, round(x, 5) AS x FROM (
@@ -324,9 +324,9 @@ def block_matvec(f: Fixtures) -> DataFrame:
     UNION ALL SELECT ax.id + n, 2 * d * xs.x + 0.5 * (ax.x + xs.x * d) + 3 * xs.x FROM ax JOIN xs ON ax.id = xs.id JOIN deg ON ax.id = i, n)""")
 def joint_block_matvec(f: Fixtures) -> DataFrame:
     n, m, x = _adjacency(f)
-    a, d = linop.sparse((n, n), m, True), linop.diagonal(n, graph.degrees(m).select(F.col("i").alias("id"), "d"))
+    a, d = algebra.sparse((n, n), m, True), algebra.diagonal(n, graph.degrees(m).select(F.col("i").alias("id"), "d"))
     both = x.unionByName(x.select((F.col("id") + n).alias("id"), "col", (2 * F.col("x")).alias("x")))
-    return _result(linop.joint_blocks([a, d], 3.0), both)
+    return _result(algebra.joint_blocks([a, d], 3.0), both)
 
 
 def _value_matrix(f: Fixtures, kind: str = "word") -> tuple[cooccur.PairCounts, DataFrame, DataFrame, DataFrame]:
@@ -340,7 +340,7 @@ COLLAPSE = "idx AS (SELECT val, row_number() OVER (ORDER BY val) - 1 AS k FROM v
 
 @query(f"WITH {pairs_sql('word')}, {COLLAPSE} SELECT i, j, round(v, 6) AS v FROM cm")
 def collapse_matrix(f: Fixtures) -> DataFrame:
-    return linop.collapse_matrix(_value_matrix(f)[3]).select("i", "j", r6("v"))
+    return algebra.collapse_matrix(_value_matrix(f)[3]).select("i", "j", r6("v"))
 
 
 _PMI_SQL = f"""WITH {pairs_sql('word')}, idx AS (SELECT val, row_number() OVER (ORDER BY val) - 1 AS k, CAST((row_number() OVER (ORDER BY val) - 1) % 7 + 1 AS DOUBLE) AS x FROM vocab),
@@ -359,7 +359,7 @@ def matvec_pmi(f: Fixtures) -> DataFrame:
     at = lambda side: words.select(F.col("val").alias(side), F.col("idx").alias(f"{side}x"))
     m = sparse.join(at("i"), "i").join(at("j"), "j").select(F.col("ix").alias("i"), F.col("jx").alias("j"), "v")
     full = words.join(u, "val", "left").select(F.col("idx").alias("id"), F.coalesce("u", F.lit(math.log(0.5 * c.values))).alias("w"))
-    return _result(linop.pmi(c.values, m, constant, full), _vector(words.select(F.col("idx").alias("node"))))
+    return _result(algebra.pmi(c.values, m, constant, full), _vector(words.select(F.col("idx").alias("node"))))
 
 
 @query(f"""WITH {probs_sql('word')}, {COLLAPSE},
@@ -368,7 +368,7 @@ def matvec_pmi(f: Fixtures) -> DataFrame:
   s1 AS (SELECT y.k AS i, sum(v * c1.x) AS x FROM sm JOIN idx z ON b = z.val JOIN c1 ON z.k = c1.i JOIN idx y ON a = y.val GROUP BY y.k)
   SELECT j AS id, round(sum(v * s1.x), 5) AS x FROM cm JOIN s1 ON cm.i = s1.i GROUP BY j""")
 def matvec_uncollapsed(f: Fixtures) -> DataFrame:
-    from .embed import node_operator
+    from .embeddings import node_operator
 
     return _result(node_operator(f.edges(), f.values("word"), f.nodes(), "NPMI1s", 0.0), _vector(f.nodes()))
 
@@ -562,7 +562,7 @@ def spectral_eigenvalues(f: Fixtures) -> DataFrame:
 @query()
 def content_eigenvalues(f: Fixtures) -> DataFrame:
     """Leading eigenvalues of the node similarity by a type's values, matrix-free."""
-    from .embed import node_operator
+    from .embeddings import node_operator
 
     values, _ = spectral.eigenpairs(node_operator(f.edges(), f.values("ptype"), f.nodes(), "NPMI1s", 0.0), 3, f.spark, extra=3, most=6)
     return spectral.scree(values, f.spark)

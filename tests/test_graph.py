@@ -5,9 +5,9 @@ import math
 import numpy as np
 import pytest
 from graphnom.functions import measures as M
-from graphnom.operators import cooccur, graph, linop, spectral
+from graphnom.operators import cooccur, graph, algebra, spectral
 from graphnom.operators.attributes import Attributes, check_seeds
-from graphnom.plans.embed import content_operator, node_operator, variant
+from graphnom.plans.embeddings import content_operator, node_operator, variant
 from pyspark.sql import functions as F
 
 
@@ -79,27 +79,27 @@ def test_operator_algebra_against_dense(spark):
     a, b = a + a.T, b + b.T
     table = lambda m: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i long, j long, v double")
     weights = lambda w: spark.createDataFrame([(k, float(x)) for k, x in enumerate(w)], "id long, w double")
-    oa, ob = linop.sparse((n, n), table(a), True), linop.sparse((n, n), table(b), True)
+    oa, ob = algebra.sparse((n, n), table(a), True), algebra.sparse((n, n), table(b), True)
     u, v = rng.random(n), rng.random(n)
     one = np.ones(n)
     cases = [
         (oa + ob, a + b), (2.5 * oa - ob, 2.5 * a - b), (oa * ob, a @ b), ((oa * ob).transpose(), b @ a), (oa + 3.0, a + 3), (-oa, -a),
-        (linop.constant_diagonal(n, 2.0), 2 * np.eye(n)), (linop.diagonal(n, weights(u).withColumnRenamed("w", "d")), np.diag(u)),
-        (linop.rank_one((n, n), weights(u), weights(v)), np.outer(u, v)), (linop.rank_one((n, n), weights(u), weights(v)).transpose(), np.outer(v, u)),
-        (linop.replicated_column(n, weights(u)), np.outer(u, one)), (linop.replicated_row(n, weights(u)), np.outer(one, u)),
-        (linop.pmi(n, table(a), 1.5, weights(u)), a + 1.5 - np.outer(u, one) - np.outer(one, u)),
-        (linop.blocks([[oa, ob], [ob, oa]]), np.block([[a, b], [b, a]])), (linop.blocks([[oa, ob], [ob, oa]]).transpose(), np.block([[a, b], [b, a]]).T),
-        (linop.joint_blocks([oa, ob]), np.block([[a, (a + b) / 2], [(a + b) / 2, b]])), (linop.joint_blocks([oa, ob], 2.0), np.block([[a, (a + b) / 2 + 2 * np.eye(n)], [(a + b) / 2 + 2 * np.eye(n), b]])),
+        (algebra.constant_diagonal(n, 2.0), 2 * np.eye(n)), (algebra.diagonal(n, weights(u).withColumnRenamed("w", "d")), np.diag(u)),
+        (algebra.rank_one((n, n), weights(u), weights(v)), np.outer(u, v)), (algebra.rank_one((n, n), weights(u), weights(v)).transpose(), np.outer(v, u)),
+        (algebra.replicated_column(n, weights(u)), np.outer(u, one)), (algebra.replicated_row(n, weights(u)), np.outer(one, u)),
+        (algebra.pmi(n, table(a), 1.5, weights(u)), a + 1.5 - np.outer(u, one) - np.outer(one, u)),
+        (algebra.blocks([[oa, ob], [ob, oa]]), np.block([[a, b], [b, a]])), (algebra.blocks([[oa, ob], [ob, oa]]).transpose(), np.block([[a, b], [b, a]]).T),
+        (algebra.joint_blocks([oa, ob]), np.block([[a, (a + b) / 2], [(a + b) / 2, b]])), (algebra.joint_blocks([oa, ob], 2.0), np.block([[a, (a + b) / 2 + 2 * np.eye(n)], [(a + b) / 2 + 2 * np.eye(n), b]])),
         (oa.row_stochastic(spark), a / a.sum(axis=1, keepdims=True)), (oa.column_stochastic(spark), a / a.sum(axis=0)),
-        (linop.laplacian(n, table(a)), np.diag(a.sum(axis=1)) - a), (linop.diagonal_added(n, table(a)), a + np.diag(a.sum(axis=1)) / n),
-        (linop.normalized_laplacian(n, table(a)), np.eye(n) - a / np.sqrt(np.outer(a.sum(axis=1), a.sum(axis=1)))),
+        (algebra.laplacian(n, table(a)), np.diag(a.sum(axis=1)) - a), (algebra.diagonal_added(n, table(a)), a + np.diag(a.sum(axis=1)) / n),
+        (algebra.normalized_laplacian(n, table(a)), np.eye(n) - a / np.sqrt(np.outer(a.sum(axis=1), a.sum(axis=1)))),
     ]
     for op, want in cases:
         assert np.allclose(op.todense(spark), want)
     with pytest.raises(ValueError):
-        linop.blocks([[oa, linop.ones(3)]])
+        algebra.blocks([[oa, algebra.ones(3)]])
     with pytest.raises(ValueError):
-        linop.collapse(spark.createDataFrame([(0, 0), (1, 9)], "node long, image long"), 3, 2)
+        algebra.collapse(spark.createDataFrame([(0, 0), (1, 9)], "node long, image long"), 3, 2)
 
 
 def test_elbows():

@@ -7,7 +7,7 @@ import pytest
 from graphnom.config import Config, Dtype, from_json, parse_items
 from graphnom.functions.text import legend, time_format
 from graphnom.operators import evaluate, features, models
-from graphnom.plans import nominate
+from graphnom.plans import nomination
 from graphnom.sources import readers, writers
 from graphnom.streaming.incremental import RunningCounts, stream_pair_counts
 from pyspark.sql import functions as F
@@ -133,7 +133,7 @@ def test_from_files_to_a_ranked_list(spark, tmp_path):
     e, a = readers.read_edges(spark, str(tmp_path / "edges.dat")), readers.read_attributes(spark, str(tmp_path / "attrs.csv"))
     assert e.count() == len(edges) + 1 and a.where("attributeVal is null").count() == 0
     config = Config(predictor_types=(("word", Dtype.CATEGORICAL), ("size", Dtype.NUMERIC)), nomination_type="colour", nomination_value="red", max_eig=4, which_elbow=0, classifier="naive_bayes", cv_max=10, nominate_max=8)
-    curve, top = nominate.run(spark, e, a, config, str(tmp_path / "out"))
+    curve, top = nomination.run(spark, e, a, config, str(tmp_path / "out"))
     assert curve.count() == 10 and top.count() == 8
     assert np.mean([group[r.node] for r in top.collect()]) > 0.7
     assert readers.listing(spark, str(tmp_path / "out"))
