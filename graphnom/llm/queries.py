@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as C
 from . import ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
