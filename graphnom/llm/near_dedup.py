@@ -10,6 +10,8 @@ beside them, which hold closer nodes only. Within a bucket nodes are compared wi
 the node that most others share buckets with leads, in some buckets an order of their own decides. In small buckets
 each node meets its next ones instead, which is all of them in the smallest. Leaders are elected within each batch of rows, then among those, so a bucket that holds a third of all rows is spread over all
 tasks. Every pair compared is verified by its exact similarity. Verified links make classes by connected components.
+That settles most buckets. Those that still hold more than one class, and were not compared in full, are: each two of
+their nodes are verified unless they are in one class by then, so no pair that shares a band is left out.
 
 Defined cases: null and wordless texts have no shingles and are copies of each other, one class; fewer than five
 words are one shingle; a class is named by its least doc_id (null ids stand last); equal rows share a class; an
@@ -44,6 +46,8 @@ OWN_ORDER = 8
 #: Buckets of up to so many nodes pair each with its next ones in the bucket's own order, so those of up to
 #: 2 * NEIGHBOURS + 1 are compared in full.
 SMALL, NEIGHBOURS = 24, 4
+#: Nodes of a bucket that are compared at a time with as many others, and shingles looked up at a time.
+BLOCK, LOOKUPS = 1024, 1 << 18
 #: Bits of the filter that keeps texts which no comparison needs from being shuffled. Its size is fixed (8 MB);
 #: a full one lets all pass, and the join after it decides.
 FILTER_BITS = 1 << 26
@@ -289,13 +293,11 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) with their exact similarity and whether it reaches the threshold. nodes: _node, _id, one row
-    of docs (_id, text) for each node."""
-    spark = docs.sparkSession
-    needed = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
+def shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """_node, _set: the sorted shingle hashes (with repetitions) of the nodes in needed (_node), and of few others.
+    nodes: _node, _id, one row of docs (_id, text) for each node."""
     hashed = C.arrow_map(nodes.join(needed, "_node").select("_node", "_id"), _hash_rows, "h long")
-    sent = spark.sparkContext.broadcast(filter_bits(hashed))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_bits(hashed))
 
     def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -311,18 +313,130 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
                     found = [np.sort((hashes[firsts[k] : firsts[k + 1]] >> K.U64(32)).astype("<u4")).tobytes() for k in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(found, pa.binary())], ["_node", "_set"])
 
+    return C.arrow_map(docs.select("text", "_id"), shingle_rows, "_node long, _set binary")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b) with their exact similarity and whether it reaches the threshold. nodes: _node, _id, one row
+    of docs (_id, text) for each node."""
+    needed = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [similarity(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.float64())], ["a", "b", "similarity"])
 
-    sets = C.arrow_map(docs.select("text", "_id"), shingle_rows, "_node long, _set binary")
+    sets = shingle_sets(needed, nodes, docs)
     left = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("x")), "a")
     both = left.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("y")), "b").select("a", "b", "x", "y")
     compared = C.arrow_map(both, compare, "a long, b long, similarity double")
     return compared.withColumn("linked", F.col("similarity") >= threshold)
 
 
+def settle(key: int, roots: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between the classes (roots) of a bucket's nodes: each two nodes are compared unless their classes are
+    one by then, or an earlier band holds both, whose bucket compares them. Of two blocks, only nodes of different
+    ones are compared."""
+    _, label, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+    # the largest class stands last, so that its nodes find none after them that is not of it
+    order = np.lexsort((label, sizes[label]))
+    roots, blocks, bands, label, sets = roots[order], blocks[order], bands[order], label[order], [sets[k] for k in order]
+    lengths = np.array([len(x) for x in sets])
+    rows, values = np.repeat(np.arange(len(sets)), lengths), np.concatenate(sets)
+    new = np.ones(len(values), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    at = np.flatnonzero(new)
+    weights = np.diff(np.append(at, len(values))).astype(np.float64)
+    vocabulary, ids = np.unique(values[at], return_inverse=True)
+    firsts = np.searchsorted(rows[at], np.arange(len(sets) + 1))
+    counts = np.diff(firsts)
+    plain, table, two = counts == lengths, np.zeros(len(vocabulary)), blocks.min() != blocks.max()
+    links = []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if two:
+            others = others[blocks[others] != blocks[i]]
+        band = int(np.flatnonzero(bands[i] == key)[0])
+        others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+        # sets of too different sizes are not alike
+        sized = np.minimum(counts[others], counts[i]) >= threshold * np.maximum(counts[others], counts[i]) - 1e-6
+        others = others[sized | ~(plain[others] & plain[i])]
+        if not len(others):
+            continue
+        mine = slice(firsts[i], firsts[i + 1])
+        table[ids[mine]] = weights[mine]
+        ends = np.cumsum(counts[others])
+        for part in np.split(others, np.flatnonzero(np.diff(ends // LOOKUPS)) + 1):
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            start = np.cumsum(counts[part]) - counts[part]
+            place = np.arange(counts[part].sum()) + np.repeat(firsts[part] - start, counts[part])
+            held = table[ids[place]]
+            both = np.add.reduceat((held > 0).astype(np.float64), start)
+            value = both / (counts[part] + counts[i] - both)
+            # with repetitions the shared mass is a bound, and what reaches it is compared exactly
+            mixed = ~(plain[part] & plain[i])
+            if mixed.any():
+                bound = np.add.reduceat(np.minimum(held / lengths[i], weights[place] / np.repeat(lengths[part], counts[part])), start)
+                for k in np.flatnonzero(mixed):
+                    value[k] = similarity(sets[i], sets[part[k]]) if bound[k] >= threshold - 1e-6 else 0.0
+            for j in part[value >= threshold]:
+                if label[j] != label[i]:
+                    links.append((int(roots[i]), int(roots[j])))
+                    label[label == label[j]] = label[i]
+        table[ids[mine]] = 0.0
+    return links
+
+
+def remaining(nodes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between classes whose nodes share a band in a bucket of several classes that was not compared in
+    full. nodes: _node, _id, _bands of those with words; roots: node, root.
+
+    A bucket of more than BLOCK nodes is dealt in blocks, those of its most frequent class apart, and each block is
+    held against each other one but for two of that class.
+    """
+    held = C.materialise(nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_id", "_bands"))
+    spread = held.select("_node", "_root", F.explode("_bands").alias("key"))
+    several = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("_root").alias("low"), F.max("_root").alias("high"))
+    several = C.materialise(several.where((F.col("n") > 2 * NEIGHBOURS + 1) & (F.col("low") != F.col("high"))).select("key", "n"))
+    members = C.materialise(spread.join(several, "key"))
+    shares = members.groupBy("key", "_root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "_root")).alias("most"))
+    shares = shares.select("key", F.col("most.m").alias("m"), F.col("most._root").alias("main"))
+    of_main, many = F.col("_root") == F.col("main"), F.col("n") > BLOCK
+    few_blocks, main_blocks = F.ceil((F.col("n") - F.col("m")) / BLOCK), F.ceil(F.col("m") / BLOCK)
+    deal = F.when(of_main, few_blocks + F.pmod(F.xxhash64("_node"), main_blocks)).otherwise(F.pmod(F.xxhash64("_node"), few_blocks))
+    last = F.when(~many, F.lit(0)).when(of_main, few_blocks - 1).otherwise(few_blocks + main_blocks - 1)
+    dealt = members.join(shares, "key").select("_node", "key", F.when(many, deal).otherwise(F.lit(0)).cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("other"))
+    dealt = dealt.select("_node", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    needed = C.materialise(members.select("_node").distinct())
+    sets = shingle_sets(needed, nodes, docs)
+    full = C.materialise(held.join(needed, "_node").join(sets, "_node").select("_node", "_root", "_bands", "_set"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_at, rows = None, []
+
+        def found() -> pa.RecordBatch:
+            links = np.array(settle(open_at[0], *(np.array(x) for x in list(zip(*rows))[:2]), np.stack([r[2] for r in rows]), [r[3] for r in rows], threshold), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            keys, bands = zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(5).flatten().to_numpy().reshape(-1, BANDS)
+            roots, blocks = batch.column(4).to_numpy(), batch.column(3).to_numpy()
+            for k, at in enumerate(keys):
+                if at != open_at:
+                    if rows:
+                        yield found()
+                    open_at, rows = at, []
+                rows.append((roots[k], blocks[k], bands[k], np.frombuffer(batch.column(6)[k].as_py(), "<u4")))
+        if rows:
+            yield found()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(full, "_node").select("key", "p", "q", "block", "_root", "_bands", "_set")
+    return C.arrow_map(dealt.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q"), compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, class_id (the least doc_id of the row's class) and class_key (a hash that tells
     classes apart where ids are null or repeated)."""
@@ -337,6 +451,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...]
     pairs = C.materialise(candidates(worded).union(candidates(worded, NARROW)).distinct())
     links = verified(pairs, nodes, source.select("text", "_id"), threshold).where("linked").select("a", "b")
     roots = C.materialise(components(links))
+    more = C.materialise(remaining(worded, roots, source.select("text", "_id"), threshold))
+    if not more.isEmpty():
+        whole = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = C.materialise(whole)
     nodes = nodes.select("_node", "_id")
     named = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     names = named.groupBy("_root").agg(F.min("_id").alias("_class"))

@@ -140,6 +140,64 @@ def test_near_dedup_classes_against_all_pairs(spark, docs, none):
     assert left.count() == len({r.class_key for r in near_dedup.classes(docs).collect()})
 
 
+def test_near_dedup_links_all_alike_members_of_large_families(spark):
+    rnd, texts = random.Random(5), []
+    for family, size in enumerate((200, 700, 1500)):
+        base = [f"w{family}x{rnd.randrange(10**6)}" for _ in range(300)]
+        for k in range(size // 2):
+            edit = list(base)
+            for at in rnd.sample(range(300), rnd.randint(4, 7)):
+                edit[at] = f"e{rnd.random()}"
+            texts.append(edit)
+            # like its partner, and each of the two less like most others
+            pair = list(edit)
+            for at in rnd.sample(range(300), rnd.randint(4, 7)):
+                pair[at] = f"e{rnd.random()}"
+            texts.append(pair)
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    mine = {r.doc_id: r.class_id for r in near_dedup.classes(frame.repartition(4, "doc_id")).collect()}
+    ids = {}
+    sets = [np.array([ids.setdefault(tuple(t[i : i + 5]), len(ids)) for i in range(len(t) - 4)]) for t in texts]
+    assert all(len(set(x)) == len(x) == 296 for x in sets)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    where = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        both = np.zeros(i + 1)
+        for s in x:
+            both[where[s]] += 1
+            where[s].append(i)
+        for j in np.flatnonzero(both / (592 - both) >= 0.8):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert {k: root(k) for k in range(len(sets))} == mine
+
+
+def test_near_dedup_settles_blocks_as_a_whole():
+    rnd = np.random.default_rng(3)
+    sets = [np.sort(rnd.choice(60, 40, replace=False).astype("<u4")) for _ in range(40)] + [np.sort(rnd.integers(0, 20, 40).astype("<u4")) for _ in range(40)]
+    sets = sets + [np.sort(np.append(x[:-3], [70, 71, 72]).astype("<u4")) for x in sets]
+    n, bands, own = len(sets), np.ones((len(sets), near_dedup.BANDS), np.int64), np.arange(len(sets))
+    want = {(i, j) for i in range(n) for j in range(i) if near_dedup.similarity(sets[i], sets[j]) >= 0.6}
+
+    def joined(links):
+        label = own.copy()
+        for a, b in links:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == x)) for x in set(label)}
+
+    assert len(joined(want)) > 2
+    assert joined(near_dedup.settle(1, own, own * 0, bands, sets, 0.6)) == joined(want)
+    cut = own % 3
+    parts = [near_dedup.settle(1, own[on], cut[on], bands[on], [sets[k] for k in np.flatnonzero(on)], 0.6) for p in range(3) for q in range(p, 3) for on in [(cut == p) | (cut == q)]]
+    assert joined(sum(parts, [])) == joined(want)
+
+
 def test_probminhash_estimates_probability_jaccard():
     rnd = random.Random(3)
     base = [f"w{rnd.randrange(500)}" for _ in range(200)]
