@@ -1,18 +1,26 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks, cut at block-level tags. Each block is described by its word
-count and link density, those of the blocks before and after it, and by where it stands: inside an article
-or main element, or inside navigation, page furniture, forms, adverts and comments. A decision tree, fitted
-on the blocks of the small labelled pages below, keeps or drops each block.
-
-Defined cases: null or empty html gives an empty text; a page without blocks gives an empty text; broken
-markup is read to its end (an unclosed script, style or comment runs to the end of the page); character
-references are decoded once; rows are independent, so repeated rows give repeated results.
+A page becomes a flat list of text blocks, cut at block-level tags. A block is described by its word count and link
+density and those of the blocks before and after it; beside these stand what its tags say: whether it is a heading,
+whether it lies in the article or main element, and whether an element around it is page furniture (navigation, form,
+advert, comments, by tag or by a word of its class, id or role). The tree's upper splits are on word counts and link
+densities only; tags come in below, where those leave a block undecided. It is fitted on the blocks of a small
+labelled table, `LABELLED` and pages laid out by rule (`laid_out`), each page once with and once without its tags, so
+that it can tell text on pages whose tags say nothing.
+
+A mark on an element tells nothing of what it holds if that is the article or main element, or, for class words and
+forms on pages without either, most of the page's words.
+
+Defined cases: null or empty html gives an empty text; a page without blocks gives an empty text; broken markup is
+read to its end (an unclosed script, style or comment runs to the end of the page); character references are decoded
+once; a very long text is read whole, in one pass; rows are independent, so repeated rows and ties give equal results;
+an empty table gives an empty result; other columns are ignored unless named in `keep`.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,17 +35,41 @@ from . import common as C
 # Element names of HTML by how they matter here.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe noembed noframes xmp svg math object canvas audio video select button".split())
-FURNITURE = set("nav footer aside form menu dialog".split())
+#: Elements whose contents are no text of the page: scripts, styles, controls, what stands in for media, and notes to machines.
+RAW = set("script style title textarea noscript template iframe noembed noframes object canvas audio video select button desc annotation annotation-xml".split())
+#: Those of them that stand within a line.
+INLINE_RAW = set("object canvas audio video select button iframe textarea annotation annotation-xml".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+FURNITURE = set("nav footer aside form menu dialog search".split())
 MAIN = {"article", "main"}
 #: Words in class, id or role that mark what is not the article.
 HINTS = set("ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot comment comments discuss disqus respond reply replies cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager tags copyright legal search form complementary contentinfo".split())
+#: Beside these words a hint is no mark: a state (has-sidebar, comments-open) or a part of the article (entry-header).
+STATES = set("has with no without is open closed enabled disabled allowed off on".split())
+PARTS = set("article post entry story content main text body".split())
 SPLIT = re.compile(r"[^a-z]+")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 HIDDEN = re.compile(r"(?:^|[\s/])hidden(?:[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "furniture")
+FLAT = ("words", "links", "words_before", "links_before", "words_after", "links_after")
+FEATURES = (*FLAT, "heading", "place", "furniture")
+#: Splits from the root that only the flat features may make, all splits, and the fewest blocks of a leaf.
+FLAT_LEVELS, DEPTH, LEAST_LEAF = 3, 9, 4
+#: Words of a piece of furniture that is an example without its tags too, at most.
+BRIEF = 6
+#: Pages laid out by rule for the labelled table, and the seed of the deal.
+PAGES, DEAL = 900, 11
+
+
+def marked(value: str) -> bool:
+    """Whether a class, id or role marks furniture."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split():
+        words = SPLIT.split(name)
+        if HINTS.intersection(words) and not STATES.intersection(words) and not (words[0] in PARTS and words[-1] in ("header", "foot", "footer", "banner", "tags", "legal")):
+            return True
+    return False
+
 
 #: Labelled pages: (html, one digit for each block: 1 main text, 0 not). Written for this table.
 LABELLED: list[tuple[str, str]] = [
@@ -63,11 +95,16 @@ class Blocks:
 
     def __init__(self, page: str):
         self.texts: list[str] = []
-        self.rows: list[list[float]] = []
+        self.rows: list[tuple] = []
         self.parts: list[tuple[str, bool]] = []
-        self.stack: list[tuple[str, int, int, int]] = []
+        self.stack: list[tuple[str, int, bool]] = []
         self.open: Counter = Counter()
-        self.main = self.furniture = self.link = 0
+        self.main: list[str] = []
+        self.marks: list[int] = []  # open elements that are marked as furniture
+        self.kinds: list[str] = []  # of each marked element: tag, form or class
+        self.around: list[int] = []  # and the marked element that it lies in, or -1
+        self.holds_main: set[int] = set()
+        self.heading = self.link = 0
         self.missing: set[str] = set()
         self.read(page)
         self.flush()
@@ -80,7 +117,7 @@ class Blocks:
             words = len(text.split(" "))
             linked = sum(len(x.split()) for x, in_link in self.parts if in_link)
             self.texts.append(text)
-            self.rows.append([words, min(1.0, linked / words), self.main > 0, self.furniture > 0])
+            self.rows.append((words, min(1.0, linked / words), self.heading > 0, "article" in self.main, bool(self.main), self.marks[-1] if self.marks else -1))
         self.parts = []
 
     def read(self, page: str) -> None:
@@ -142,7 +179,7 @@ class Blocks:
 
     def tag(self, page: str, name: str, closing: bool, attributes: str, at: int) -> int:
         if name in RAW and not closing:
-            if name in ("svg", "math", "object", "canvas", "audio", "video", "select", "button", "iframe", "textarea"):
+            if name in INLINE_RAW or (name == "title" and self.open["svg"]):
                 self.parts.append((" ", False))
             else:
                 self.flush()
@@ -180,69 +217,111 @@ class Blocks:
                 self.pop()
 
     def push(self, name: str, attributes: str) -> None:
-        main = name in MAIN
-        bad = name in FURNITURE or (name == "header" and not self.main)
-        if attributes and name not in ("html", "body") and not bad:
-            for key, value in ATTRIBUTE.findall(attributes):
-                if key.lower() in ("class", "id", "role") and HINTS.intersection(SPLIT.split(value.lower())):
-                    bad = True
-            bad = bad or bool(HIDDEN.search(attributes))
-        link = name == "a"
-        self.stack.append((name, main, bad, link))
+        kind = ""
+        if name in FURNITURE or (name == "header" and not self.main):
+            kind = "form" if name == "form" else "tag"
+        elif attributes and name not in ("html", "body"):
+            if any(key.lower() in ("class", "id", "role") and marked(value) for key, value in ATTRIBUTE.findall(attributes)):
+                kind = "class"
+            elif HIDDEN.search(attributes):
+                kind = "tag"
+        if name in MAIN and not kind:
+            for m in reversed(self.marks):
+                if m in self.holds_main:
+                    break
+                self.holds_main.add(m)
+            self.main.append(name)
+        if kind:
+            self.around.append(self.marks[-1] if self.marks else -1)
+            self.marks.append(len(self.kinds))
+            self.kinds.append(kind)
+        self.stack.append((name, kind != "", name in MAIN and not kind))
         self.open[name] += 1
-        self.main += main
-        self.furniture += bad
-        self.link += link
+        self.heading += name in HEADINGS
+        self.link += name == "a"
 
     def pop(self) -> str:
-        name, main, bad, link = self.stack.pop()
+        name, is_mark, is_main = self.stack.pop()
         self.open[name] -= 1
-        self.main -= main
-        self.furniture -= bad
-        self.link -= link
+        if is_main:
+            self.main.pop()
+        if is_mark:
+            self.marks.pop()
+        self.heading -= name in HEADINGS
+        self.link -= name == "a"
         return name
 
     def features(self) -> np.ndarray:
-        """One row for each block, as FEATURES names them; place: 1 in main text, 0 unknown, -1 outside it."""
+        """One row for each block, as FEATURES names them; place: 1 in the article, 0.5 in main beside an article, 0
+        unknown, -1 outside of both."""
+        out = np.zeros((len(self.rows), len(FEATURES)))
         if not self.rows:
-            return np.zeros((0, len(FEATURES)))
-        own = np.array(self.rows, float)
-        out = np.zeros((len(own), len(FEATURES)))
-        out[:, 0:2] = own[:, 0:2]
-        out[1:, 2:4] = own[:-1, 0:2]
-        out[:-1, 4:6] = own[1:, 0:2]
-        has_main = (own[:, 2] * (1 - own[:, 3])).any()
-        out[:, 6] = np.where(own[:, 2] > 0, 1, -1) if has_main else 0
-        out[:, 7] = own[:, 3]
+            return out
+        out[:, :3] = [(r[0], r[1], 0) for r in self.rows]
+        inside = [0] * len(self.kinds)
+        for r in self.rows:
+            if r[5] >= 0:
+                inside[r[5]] += r[0]
+        for m in range(len(inside) - 1, -1, -1):  # elements come after those that they lie in
+            if self.around[m] >= 0:
+                inside[self.around[m]] += inside[m]
+        most = sum(r[0] for r in self.rows) / 2
+        has_main = any(r[4] for r in self.rows)
+        bad_within = [False] * (len(inside) + 1)  # the last one stands for no mark
+        for m, kind in enumerate(self.kinds):
+            void = m in self.holds_main or (not has_main and kind != "tag" and inside[m] > most)
+            bad_within[m] = not void or bad_within[self.around[m]]
+        bad = np.array([bad_within[r[5]] for r in self.rows])
+        article, main = (np.array([r[k] for r in self.rows]) & ~bad for k in (3, 4))
+        out[1:, 2:4] = out[:-1, 0:2]
+        out[0, 2] = 0
+        out[:-1, 4:6] = out[1:, 0:2]
+        out[:, 6] = [r[2] for r in self.rows]
+        if article.any():
+            out[:, 7] = np.where(article, 1, np.where(main, 0.5, -1))
+        elif main.any():
+            out[:, 7] = np.where(main, 1, -1)
+        out[:, 8] = bad
         return out
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> list[tuple]:
-    """A decision tree by Gini impurity, as a list of (feature, threshold, left, right) and (-1, class)."""
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, flat: int = len(FLAT)) -> list[tuple]:
+    """A decision tree by Gini impurity, as a list of (feature, threshold, left, right) and (-1, class). Its first
+    FLAT_LEVELS splits are on the first `flat` features; equal gains go to the first feature, then the least threshold."""
     nodes: list[tuple] = []
 
-    def grow(rows: np.ndarray, left: int) -> int:
+    def grow(rows: np.ndarray, level: int) -> int:
         own = len(nodes)
         nodes.append(())
         share = y[rows].mean()
         best = (share * (1 - share) * len(rows) - 1e-9, None)
-        if left and 0 < share < 1:
-            for f in range(x.shape[1] - 1, -1, -1):
-                values = np.unique(x[rows, f])
-                for t in (values[1:] + values[:-1]) / 2:
-                    low = x[rows, f] <= t
-                    a, b = y[rows][low], y[rows][~low]
-                    loss = a.mean() * (1 - a.mean()) * len(a) + b.mean() * (1 - b.mean()) * len(b)
-                    if loss < best[0] - 1e-9:
-                        best = (loss, (f, float(t), low))
+        if level < depth and 0 < share < 1:
+            for f in range(flat if level < FLAT_LEVELS else x.shape[1]):
+                order = rows[np.argsort(x[rows, f], kind="stable")]
+                v, hits = x[order, f], np.cumsum(y[order])
+                at = np.arange(1, len(v))
+                ok = np.flatnonzero((v[1:] > v[:-1]) & (at >= LEAST_LEAF) & (len(v) - at >= LEAST_LEAF))
+                if not len(ok):
+                    continue
+                low, high = at[ok], len(v) - at[ok]
+                a, b = hits[ok] / low, (hits[-1] - hits[ok]) / high
+                loss = a * (1 - a) * low + b * (1 - b) * high
+                k = int(loss.argmin())
+                if loss[k] < best[0] - 1e-9:
+                    best = (float(loss[k]), (f, float((v[ok[k]] + v[ok[k] + 1]) / 2)))
+        if best[1] is None and level < FLAT_LEVELS and level < depth and 0 < share < 1:
+            level = FLAT_LEVELS  # no flat feature helps here: the tags may
+            nodes.pop()
+            return grow(rows, level)
         if best[1] is None:
             nodes[own] = (-1, int(share >= 0.5))
         else:
-            f, t, low = best[1]
-            nodes[own] = (f, t, grow(rows[low], left - 1), grow(rows[~low], left - 1))
+            f, t = best[1]
+            low = x[rows, f] <= t
+            nodes[own] = (f, t, grow(rows[low], level + 1), grow(rows[~low], level + 1))
         return own
 
-    grow(np.arange(len(y)), depth)
+    grow(np.arange(len(y)), 0)
     return nodes
 
 
@@ -260,7 +339,95 @@ def apply_tree(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(labelled: list[tuple[str, str]] = LABELLED) -> list[tuple]:
+def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
+    """Labelled pages made by rule: what a page has around its text, and how it is marked, is drawn for each page.
+    A run of three or more blocks that are links only is a menu wherever it stands; a single one is text."""
+    rnd = random.Random(seed)
+
+    def words(low: int, high: int) -> str:
+        return " ".join("".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(low, high)))
+
+    def links(count: int, item: str) -> str:
+        longest = rnd.choice((2, 4, 12))
+        return "".join(f"<{item}><a href='/{words(1, 1)}'>{words(1, longest)}</a></{item}>" for _ in range(count))
+
+    out = []
+    for k in range(n):
+        page: list[str] = []
+        labels: list[str] = []
+
+        def add(html_of: str, label: str, page=page, labels=labels) -> None:
+            page.append(html_of)
+            labels.append(label)
+
+        def wrapped(tag: str, mark: str, inner: str, label: str) -> None:
+            add(f"<{tag}{' class=' + mark if mark else ''}>{inner}</{tag}>", label)
+
+        tags = k % 4  # 0: article, 1: main with article, 2: main alone, 3: neither
+        named = rnd.random() < 0.5  # whether furniture outside is named by tag or class
+        short = k % 3 == 0  # a note of few words, often with little around it
+        likely = (0.0, 0.5, 0.5)[k // 4 % 3] if short else 1.0
+        there = lambda share, likely=likely: rnd.random() < share * likely
+        if there(0.9):
+            count = rnd.choice((1, 2, 3, 5, 8))
+            wrapped("nav" if named else "div", "", links(count, rnd.choice(("li", "div", "p"))), "0" * count)
+        if there(0.5):
+            wrapped("header" if named else "div", "" if named else "masthead", words(1, 5), "0")
+        if there(0.6):
+            wrapped("div", rnd.choice(("ad", "banner", "promo", "cookie-notice")), words(3, 25), "0")
+        if tags in (1, 2):
+            page.append(rnd.choice(("<main>", "<main class='content has-sidebar'>", "<main id=main>")))
+            if rnd.random() < 0.4:
+                few = rnd.choice((3, 4))
+                add(f"<ul>{links(few, 'li')}</ul>", "0" * few)
+        if tags in (0, 1):
+            page.append(rnd.choice(("<article>", "<article class='post comments-open'>", "<article id=post-12>")))
+        head = f"<h1>{words(1, 9)}</h1>"
+        if not short or rnd.random() < 0.5:
+            add(rnd.choice((head, f"<div class=article-header>{head}</div>", f"<header>{head}</header>" if tags < 3 else head)), "1")
+        for _ in range(rnd.randint(1, 4) if short else rnd.randint(3, 12)):
+            draw = 0.52 + 0.21 * rnd.random() if short else rnd.random()
+            if draw < 0.62:
+                add(f"<p>{words(18, 90)}</p>", "1")
+            elif draw < 0.72:
+                add(f"<p>{words(1, 8)}</p>", "1")
+            elif draw < 0.78:
+                add(f"<p>{words(8, 30)} <a href=x>{words(1, 4)}</a> {words(2, 9)}</p>", "1")
+            elif draw < 0.81:
+                add(f"<p><a href=x>{words(1, 12)}</a></p>", "1")
+                add(f"<p>{words(2, 60)}</p>", "1")
+            elif draw < 0.85:
+                add(f"<h2>{words(1, 5)}</h2>", "1")
+                add(f"<p>{words(18, 60)}</p>", "1")
+            elif draw < 0.89:
+                add(f"<ul><li>{words(3, 15)}</li><li>{words(2, 15)}</li></ul>", "11")
+            elif draw < 0.94:
+                few = rnd.choice((3, 4, 5))
+                add(f"<ul>{links(few, 'li')}</ul>", "0" * few)
+                add(f"<p>{words(18, 60)}</p>", "1")
+            else:
+                wrapped(rnd.choice(("div", "aside")), rnd.choice(("newsletter", "share", "ad", "related")), words(2, 20), "0")
+                add(f"<p>{words(18, 60)}</p>", "1")
+        if tags in (0, 1):
+            page.append("</article>")
+        if there(0.3):
+            for _ in range(rnd.randint(1, 4)):
+                wrapped("div", rnd.choice(("comment", "comments")), words(4, 40), "0")
+        if tags in (1, 2):
+            page.append("</main>")
+        if there(0.5):
+            few = rnd.choice((1, 2, 3, 6))
+            wrapped("aside" if named else "div", "", links(few, rnd.choice(("li", "p"))), "0" * few)
+        if named and there(0.3):
+            wrapped("form", "", words(2, 8), "0")
+        if there(0.8):
+            wrapped("footer" if named else "div", "", words(2, 12), "0")
+        out.append((f"<html><body>{''.join(page)}</body></html>", "".join(labels)))
+    return out
+
+
+def examples(labelled: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks."""
     x, y = [], []
     for page, classes in labelled:
         rows = Blocks(page).features()
@@ -268,7 +435,20 @@ def train(labelled: list[tuple[str, str]] = LABELLED) -> list[tuple]:
             raise ValueError(f"{len(rows)} blocks, {len(classes)} labels: {page[:60]}")
         x.append(rows)
         y += map(int, classes)
-    return fit_tree(np.concatenate(x), np.array(y, float))
+    return np.concatenate(x), np.array(y, float)
+
+
+def train(labelled: list[tuple[str, str]] | None = None) -> list[tuple]:
+    x, y = examples(LABELLED + laid_out() if labelled is None else labelled)
+    # without tags, a long notice or comment can't be told from text: such blocks are no examples
+    some = (x[:, -1] == 0) | (x[:, 0] <= BRIEF)
+    blank = x[some]
+    blank[:, len(FLAT) + 1 :] = 0
+    # where tags speak of a block that is no links, they do so whatever the lengths around it: flat features dealt anew
+    told = (x[:, len(FLAT) + 1] != 0) & (x[:, 1] < 0.5)
+    dealt = x[told]
+    dealt[:, : len(FLAT)] = dealt[np.random.default_rng(DEAL).permutation(len(dealt)), : len(FLAT)]
+    return fit_tree(np.concatenate([x, blank, dealt]), np.concatenate([y, y[some], y[told]]))
 
 
 def main_text(page: str | None, tree: list[tuple]) -> str:

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, html_extract, langid, merkle, mixing, near_dedup, pieces, quality, secret_scan, url_filter
+from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, pieces, quality, secret_scan, url_filter
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -459,21 +459,6 @@ def test_merkle_fingerprints(spark, docs, none):
     assert one.near_next == 1.0
 
 
-def test_html_extraction(spark):
-    tree = html_extract.train()
-    page = '<html><head><title>t</title><style>p{}</style><script>var a="</p><p>x";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>c</p> --><div class="ad">Buy this lamp now, it is the best lamp there is in the whole town.</div><article><h1>A &amp; B&amp</h1><p><b>First\n  line.<br><p>Second &lt;p&gt; line</p><p></p><p>Of.</p><div class="comments"><p>I like this very much indeed, dear author.</p></div></article><aside>More</aside><footer>&copy; me</footer>'
-    assert html_extract.main_text(page, tree) == "A & B&\nFirst line.\nSecond <p> line\nOf."
-    odd = [None, "", "<", "<p", "plain", "<script>never closed <p>x", "<!-- open", "<a '\"" * 2000, "</div>" * 5000 + "<div>" * 5000, "<p>" + "word " * 40000]
-    frame = spark.createDataFrame([(k, "u", h, "clash") for k, h in enumerate([*odd, page, page])], "page_id long, url string, html string, text string")
-    got = {r.page_id: r for r in html_extract.extract(frame).collect()}
-    assert len(got) == len(odd) + 2 and got[len(odd)].text == got[len(odd) + 1].text
-    assert all(r.n_chars == len(r.text) for r in got.values()) and got[0].text == ""
-    assert html_extract.extract(frame.limit(0)).count() == 0
-    grid = np.array([[w, l, wb, lb, wa, la, p, f] for w in (1, 4, 40) for l in (0, 1) for wb in (0, 40) for lb in (0, 1) for wa in (0, 40) for la in (0, 1) for p in (-1, 0, 1) for f in (0, 1)], float)
-    kept = html_extract.apply_tree(tree, grid)
-    assert kept[(grid[:, 6] == 1) & (grid[:, 7] == 0)].all() and not kept[grid[:, 7] == 1].any() and not kept[grid[:, 6] == -1].any()
-
-
 def test_held_out_remainders(spark):
     from graphnom.llm import common
 
