@@ -27,6 +27,14 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def text_first(df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
+    """The column under a name that none of `keep` has, and after it those."""
+    name = "_text"
+    while name in keep:
+        name += "_"
+    return df.select(F.col(column).alias(name), *keep)
+
+
 #: Columns that tell rows apart, where doc_id may be null or repeated: equal for equal texts of one id only.
 ROW_KEY = ("_key_id", "_key_text")
 

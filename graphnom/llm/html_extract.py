@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -466,5 +465,5 @@ def extract(pages: DataFrame, tree: list[tuple] | None = None, keep: tuple[str,
             texts = [main_text(x.as_py(), tree) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
-    kept = pages.select(F.col("html").alias("_html"), *keep)
+    kept = C.text_first(pages, "html", keep)
     return C.arrow_map(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]), "text string, n_chars long"]))

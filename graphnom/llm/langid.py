@@ -134,5 +134,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
                 scores += [float(c) if n else 0.0 for c, n in zip(chance, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    kept = docs.select(F.col("text").alias("_text"), *keep)
+    kept = C.text_first(docs, "text", keep)
     return C.arrow_map(kept, predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]), "lang_pred string, score double"]))

@@ -306,7 +306,7 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
                     names += ["n_ids", "ids_sha256", "decoded_sha256", "round_trip"]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
-    kept = docs.select(F.col("text").alias("_text"), *keep)
+    kept = C.text_first(docs, "text", keep)
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]), "ids array<int>"]
     if digests:
         schema += ["n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean"]

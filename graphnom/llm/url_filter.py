@@ -1,17 +1,21 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees see a URL's length, depth, digit ratio, entropy, parameter counts and suffix statistics (the
-smoothed share of blocked URLs for each host suffix among the labelled ones). They are trained from a table of
-labelled URLs; `labelled_urls` makes the default one by rule. The verdicts of the rules are not used as labels:
-those rules go by place, and would teach the trees that a language folder or a top-level domain is bad.
-
-Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and is judged by the
-trees on its text (null: the empty text); repeated rows get equal verdicts; other columns are ignored.
+The trees see a URL's length, depth, digit ratio, entropy, parameter counts, and statistics of its host: the smoothed
+share of blocked URLs among the labelled ones that end in the same suffix, or hold the same word. They are trained
+from a table of labelled URLs; `labelled_urls` makes the default one by rule, with six kinds of URLs to be blocked,
+each told by other features, and hyphens, digits, parameters and folders among the others too. The verdicts of the
+rules are not used as labels: those rules go by place, and would teach that a language folder is bad.
+
+Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and is judged by the trees
+on its text (null: the empty text); an even chance blocks; a very long URL is read whole; repeated rows get equal
+verdicts; an empty table gives an empty result; without labelled URLs every chance is even; other columns are ignored
+unless named in `keep`.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,38 +32,62 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most labelled URLs that the trees are trained on; the table is taken in the order of its hashes.
 MAX_LABELLED = 20_000
-TREES, DEPTH, RATE, LEAST_LEAF = 60, 3, 0.2, 8
+TREES, DEPTH, RATE, LEAST_LEAF = 60, 4, 0.2, 10
+#: URLs of the default table, and the share of its labels that are turned.
+DEFAULT_LABELLED, NOISE = 4000, 0.02
+#: Weight of the prior in a suffix's or word's statistic, and the fewest URLs that it is told from.
+PRIOR_WEIGHT, LEAST_SEEN = 20, 5
+
+# Words and suffixes that the default labelled table is made of, suffixes with their weights.
+SPAM_WORDS = "casino poker slots jackpot betting bets bonus viagra cialis pills pharmacy payday loans credit replica watches cheap discount free prize winner adult porn xxx sex cam dating escort torrent crack keygen warez spam ads tracker".split()
+PLAIN_SUFFIXES = "com com com com com com org org org org net net net edu edu de de fr es co.uk gov info io xyz".split()
+BAD_SUFFIXES = "xyz xyz top top click click loan loan win bid buzz gq tk tk cf com net info".split()
+FOLDERS = "news blog en de fr es archive category shop help about docs wiki forum 2019 2022 2024 05 11".split()
+
+
+def labelled_urls(n: int = DEFAULT_LABELLED, seed: int = 3) -> list[tuple[str, int]]:
+    """(url, 1 if to be blocked), made by rule. A URL to be blocked has one trait of six: a random host, many
+    parameters, great depth, a suffix that few others have, advertised words in its host, or a host of digits. What
+    its trait does not settle is drawn as for the other URLs."""
+    rnd = random.Random(seed)
+
+    def word(low: int = 1, high: int = 4) -> str:
+        return "".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") + rnd.choice(("", "", "n", "r", "s", "st")) for _ in range(rnd.randint(low, high)))
 
-# Words that the default labelled table is made of.
-PLAIN_WORDS = "river stone maple harbor north letter garden winter bridge summit meadow paper copper valley orchard lantern".split()
-BAD_WORDS = "pills casino adult bets spam ads cheap free win farm track loans xxx poker deals viagra".split()
-SUFFIXES = "com net org info".split()
+    def code(low: int, high: int) -> str:
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rnd.randint(low, high)))
 
+    def spam() -> str:
+        return rnd.choice(SPAM_WORDS)
 
-def labelled_urls(n: int = 1600) -> list[tuple[str, int]]:
-    """(url, 1 if to be blocked), made by rule: blocked hosts join words by hyphens or carry digits; paths,
-    schemes, suffixes and parameters are dealt alike to both kinds."""
     out = []
-    state = 12345
-    def draw(k: int) -> int:
-        nonlocal state
-        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        return (state >> 33) % k
-
-    for i in range(n):
-        bad = i % 2
-        front = ("", "www.", "blog.", "m.")[draw(4)]
-        if bad:
-            a, b = BAD_WORDS[draw(len(BAD_WORDS))], BAD_WORDS[draw(len(BAD_WORDS))]
-            name = (f"{a}-{b}", f"{a}-{b}-{draw(90) + 10}", f"{a}-x", f"{a}{draw(9000) + 100}-{b}")[draw(4)]
-        else:
-            a, b = PLAIN_WORDS[draw(len(PLAIN_WORDS))], PLAIN_WORDS[draw(len(PLAIN_WORDS))]
-            name = (a, a + b, a + b[:3], a[:4])[draw(4)]
-        middle = ("", "example.", "site.")[draw(3)]
-        folder = ("en/", "de/", "fr/", "es/", "", "news/2024/")[draw(6)]
-        page = (str(draw(60000)), f"{draw(60000)}.html", f"{draw(60000)}/", PLAIN_WORDS[draw(len(PLAIN_WORDS))])[draw(4)]
-        tail = ("", "?utm_source=feed", "?page=2&ref=x", "#top", "")[draw(5)]
-        out.append((f"{('http', 'https')[draw(2)]}://{front}{name}.{middle}{SUFFIXES[draw(len(SUFFIXES))]}/{folder}{page}{tail}", bad))
+    for k in range(n):
+        trait = k // 2 % 6 if k % 2 else None
+        joint = rnd.choice(("", "", "-"))
+        name = joint.join(word() for _ in range(rnd.choice((1, 1, 2, 2, 3))))
+        if rnd.random() < 0.1:
+            name += str(rnd.randint(1, 2030))
+        front = rnd.choice(("", "", "www.", "www.", word(1, 2) + "."))
+        suffix = rnd.choice(PLAIN_SUFFIXES)
+        parts = [rnd.choice((rnd.choice(FOLDERS), word(1, 3), "-".join(word(1, 3) for _ in range(rnd.randint(2, 6))))) for _ in range(rnd.choice((0, 1, 1, 2, 2, 3, 4)))]
+        page = rnd.choice(("", "", str(rnd.randint(1, 99999)), word() + ".html", "-".join(word(1, 2) for _ in range(4)), f"{rnd.randint(1, 9999)}.html"))
+        params = [f"{word(1, 2)}={rnd.choice((word(1, 2), str(rnd.randint(1, 500))))}" for _ in range(rnd.choice((0, 0, 0, 0, 1, 1, 2)))]
+        if trait == 0:
+            name = code(12, 28)
+        elif trait == 1:
+            params = [f"{code(1, 6)}={code(4, 24)}" for _ in range(rnd.randint(4, 10))]
+        elif trait == 2:
+            parts = [word(1, 2) for _ in range(rnd.randint(7, 14))]
+        elif trait == 3:
+            suffix = rnd.choice(BAD_SUFFIXES)
+        elif trait == 4:
+            name = rnd.choice(("", "-")).join([spam(), *rnd.choice(([], [spam()], [word(1, 2)], [spam(), spam()]))])
+        elif trait == 5:
+            name = rnd.choice((f"{word(1, 1)}{rnd.randint(10**5, 10**9)}", ".".join(str(rnd.randint(1, 254)) for _ in range(3)), f"{rnd.randint(10**3, 10**6)}-{rnd.randint(10, 10**4)}"))
+        path = "/".join(["", *parts, page])
+        tail = "?" + "&".join(params) if params else rnd.choice(("", "", "", "#" + word(1, 2)))
+        label = int((trait is not None) != (rnd.random() < NOISE))
+        out.append((f"{rnd.choice(('http', 'https'))}://{front}{name}.{suffix}{path}{tail}", label))
     return out
 
 
@@ -83,28 +111,34 @@ def rule_columns(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 HOST = re.compile(r"://([^/?#]*)")
 
 
+WORDS = re.compile(r"[a-z]{2,}")
+FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "host_labels", "hyphens", "escapes", "longest_label", "suffix", "domain", "host_word")
+
+
 def suffixes(host: str) -> tuple[str, str]:
+    """The last label of a host, and its last two."""
     labels = host.lower().split(".")
     return labels[-1], ".".join(labels[-2:])
 
 
+def entropy(text: str) -> float:
+    n = max(1, len(text))
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+
+
 def lexical(url: str, stats: dict[str, float], prior: float) -> list[float]:
-    """The features of one URL."""
+    """The features of one URL, as FEATURES names them. stats: shares of suffixes, and of words under `word:`."""
     match = HOST.search(url)
-    host = match[1] if match else ""
+    host = match[1].lower() if match else ""
     rest = url[match.end() :] if match else url
     query = rest.partition("?")[2].partition("#")[0]
     path = re.split(r"[?#]", rest, maxsplit=1)[0]
-    n = max(1, len(url))
-    counts = Counter(url)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = sum(c.isdigit() for c in url)
-    name = host.lower()
+    last, last_two = suffixes(host)
+    shares = [stats[k] for w in WORDS.findall(host) if (k := "word:" + w) in stats]
     return [
-        len(url), len(host), len(path), path.count("/"), host.count("."), digits / n, sum(c.isdigit() for c in host), entropy,
-        query.count("=") if query else 0, query.count("&"), host.count("-"), url.count("%"),
-        max(map(len, re.split(r"[.\-_/]", name)), default=0),
-        *(stats.get(s, prior) for s in suffixes(name)),
+        len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host),
+        entropy(url), entropy(host), query.count("=") if query else 0, len(query), host.count("."), host.count("-"), url.count("%"),
+        max(map(len, re.split(r"[.\-_]", host)), default=0), stats.get(last, prior), stats.get(last_two, prior), max(shares, default=prior),
     ]
 
 
@@ -117,10 +151,11 @@ class Trees:
         seen, bad = Counter(), Counter()
         for url, b in labelled:
             match = HOST.search(url)
-            for s in suffixes(match[1]) if match else ():
+            host = match[1].lower() if match else ""
+            for s in {*suffixes(host), *("word:" + w for w in WORDS.findall(host))} if host else ():
                 seen[s] += 1
                 bad[s] += b
-        self.stats = {s: (bad[s] + 20 * self.prior) / (n + 20) for s, n in seen.items() if n >= 5}
+        self.stats = {s: (bad[s] + PRIOR_WEIGHT * self.prior) / (n + PRIOR_WEIGHT) for s, n in seen.items() if n >= LEAST_SEEN}
         self.trees: list[list[tuple]] = []
         self.base = math.log(self.prior / (1 - self.prior))
         if not labelled:
@@ -201,7 +236,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, model: T
             urls = [x.as_py() or "" for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(model.chance(urls), 9))], [*batch.schema.names[1:], "chance"])
 
-    split = split_url(pages.select(F.col("url").alias("_url"), *keep), "_url")
+    first = C.text_first(pages, "url", keep)
+    split = split_url(first, first.columns[0])
     ruled = split.withColumns({"rule": rule, "_verdict": verdict})
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ruled.schema[1:]), "chance double"])
     scored = C.arrow_map(ruled, run, schema)

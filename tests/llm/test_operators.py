@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, pieces, quality, secret_scan, url_filter
+from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, pieces, quality, secret_scan
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -252,20 +252,6 @@ def test_redaction_takes_values_out(docs):
     assert out.where("doc_id = 4 and text is null").count() == 1
 
 
-def test_url_rules_and_trees(spark):
-    urls = ["http://a.example.com/en/x", "https://WWW.Example.COM/en/", "http://x.net/es/1", "http://x.net/es", "http://y.example.net/fr/a?b=/c#d", "http://com/x", "http://notcom/", None, "no scheme", "http://a.org/en/1", "http://cheap-pills.example.org/en/2", "http://blog.casino-win.example.net/en/77?page=2&ref=x", "https://ththre.example.org/de/17#top", "http://x.com", "http://x.com?/"]
-    got = url_filter.judge(spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")).orderBy("page_id").collect()
-    assert [(r.host, r.path) for r in got[:5]] == [("a.example.com", "/en/x"), ("www.example.com", "/en/"), ("x.net", "/es/1"), ("x.net", "/es"), ("y.example.net", "/fr/a")]
-    assert [r.rule for r in got] == ["example.com/en/", "www.example.com/en/", "net/es/", None, "net/fr/", "com/", None, None, None, None, None, None, None, None, None]
-    assert (got[7].host, got[7].path) == ("", "") and (got[14].host, got[14].path) == ("x.com", "")
-    assert [r.verdict for r in got[:3]] == ["block", "allow", "block"]
-    assert [got[k].verdict for k in (9, 10, 11, 12)] == ["allow", "block", "block", "allow"]
-    labelled = url_filter.labelled_urls(1200)
-    model = url_filter.Trees(labelled[:800])
-    right = (model.chance([u for u, _ in labelled[800:]]) >= 0.5) == np.array([b for _, b in labelled[800:]], bool)
-    assert right.mean() > 0.97  # held out
-
-
 def test_language_identification(spark, docs, none):
     rnd = random.Random(6)
     kinds = {"aa": "lorem ipsum dolor amet", "bb": "zwei weg kraft büro", "cc": "ñandú cielo rojo más"}
