@@ -1,9 +1,10 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 The lattice of a text has an edge for each vocabulary piece that fits at a place. The search goes once over the
-text and keeps, for the places that a piece can still reach (a window as long as the longest piece), one best way
-to each. Every so often all ways are followed back to the boundary where they meet, and the ids before it are
-committed; what is kept after that does not grow with the text.
+text and keeps one best way to each place that a piece can still reach, a window as long as the longest piece. Ways
+are a tree of back pointers. A place that leaves the window with no way going on from it is taken out of the tree,
+and so are those before it that it leaves without one; as soon as all ways left go through one boundary, the ids
+before it are committed. What is kept does not grow with the text.
 
 The way to a place is scored as the model's kind asks. A unigram model sums piece scores. For a byte-pair model a
 way is allowed when each two neighbouring pieces are what merging their joint text gives: merges never cross a
@@ -11,11 +12,13 @@ border that they do not cross in the pair alone, so exactly one way is allowed a
 that merging the whole text gives. (Summing the scores of such a model, which are merge ranks, would give ids that
 the model's own encoder does not.) A character without a piece is spelled in byte pieces.
 
-Borders that no piece spans are known beforehand: there every way meets. Texts are cut at them and the cuts' ids
-are remembered, at most MEMORY of them.
+Borders that no piece spans are known beforehand: there every way meets. Texts are cut at them, every cut goes
+through the window, and the ids of short cuts are remembered in front of it, at most MEMORY of them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 decodes to a space, as the
-model writes spaces with it; rows are independent; the vocabulary file's bytes are read by the driver and sent.
+model writes spaces with it; of equal scores the longer last piece wins; a very long text is searched in one pass,
+with a window of the same length; rows are independent, repeated ones get equal ids; an empty table gives an empty
+result; other columns are ignored unless named in `keep`. The vocabulary file's bytes are read once and sent.
 """
 
 from __future__ import annotations
@@ -26,18 +29,18 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
 SPACE = "▁"
-#: Words and cuts whose ids a task remembers, and pairs of pieces that it has judged.
+#: Cuts whose ids a task remembers, and pairs of pieces that it has judged.
 MEMORY = 400_000
-#: Characters of a cut that is remembered, and whose beginnings' ways are.
-SHORT = 64
+#: Longest cut whose ids are remembered, in characters.
+REMEMBERED = 64
 
 
 class Vocabulary:
@@ -68,20 +71,27 @@ class Vocabulary:
                 self.spelled.append(p.piece.replace(SPACE, " ").encode())
             else:
                 self.spelled.append(b"")
-        self.longest = max(map(len, self.ids))
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            lengths.setdefault(p[-3:], set()).add(len(p))
-        self.lengths = {k: (*sorted((n for n in v if n > 2), reverse=True), 2, 1) for k, v in lengths.items() if len(k) == 3}
+        self.index()
         self.cut = self.cuts()
         size = np.array([len(x) for x in self.spelled], np.int64)
         self.size, self.start = size, np.cumsum(size) - size
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.lower = min(self.scores.values()) - 10.0
 
-    def ending(self, text: str, end: int) -> tuple[int, ...]:
-        """The lengths, longest first, that a piece ending at `end` can have."""
-        return self.lengths.get(text[end - 3 : end], (2, 1)) if end > 2 else (2, 1) if end > 1 else (1,)
+    def index(self) -> None:
+        """The automaton that finds the pieces ending at each place, longest first."""
+        self.longest = max(map(len, self.ids))
+        self.automaton = ahocorasick.Automaton()
+        for p in self.ids:
+            self.automaton.add_word(p, p)
+        self.automaton.make_automaton()
+
+    def matches(self, text: str) -> Iterator[tuple[int, str]]:
+        """(place of the last character, piece) in order; a character without a piece stands for itself."""
+        found = self.automaton.iter(text)
+        if alone := [(k, c) for k, c in enumerate(text) if c not in self.ids]:
+            return heapq.merge(found, alone, key=lambda x: x[0])
+        return found
 
     def cuts(self) -> re.Pattern | None:
         """Cuts at borders that no piece spans: before a run of spaces, around a line break without a piece,
@@ -101,8 +111,7 @@ class Encoder:
         self.v = vocabulary
         self.memory: dict[str, bytes] = {}
         self.allowed: dict[tuple[str, str], bool] = {}
-        self.ways: dict[str, str | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.searched = self.kept = 0  # characters that went through the window, and the most places kept
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text: always the best-scored neighbours, the leftmost on a tie."""
@@ -133,97 +142,72 @@ class Encoder:
         found = self.allowed[a, b] = self.merged(a + b) == [a, b]
         return found
 
-    def only(self, text: str, end: int, last: list[str | None], base: int) -> str | None:
-        """Byte-pair model: the last piece of the allowed way to `end`, None if there is none."""
-        ids, allowed = self.v.ids, self.allowed
-        for n in self.v.ending(text, end):
-            k = end - n - base
-            if k >= 0 and ((piece := text[end - n : end]) in ids or n == 1) and (was := last[k]) is not None:
-                if not was or ((found := allowed.get((was, piece))) or found is None and self.pair(was, piece)):
-                    return piece
-        return None
-
-    def way(self, text: str) -> str | None:
-        """`only` at the end of a short text, with the places before it filled as they are asked for; the
-        beginnings of texts that went before are remembered."""
-        ids, allowed, ways = self.v.ids, self.allowed, self.ways
-        end = len(text)
-        out = None
-        for n in self.v.ending(text, end):
-            if n <= end and ((piece := text[end - n :]) in ids or n == 1):
-                if n == end:
-                    out = piece
-                    break
-                before = text[: end - n]
-                was = ways.get(before, 0)
-                if was == 0:
-                    was = self.way(before)
-                if was is not None and ((found := allowed.get((was, piece))) or found is None and self.pair(was, piece)):
-                    out = piece
-                    break
-        if len(ways) >= MEMORY:
-            ways.clear()
-        ways[text] = out
-        return out
-
-    def best(self, text: str, end: int, last: list[str | None], total: list[float], base: int) -> tuple[str | None, float]:
-        """Unigram model: the last piece of the best-scored way to `end`, and its score."""
-        scores = self.v.scores
-        best, best_score = None, 0.0
-        for n in range(min(self.v.longest, end - base), 0, -1):
-            k, piece = end - n - base, text[end - n : end]
-            if last[k] is not None and (piece in scores or n == 1):
-                score = total[k] + scores.get(piece, self.v.lower)
+    def merge_steps(self, text: str, nodes: dict[int, list]) -> Iterator[tuple[int, str, float]]:
+        """Byte-pair model: for each place that the allowed way reaches, the way's last piece."""
+        allowed, solved = self.allowed, 0
+        for at, piece in self.v.matches(text):
+            end = at + 1
+            if end != solved and (node := nodes.get(end - len(piece))):
+                was = node[0]
+                if was:
+                    found = allowed.get((was, piece))
+                    if found is None:
+                        found = self.pair(was, piece)
+                    if not found:
+                        continue
+                solved = end
+                yield end, piece, 0.0
+
+    def score_steps(self, text: str, nodes: dict[int, list]) -> Iterator[tuple[int, str, float]]:
+        """Unigram model: for each place, the last piece of the best-scored way to it, and its score."""
+        scores, lower = self.v.scores, self.v.lower
+        at_end, best, best_score = 0, None, 0.0
+        for at, piece in self.v.matches(text):
+            if at + 1 != at_end:
+                if best is not None:
+                    yield at_end, best, best_score
+                at_end, best = at + 1, None
+            if node := nodes.get(at_end - len(piece)):
+                score = node[3] + scores.get(piece, lower)
                 if best is None or score > best_score:
                     best, best_score = piece, score
-        return best, best_score
+        if best is not None:
+            yield at_end, best, best_score
 
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a text (a character without a piece stands for itself), committed as ways meet."""
-        longest, pairs = self.v.longest, self.v.pairs
-        if pairs and len(text) <= SHORT:
-            out, ways = [], self.ways
-            while text:
-                piece = ways.get(text, 0)
-                if piece == 0:
-                    piece = self.way(text)
-                out.append(piece)
-                text = text[: -len(piece)]
-            yield from reversed(out)
-            return
-        base = 0  # the boundary up to which pieces are committed
-        last: list[str | None] = [""]  # last piece of the way to base + k, None if there is none
-        total = [0.0]
-        for end in range(1, len(text) + 1):
-            if pairs:
-                last.append(self.only(text, end, last, base))
-            else:
-                piece, score = self.best(text, end, last, total, base)
-                last.append(piece)
-                total.append(score)
-            if len(last) > 4 * longest:
-                # follow all ways that a later piece can continue back to where they meet
-                alive = {k for k in range(len(last) - longest, len(last)) if last[k] is not None}
-                while len(alive) > 1:
-                    k = max(alive)
-                    alive.remove(k)
-                    alive.add(k - len(last[k]))
-                meet = alive.pop()
-                if meet:
-                    yield from self.back(last, meet)
-                    base += meet
-                    last, total = last[meet:], total[meet:]
-                    if not pairs:
-                        last[0] = ""
-        yield from self.back(last, len(last) - 1)
-
-    @staticmethod
-    def back(last: list[str | None], k: int) -> list[str]:
+        longest = self.v.longest
+        self.searched += len(text)
+        # the tree of ways: for each place its way's last piece, how many ways go on from it by one piece, the
+        # exclusive or of the places that they go on to (of a single one: that place), and the score
+        nodes: dict[int, list] = {0: ["", 0, 0, 0.0]}
+        root = 0  # the boundary up to which pieces are committed
+        passed = 0  # no later piece begins before this place
+        for end, piece, score in (self.merge_steps if self.v.pairs else self.score_steps)(text, nodes):
+            before = nodes[end - len(piece)]
+            before[1] += 1
+            before[2] ^= end
+            nodes[end] = [piece, 0, 0, score]
+            if passed > end - longest:
+                continue
+            for k in range(passed, end - longest + 1):
+                while k != root and (node := nodes.get(k)) and not node[1]:
+                    del nodes[k]  # no way goes on from here
+                    up = nodes[k - len(node[0])]
+                    up[1] -= 1
+                    up[2] ^= k
+                    k -= len(node[0])
+            passed = end - longest + 1
+            while root < passed and nodes[root][1] == 1:
+                root = nodes.pop(root)[2]
+                yield nodes[root][0]
+            self.kept = max(self.kept, len(nodes))
         out = []
-        while k > 0:
-            out.append(last[k])
-            k -= len(last[k])
-        return out[::-1]
+        end = len(text)
+        while end > root:
+            out.append(nodes[end][0])
+            end -= len(out[-1])
+        yield from reversed(out)
 
     def ids_of(self, cut: str) -> bytes:
         """The ids of a cut, as 32-bit numbers."""
@@ -240,33 +224,30 @@ class Encoder:
         written = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
         if self.v.cut is None:
             return np.frombuffer(self.ids_of(written), np.int32)
+        memory = self.memory
         if "  " in text or text[0] == " " or SPACE in text:  # runs of spaces go across words
-            return np.frombuffer(b"".join(map(self.cut_ids, self.v.cut.findall(written))), np.int32)
-        words = self.words
-        parts = text.split(" ")
-        found = [words.get(w) for w in parts]
+            return np.frombuffer(b"".join([memory.get(cut) or self.cut_ids(cut) for cut in self.v.cut.findall(written)]), np.int32)
+        # a word's cuts are those of the word with the space before it
+        parts = (SPACE + text).replace(" ", " " + SPACE).split(" ")
         if not self.v.prefix:
-            found[0] = b"".join(map(self.cut_ids, self.v.cut.findall(parts[0])))
-        for k, ids in enumerate(found):
-            if ids is None:
-                w = parts[k]
-                found[k] = ids = b"".join(map(self.cut_ids, self.v.cut.findall(SPACE + w)))
-                if len(w) <= SHORT:
-                    if len(words) >= MEMORY:
-                        words.clear()
-                    words[w] = ids
-        return np.frombuffer(b"".join(found), np.int32)
+            parts[0] = parts[0][1:]
+        return np.frombuffer(b"".join([memory.get(w) or self.word_ids(w) for w in parts]), np.int32)
+
+    def remember(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= REMEMBERED:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            self.memory[text] = ids
+        return ids
+
+    def word_ids(self, word: str) -> bytes:
+        cuts = self.v.cut.findall(word)
+        if len(cuts) == 1:
+            return self.cut_ids(word)
+        return self.remember(word, b"".join([self.memory.get(cut) or self.cut_ids(cut) for cut in cuts]))
 
     def cut_ids(self, cut: str) -> bytes:
-        """ids_of, remembered for short cuts."""
-        found = self.memory.get(cut)
-        if found is None:
-            found = self.ids_of(cut)
-            if len(cut) <= SHORT:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[cut] = found
-        return found
+        return self.remember(cut, self.ids_of(cut))
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
@@ -313,7 +294,11 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
     return C.arrow_map(kept, run, ", ".join(schema))
 
 
-def model_bytes(path: str | None = None) -> bytes:
-    """The vocabulary file's bytes; path: by default that of the public 32k model."""
-    with open(path or "/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
+def model_bytes(path: str | None = None, spark: SparkSession | None = None) -> bytes:
+    """The vocabulary file's bytes. path: by default that of the public 32k model; one with a scheme is read by Spark,
+    any other by the driver."""
+    path = path or "/opt/tokenizers/piece_bpe_32k.model"
+    if "://" in path:
+        return bytes((spark or SparkSession.active()).read.format("binaryFile").load(path).select("content").first()[0])
+    with open(path, "rb") as f:
         return f.read()

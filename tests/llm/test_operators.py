@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, pieces, quality, secret_scan
+from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, quality, secret_scan
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -328,43 +328,6 @@ def test_budget_fit_against_all_subsets():
     assert int(np.dot(many, np.arange(1, 2000))) == 10**12 + 12345
 
 
-def test_pieces_equal_the_library_and_come_back(spark, docs, none):
-    import sentencepiece
-
-    model = pieces.model_bytes()
-    library = sentencepiece.SentencePieceProcessor(model_proto=model)
-    v = pieces.Vocabulary(model)
-    encoder = pieces.Encoder(v)
-    rnd = random.Random(5)
-    letters = list(" abcdefghtheinr.,'\n\téü漢字😀0123<>/=_-   ")
-    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + [c * n for c in ("a", " ", "ab", "\n", "the ", "0") for n in (1, 2, 63, 64, 65, 500)] + ["", " ", "  ", " a", "a ", "a  b"]
-    for t in texts:
-        ids = encoder.encode(t)
-        assert ids.tolist() == library.encode(t), t
-        assert pieces.decode(v, ids) == t
-        # the window alone, without what is remembered
-        assert list(encoder.stream(pieces.SPACE + t.replace(" ", pieces.SPACE) if t else "")) == [p for p in encoder.merged(pieces.SPACE + t.replace(" ", pieces.SPACE) if t else "")]
-    got = pieces.tokenize(docs, model).collect()
-    assert len(got) == docs.count() and all(r.round_trip and r.n_ids == len(r.ids) for r in got)
-    assert pieces.tokenize(none, model).count() == 0
-
-
-def test_unigram_viterbi_against_every_segmentation():
-    v = pieces.Vocabulary(pieces.model_bytes())
-    v.pairs, v.scores = False, {"a": -1.0, "b": -1.2, "ab": -1.9, "ba": -1.7, "aab": -2.5, "bb": -3.0, "abba": -3.1}
-    v.ids, v.longest = {p: k for k, p in enumerate(v.scores)}, 4
-    encoder = pieces.Encoder(v)
-    rnd = random.Random(2)
-    for _ in range(60):
-        t = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 14)))
-        best = {0: 0.0}
-        for end in range(1, len(t) + 1):
-            best[end] = max(best[k] + v.scores[t[k:end]] for k in range(end) if t[k:end] in v.scores)
-        assert sum(v.scores[p] for p in encoder.stream(t)) == pytest.approx(best[len(t)])
-    long = "".join(rnd.choice("ab") for _ in range(3000))
-    assert "".join(encoder.stream(long)) == long
-
-
 def test_context_trees_against_a_sequential_model(spark, docs, none):
     data = [(0, "abab"), (1, "Abba a"), (2, None), (3, "bab"), (4, "é ab"), (5, "")]
     frame = spark.createDataFrame([(k, t, k in (3, 4)) for k, t in data], "doc_id long, text string, h boolean")
