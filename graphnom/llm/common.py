@@ -35,7 +35,7 @@ def text_first(df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
     return df.select(F.col(column).alias(name), *keep)
 
 
-#: Columns that tell rows apart, where doc_id may be null or repeated: equal for equal texts of one id only.
+#: Columns that tell rows apart, where doc_id may be null or repeated: equal for rows that are equal in all columns.
 ROW_KEY = ("_key_id", "_key_text")
 
 
@@ -43,14 +43,15 @@ def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and source, the row key, and the whole row as one struct `_doc`: its columns may have any names,
     those that operators use for themselves too."""
     last = (1 << 63) - 1
-    own = [c for c in ("lang", "source") if c in docs.columns]
+    maps = [f.name for f in docs.schema if "map<" in f.dataType.simpleString()]  # have no hash: hashed as written
+    own = [F.to_json(f"`{f.name}`") if f.name in maps else F.col(f"`{f.name}`") for f in docs.schema]
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
         "doc_id",
         "text",
         *[c for c in ("source",) if c in docs.columns],
         F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_key_id"),
-        F.xxhash64("text", *own).alias("_key_text"),
+        F.xxhash64(*own).alias("_key_text"),
     )
 
 

@@ -6,16 +6,19 @@ it was. Once an arrival is later than every register's, its shingle ends. Two do
 their probability Jaccard similarity, which for equal weights is the Jaccard similarity.
 
 Texts of equal words are one node. Bands of registers put nodes into buckets; pairs of bands make narrow buckets
-beside them, which hold closer nodes only. Within a bucket nodes are compared with a leader, not with each other:
-the node that most others share buckets with leads, in some buckets an order of their own decides. In small buckets
-each node meets its next ones instead, which is all of them in the smallest. Leaders are elected within each batch of rows, then among those, so a bucket that holds a third of all rows is spread over all
-tasks. Every pair compared is verified by its exact similarity. Verified links make classes by connected components.
-That settles most buckets. Those that still hold more than one class, and were not compared in full, are: each two of
-their nodes are verified unless they are in one class by then, so no pair that shares a band is left out.
+beside them, which hold closer nodes only. Within a bucket nodes are first compared
+with a leader: the node that most others share buckets with leads, in some buckets an order of their own decides. In
+small buckets each node meets its next ones instead, which is all of them in the smallest. Leaders are elected within
+each batch of rows, then among those, so a bucket that holds a third of all rows is spread over all tasks. Every pair
+compared is verified by its exact similarity. Verified links make classes by connected components. That settles most
+buckets. Those that still hold more than one class, and were not compared in full, are settled then: each two of their
+nodes are verified unless they are in one class by then. So any two nodes that share a band are verified or already in
+one class, whatever their bucket's size; who led, and how rows were batched, changes no class.
 
 Defined cases: null and wordless texts have no shingles and are copies of each other, one class; fewer than five
-words are one shingle; a class is named by its least doc_id (null ids stand last); equal rows share a class; an
-empty table gives an empty result; extra columns are ignored.
+words are one shingle; a class is named by its least doc_id (null ids stand last); a similarity equal to the threshold
+links, and of equal leaders the lesser hash leads; equal rows share a class; a very long text is shingled whole, at
+some 60 bytes of memory a byte; an empty table gives an empty result; extra columns are ignored unless in `keep`.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ SMALL, NEIGHBOURS = 24, 4
 #: Nodes of a bucket that are compared at a time with as many others, and shingles looked up at a time.
 BLOCK, LOOKUPS = 1024, 1 << 18
 #: Bits of the filter that keeps texts which no comparison needs from being shuffled. Its size is fixed (8 MB);
-#: a full one lets all pass, and the join after it decides.
+#: a full one lets all pass, and each node is still sent once by a task.
 FILTER_BITS = 1 << 26
 EMPTY = 0x1CE
 
@@ -175,10 +178,10 @@ def sizes_of(lead: np.ndarray) -> np.ndarray:
 
 
 def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Distinct unordered pairs of different nodes."""
-    low, high = np.minimum(a, b).view(np.int64), np.maximum(a, b).view(np.int64)
-    both = np.unique(np.stack([low, high])[:, low != high], axis=1) if len(low) else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+    """Distinct pairs of different nodes, the lesser first, and whether it is b, which may be in very many pairs."""
+    low, high, swapped = np.minimum(a, b).view(np.int64), np.maximum(a, b).view(np.int64), b < a
+    both = np.unique(np.stack([low, high, swapped])[:, low != high], axis=1) if len(low) else np.zeros((3, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(bool))], ["a", "b", "swapped"])
 
 
 def unsigned(column: pa.Array) -> np.ndarray:
@@ -237,8 +240,8 @@ def _between(batches: Iterator[pa.RecordBatch], own: int) -> Iterator[pa.RecordB
 
 
 def candidates(signed: DataFrame, steps: tuple[int, ...] = ()) -> DataFrame:
-    """Pairs a < b of nodes (signed: _node, _rank, _bands) that share a bucket and of which one leads it."""
-    schema = "a long, b long"
+    """Pairs a < b of nodes (signed: _node, _rank, _bands) that share a bucket and of which one leads it, a if swapped."""
+    schema = "a long, b long, swapped boolean"
     own = OWN_ORDER * max(1, len(steps))
     rows = signed.select("_node", "_rank", "_bands")
     inside = C.arrow_map(rows, lambda it: _local(it, steps, True), schema)
@@ -294,13 +297,15 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """_node, _set: the sorted shingle hashes (with repetitions) of the nodes in needed (_node), and of few others.
-    nodes: _node, _id, one row of docs (_id, text) for each node."""
+    """_node, _set: the sorted shingle hashes (with repetitions) of the nodes in needed (_node), one row for each, and
+    of few others. nodes: _node, _id, one row of docs (_id, text) for each node. Rows of equal text and id (null ids
+    are all equal) are sent once by each task, and of those one is kept."""
     hashed = C.arrow_map(nodes.join(needed, "_node").select("_node", "_id"), _hash_rows, "h long")
     sent = docs.sparkSession.sparkContext.broadcast(filter_bits(hashed))
 
     def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = K.buffer_of(batch.column(0))
             ids = batch.column(1).to_numpy()
@@ -309,16 +314,18 @@ def shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
                 own = own.view(np.int64)
                 at = row_hash(own, ids[lo:hi]) % FILTER_BITS
                 keep = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
+                keep = np.array([k for k in keep if own[k] not in seen and not seen.add(own[k])], np.int64)
                 if len(keep):
                     found = [np.sort((hashes[firsts[k] : firsts[k + 1]] >> K.U64(32)).astype("<u4")).tobytes() for k in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(found, pa.binary())], ["_node", "_set"])
 
-    return C.arrow_map(docs.select("text", "_id"), shingle_rows, "_node long, _set binary")
+    return C.arrow_map(docs.select("text", "_id"), shingle_rows, "_node long, _set binary").dropDuplicates(["_node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) with their exact similarity and whether it reaches the threshold. nodes: _node, _id, one row
-    of docs (_id, text) for each node."""
+    """pairs (a, b, swapped) with their exact similarity and whether it reaches the threshold. nodes: _node, _id, one
+    row of docs (_id, text) for each node. The second set to be joined is the leader's, which may be in very many
+    pairs: it is not shuffled again with each of them."""
     needed = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +333,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             values = [similarity(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.float64())], ["a", "b", "similarity"])
 
-    sets = shingle_sets(needed, nodes, docs)
-    left = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("x")), "a")
-    both = left.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("y")), "b").select("a", "b", "x", "y")
+    sets = C.materialise(shingle_sets(needed, nodes, docs))
+    turned = pairs.select(F.when(F.col("swapped"), F.col("b")).otherwise(F.col("a")).alias("m"), F.when(F.col("swapped"), F.col("a")).otherwise(F.col("b")).alias("l"))
+    members = turned.join(sets.select(F.col("_node").alias("m"), F.col("_set").alias("x")), "m")
+    both = members.join(sets.select(F.col("_node").alias("l"), F.col("_set").alias("y")), "l").select(F.least("m", "l").alias("a"), F.greatest("m", "l").alias("b"), "x", "y")
     compared = C.arrow_map(both, compare, "a long, b long, similarity double")
     return compared.withColumn("linked", F.col("similarity") >= threshold)
 
@@ -448,7 +456,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...]
     nodes = signed.groupBy("_node").agg(F.min("_id").alias("_id"), F.any_value("_bands").alias("_bands"))
     nodes = C.materialise(ranked(C.materialise(nodes)))
     worded = nodes.where(F.size("_bands") > 0)
-    pairs = C.materialise(candidates(worded).union(candidates(worded, NARROW)).distinct())
+    pairs = C.materialise(candidates(worded).union(candidates(worded, NARROW)).dropDuplicates(["a", "b"]))
     links = verified(pairs, nodes, source.select("text", "_id"), threshold).where("linked").select("a", "b")
     roots = C.materialise(components(links))
     more = C.materialise(remaining(worded, roots, source.select("text", "_id"), threshold))
