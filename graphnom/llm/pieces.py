@@ -13,7 +13,7 @@ that merging the whole text gives. (Summing the scores of such a model, which ar
 the model's own encoder does not.) A character without a piece is spelled in byte pieces.
 
 Borders that no piece spans are known beforehand: there every way meets. Texts are cut at them, every cut goes
-through the window, and the ids of short cuts are remembered in front of it, at most MEMORY of them.
+through the window, and the ids of short cuts are remembered in front of it, a bounded number of them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 decodes to a space, as the
 model writes spaces with it; of equal scores the longer last piece wins; a very long text is searched in one pass,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 SPACE = "▁"
-#: Cuts whose ids a task remembers, and pairs of pieces that it has judged.
-MEMORY = 400_000
+#: Cuts whose ids a worker remembers (twice as many at most), and pairs of pieces that it has judged.
+MEMORY, PAIRS = 200_000, 400_000
 #: Longest cut whose ids are remembered, in characters.
 REMEMBERED = 64
 
@@ -110,6 +111,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before the memory was last full
         self.allowed: dict[tuple[str, str], bool] = {}
         self.searched = self.kept = 0  # characters that went through the window, and the most places kept
 
@@ -137,75 +139,75 @@ class Encoder:
 
     def pair(self, a: str, b: str) -> bool:
         """Whether merging the text of two pieces gives these two."""
-        if len(self.allowed) >= MEMORY:
+        if len(self.allowed) >= PAIRS:
             self.allowed.clear()
         found = self.allowed[a, b] = self.merged(a + b) == [a, b]
         return found
 
-    def merge_steps(self, text: str, nodes: dict[int, list]) -> Iterator[tuple[int, str, float]]:
-        """Byte-pair model: for each place that the allowed way reaches, the way's last piece."""
+    def merge_steps(self, text: str, last: dict[int, str], total: dict[int, float]) -> Iterator[int]:
+        """Byte-pair model: puts the last piece of the allowed way to each place that has one in `last`."""
         allowed, solved = self.allowed, 0
         for at, piece in self.v.matches(text):
             end = at + 1
-            if end != solved and (node := nodes.get(end - len(piece))):
-                was = node[0]
-                if was:
-                    found = allowed.get((was, piece))
-                    if found is None:
-                        found = self.pair(was, piece)
-                    if not found:
-                        continue
-                solved = end
-                yield end, piece, 0.0
-
-    def score_steps(self, text: str, nodes: dict[int, list]) -> Iterator[tuple[int, str, float]]:
-        """Unigram model: for each place, the last piece of the best-scored way to it, and its score."""
+            if end != solved:
+                was = last.get(end - len(piece))
+                if was is not None and (not was or ((found := allowed.get((was, piece))) or (found is None and self.pair(was, piece)))):
+                    solved = end
+                    last[end] = piece
+                    if end > self.v.longest:
+                        yield end
+
+    def score_steps(self, text: str, last: dict[int, str], total: dict[int, float]) -> Iterator[int]:
+        """Unigram model: puts the last piece of the best-scored way to each place in `last`, its score in `total`."""
         scores, lower = self.v.scores, self.v.lower
-        at_end, best, best_score = 0, None, 0.0
-        for at, piece in self.v.matches(text):
-            if at + 1 != at_end:
-                if best is not None:
-                    yield at_end, best, best_score
-                at_end, best = at + 1, None
-            if node := nodes.get(at_end - len(piece)):
-                score = node[3] + scores.get(piece, lower)
-                if best is None or score > best_score:
-                    best, best_score = piece, score
-        if best is not None:
-            yield at_end, best, best_score
+        for end, found in itertools.groupby(self.v.matches(text), lambda x: x[0] + 1):
+            best = None
+            for _, piece in found:
+                if (k := end - len(piece)) in last:
+                    score = total[k] + scores.get(piece, lower)
+                    if best is None or score > total[end]:
+                        best, total[end] = piece, score
+            if best is not None:
+                last[end] = best
+                if end > self.v.longest:
+                    yield end
 
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a text (a character without a piece stands for itself), committed as ways meet."""
         longest = self.v.longest
         self.searched += len(text)
-        # the tree of ways: for each place its way's last piece, how many ways go on from it by one piece, the
-        # exclusive or of the places that they go on to (of a single one: that place), and the score
-        nodes: dict[int, list] = {0: ["", 0, 0, 0.0]}
-        root = 0  # the boundary up to which pieces are committed
-        passed = 0  # no later piece begins before this place
-        for end, piece, score in (self.merge_steps if self.v.pairs else self.score_steps)(text, nodes):
-            before = nodes[end - len(piece)]
-            before[1] += 1
-            before[2] ^= end
-            nodes[end] = [piece, 0, 0, score]
-            if passed > end - longest:
-                continue
+        # the tree of ways, by place: the way's last piece, and its score
+        last, total = {0: ""}, {0: 0.0}
+        # how many ways go on from a place by one piece, and the exclusive or of the places that they go on to (of a
+        # single one: that place); told from `last` once a place leaves the window
+        onward: dict[int, int] = {}
+        places: dict[int, int] = {}
+        root = passed = counted = 0  # pieces are committed up to root; no later piece begins before passed
+        for end in (self.merge_steps if self.v.pairs else self.score_steps)(text, last, total):
+            for k in range(counted + 1, end + 1):
+                if k in last:
+                    before = k - len(last[k])
+                    onward[before] = onward.get(before, 0) + 1
+                    places[before] = places.get(before, 0) ^ k
+            counted = end
             for k in range(passed, end - longest + 1):
-                while k != root and (node := nodes.get(k)) and not node[1]:
-                    del nodes[k]  # no way goes on from here
-                    up = nodes[k - len(node[0])]
-                    up[1] -= 1
-                    up[2] ^= k
-                    k -= len(node[0])
+                while k != root and k in last and not onward.get(k):  # no way goes on from here
+                    before = k - len(last.pop(k))
+                    onward[before] -= 1
+                    places[before] ^= k
+                    total.pop(k, None)
+                    k = before
             passed = end - longest + 1
-            while root < passed and nodes[root][1] == 1:
-                root = nodes.pop(root)[2]
-                yield nodes[root][0]
-            self.kept = max(self.kept, len(nodes))
+            while root < passed and onward.get(root) == 1:
+                for kept in (last, onward, total):
+                    kept.pop(root, None)
+                root = places.pop(root)
+                yield last[root]
+            self.kept = max(self.kept, len(last))
         out = []
         end = len(text)
         while end > root:
-            out.append(nodes[end][0])
+            out.append(last[end])
             end -= len(out[-1])
         yield from reversed(out)
 
@@ -236,18 +238,33 @@ class Encoder:
     def remember(self, text: str, ids: bytes) -> bytes:
         if len(text) <= REMEMBERED:
             if len(self.memory) >= MEMORY:
+                self.older = self.memory.copy()
                 self.memory.clear()
             self.memory[text] = ids
         return ids
 
     def word_ids(self, word: str) -> bytes:
+        if found := self.older.get(word):
+            return self.remember(word, found)
         cuts = self.v.cut.findall(word)
         if len(cuts) == 1:
-            return self.cut_ids(word)
+            return self.remember(word, self.ids_of(word))
         return self.remember(word, b"".join([self.memory.get(cut) or self.cut_ids(cut) for cut in cuts]))
 
     def cut_ids(self, cut: str) -> bytes:
-        return self.remember(cut, self.ids_of(cut))
+        return self.remember(cut, self.older.get(cut) or self.ids_of(cut))
+
+
+#: The encoder of a worker, under its model's digest: the tasks of a worker share what it remembers.
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder_of(model: bytes) -> Encoder:
+    key = hashlib.sha256(model).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Vocabulary(model))
+    return _encoders[key]
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
@@ -266,8 +283,8 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(sent.value)
-        encoder = Encoder(v)
+        encoder = encoder_of(sent.value)
+        v = encoder.v
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
