@@ -1,22 +1,27 @@
 """Secret scan with built-in SQL functions only.
 
 Base kinds (assign, access, hex) are found by pattern in whole texts. The method looks at the corpus: every
-candidate value is hashed, and its hash is counted over distinct repositories and owners. A value that many
-of them hold is a widely copied example; one that few hold looks like a live credential of its owner. Beside
-the base kinds, long mixed tokens are candidates; those that are owner-specific are added as spans of kind
-`token`, those that are widely copied are not. Base spans are never dropped; each is told apart as live or
+candidate value is hashed, and its hash is counted over distinct repositories and, apart from those, distinct owners.
+A value that many of them hold is a widely copied example; one that few hold looks like a live credential of its
+owner. Beside the base kinds, long mixed tokens are candidates; those that are owner-specific are added as spans of
+kind `token`, those that are widely copied are not. Base spans are never dropped; each is told apart as live or
 example.
 
-Spans are code points, end exclusive. Starts come from the lengths of what lies between matches (split) and
-of the matches themselves (regexp_extract_all), so the scan stays inside the built-in functions.
+Spans are code points, end exclusive. Starts come from running sums over the lengths of what lies between matches
+(split) and of the matches themselves (regexp_extract_all), so the scan stays inside the built-in functions. Its steps
+are single expressions over arrays: their cost grows with a text's length and its number of spans, not with its square.
 
 Defined cases: a null text is empty and has no spans; null repositories or owners count as one of their own
-name; repeated rows give repeated results, and copies in one repository count once; an empty table gives an
-empty result; extra columns are ignored, clashing names do no harm (working columns start with `_`).
+name; spans are ordered by start, then kind (spans of one kind never share a start); a very long text is scanned
+whole, and a token of any length is found; repeated rows give repeated results, and copies in one repository count
+once; an empty table gives an empty result; extra columns are ignored, clashing names do no harm (working columns
+start with `_`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,33 +33,69 @@ PATTERNS = [
     ("access", r"(AKIA[A-Z0-9]+)", 20),
     ("hex", r"([0-9a-f]{24,})", 24),
 ]
-#: What the method adds: long tokens that mix upper case, lower case and digits.
-TOKEN = r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z0-9+/_-]{28})(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])[A-Za-z0-9+/_-]{28,})"
+#: What the method adds: long runs of these characters that mix upper case, lower case and digits.
+TOKEN, TOKEN_LEAST = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{28,})", 28
+TOKEN_CLASSES = ("[0-9]", "[a-z]", "[A-Z]")
 KINDS = ["assign", "access", "hex", "token"]
-#: A value found in so many distinct repositories, or with so many distinct owners, is an example.
+#: A value found in so many distinct repositories, and with so many distinct owners, is an example.
 EXAMPLE_REPOSITORIES = 5
 EXAMPLE_OWNERS = 5
-SALTS = 16
+#: A value that stands in more than one in so many of all places is hot; there are at most so many of those, which
+#: bounds their broadcast.
+HOT = 1000
+#: Elements of an array that running sums go over at a time.
+STRIDE = 256
+#: More than any place in a text.
+FAR = (1 << 31) - 1
 LIVE_MARK, EXAMPLE_MARK = "<SECRET>", "<EXAMPLE>"
+SPAN = "struct<start:int,end:int,place:int,value:string>"
+
+
+def in_blocks(values: Column) -> Column:
+    """An array as an array of its blocks of STRIDE elements."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / STRIDE) - 1, F.lit(0)).cast("int")), lambda b: F.slice(values, b * STRIDE + 1, STRIDE))
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array, what `join` makes of 0 and all before it. Goes in blocks of STRIDE elements,
+    as adding to an array copies it."""
+    blocks = in_blocks(values)
 
+    def inside(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
-def spans_of(text: Column, kind: str, pattern: str, least: int) -> Column:
-    """array<struct<start, end, kind, value>> of the non-overlapping matches whose group is long enough."""
-    place = KINDS.index(kind)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    row = F.arrays_zip(whole.alias("w"), group.alias("g"), F.slice(gaps, F.lit(1), F.size(whole)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,place:int,value:string>>").alias("out"))
+    zero = F.lit(0)
+    firsts = inside(F.transform(blocks, lambda b: F.aggregate(b, zero, join)), zero)
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), firsts.alias("f")), lambda x: inside(x["b"], x["f"])))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["p"])
-        end = begin + F.length(x["w"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(place).alias("place"), x["g"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(row, start, step, lambda s: s["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,place:int,value:string>>"))
+def matches(text: Column, pattern: str, least: int, grouped: bool) -> tuple[Column, Column, Column]:
+    """Of the non-overlapping matches: lengths of the texts before, between and after them, the matches, and their
+    groups; empty arrays where there is none."""
+    none = F.array().cast("array<string>")
+    there = F.rlike(text, F.lit(pattern))
+    whole = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if grouped else 1))).otherwise(none)
+    group = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none) if grouped else whole
+    return F.when(there, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>")), whole, group
+
+
+def with_spans(df: DataFrame, out: str, kind: str, pattern: str, least: int) -> DataFrame:
+    """df (_text) with `out`: an array of SPAN of the matches whose group is long enough."""
+    gaps, whole, group = matches(F.col("_text"), pattern, least, kind == "assign")
+    df = df.withColumns({"_gaps": gaps, "_w": whole, "_g": group})
+    # a match starts after all before it and the gaps up to it
+    steps = F.zip_with("_gaps", F.transform("_w", F.length), lambda g, n: g + F.coalesce(n, F.lit(0)))
+    df = df.withColumn("_begin", running(steps, lambda a, b: a + b))
+    # zipped, not looked up by place: an expression inside a lambda is evaluated for each element
+    zipped = F.arrays_zip(F.col("_begin").alias("b"), F.col("_gaps").alias("p"), F.col("_w").alias("w"), F.col("_g").alias("g"))
+    row = F.transform(F.filter(zipped, lambda x: x["w"].isNotNull()), lambda x: F.struct((x["b"] + x["p"]).alias("start"), x["g"].alias("value"), F.length(x["w"]).alias("n")))
+    spans = F.transform(F.filter(row, lambda s: F.length(s["value"]) >= least), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("end"), F.lit(KINDS.index(kind)).alias("place"), s["value"].alias("value")))
+    return df.withColumn(out, spans.cast(f"array<{SPAN}>")).drop("_gaps", "_w", "_g", "_begin")
 
 
 def shown(spans: Column) -> Column:
@@ -68,33 +109,52 @@ def in_order(spans: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`; _base and _all: sorted spans (start, place, end, value), live: whether the value
-    looks owner-specific, for each span of _all. owner: the column of owners (None: the repository)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[spans_of(F.col("_text"), *p) for p in PATTERNS])
-    extra = spans_of(F.col("_text"), "token", TOKEN, 28)
-    who = F.coalesce(F.col(owner or repository).cast("string"), F.lit("\x00"))
-    found = docs.select(*keep, text.alias("_text"), F.coalesce(F.col(repository).cast("string"), F.lit("\x00")).alias("_repo"), who.alias("_owner"))
-    found = found.select(*keep, "_repo", "_owner", base.alias("_spans"), extra.alias("_extra"))
-    # a token that overlaps a base span is that span again
-    free = F.filter("_extra", lambda x: ~F.exists("_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = found.withColumn("_found", in_order(F.concat("_spans", free))).drop("_spans", "_extra")
-    found = C.materialise(found.withColumn("_row", F.monotonically_increasing_id()))
+    looks owner-specific, for each span of _all. repository, owner: columns of what a value is counted over."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    found = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"), name(repository).alias("_repo"), name(owner).alias("_owner"))
+    for kind, pattern, least in PATTERNS:
+        found = with_spans(found, f"_{kind}", kind, pattern, least)
+    found = with_spans(found, "_token", "token", TOKEN, TOKEN_LEAST).drop("_text")
+    mixed = F.filter("_token", lambda s: F.rlike(s["value"], F.lit(TOKEN_CLASSES[0])) & F.rlike(s["value"], F.lit(TOKEN_CLASSES[1])) & F.rlike(s["value"], F.lit(TOKEN_CLASSES[2])))
+    found = found.withColumn("_found", in_order(F.concat("_assign", "_access", "_hex", mixed))).drop("_assign", "_access", "_hex", "_token")
+    # a token that overlaps a base span is that span again: in order of starts, one whose end is past the token's start
+    # stands before it, or one that starts before the token's end stands after it
+    token = KINDS.index("token")
+    found = found.withColumn("_past", running(F.transform("_found", lambda s: F.when(s["place"] < token, s["end"]).otherwise(0)), larger))
+    backward = F.reverse(F.transform("_found", lambda s: F.when(s["place"] < token, FAR - s["start"]).otherwise(0)))
+    found = found.withColumn("_next", F.reverse(running(backward, larger)))
+    zipped = F.arrays_zip(F.col("_found").alias("s"), F.col("_past").alias("past"), F.col("_next").alias("next"))
+    free = F.transform(F.filter(zipped, lambda x: (x["s"]["place"] < token) | ((x["past"] <= x["s"]["start"]) & (x["next"] <= FAR - x["s"]["end"]))), lambda x: x["s"])
+    found = C.materialise(found.withColumn("_found", free).drop("_past", "_next").withColumn("_row", F.monotonically_increasing_id()))
     one = found.where(F.size("_found") > 0).select("_row", "_repo", "_owner", F.posexplode("_found").alias("_k", "_s"))
     one = one.select("_row", "_repo", "_owner", "_k", F.xxhash64("_s.value", F.lit(1)).alias("_h1"), F.sha2("_s.value", 256).substr(1, 16).alias("_h2"))
-    held = one.groupBy("_h1", "_h2", "_repo", "_owner").agg(F.lit(1).alias("_n"))  # a value held a million times in one place is one row from here
-    spread = held.groupBy("_h1", "_h2").agg(F.count_distinct("_repo").alias("_repos"), F.count_distinct("_owner").alias("_owners"))
-    live = spread.select("_h1", "_h2", ((F.col("_repos") < EXAMPLE_REPOSITORIES) & (F.col("_owners") < EXAMPLE_OWNERS)).alias("_live"))
-    # a value that a third of all rows hold meets its verdict in SALTS tasks, not in one
-    live = live.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = one.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(live, ["_h1", "_h2", "_salt"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_live"))).alias("_lives"))
+    held = one.groupBy("_h1", "_h2", "_repo", "_owner").agg(F.count("*").alias("_n"))  # a value held a million times in one place is one row from here
+    spread = held.groupBy("_h1", "_h2").agg(F.count_distinct("_repo").alias("_repos"), F.count_distinct("_owner").alias("_owners"), F.sum("_n").alias("_n"))
+    # what is not an example is live, so only examples are looked up, and hot values by themselves
+    examples = C.materialise(spread.where((F.col("_repos") >= EXAMPLE_REPOSITORIES) & (F.col("_owners") >= EXAMPLE_OWNERS)).select("_h1", "_h2", "_n", F.lit(True).alias("_example")))
+    every = held.agg(F.sum("_n")).first()[0] or 0
+    hot = F.col("_n") * HOT > every
+    few = examples.where(hot).select("_h1", "_h2", F.col("_example").alias("_hot"))
+    judged = one.join(F.broadcast(few), ["_h1", "_h2"], "left").where("_hot")
+    rest = one.join(F.broadcast(few), ["_h1", "_h2"], "left_anti").join(examples.where(~hot).drop("_n").hint("merge"), ["_h1", "_h2"], "left")
+    marks = judged.select("_row", "_k", F.lit(True).alias("_example")).union(rest.where("_example").select("_row", "_k", "_example"))
+    marks = marks.groupBy("_row").agg(F.collect_set("_k").alias("_copied"))
     # only rows with candidates go through the shuffle
-    with_some = found.where(F.size("_found") > 0).join(judged, "_row", "left")
-    joined = with_some.unionByName(found.where(F.size("_found") == 0).withColumn("_lives", F.lit(None).cast(judged.schema["_lives"].dataType)))
-    marked = F.transform("_found", lambda s, k: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(F.element_at("_lives", k), F.lit(False)).alias("live")))
-    joined = joined.select(*keep, F.when(F.size("_found") > 0, marked).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,value:string,live:boolean>>")).alias("_all"))
-    token = KINDS.index("token")
+    with_some = found.where(F.size("_found") > 0).join(marks.hint("merge"), "_row", "left")
+    joined = with_some.unionByName(found.where(F.size("_found") == 0).withColumn("_copied", F.lit(None).cast("array<int>")))
+
+    def of_block(b: Column, copied: Column) -> Column:
+        own = F.filter(copied, lambda c: (c >= F.get(b, F.lit(0))["k"]) & (c < F.get(b, F.lit(0))["k"] + STRIDE))
+        field = lambda x, n: x["s"][n].alias(n)
+        told = F.transform(F.array(own), lambda few: F.transform(b, lambda x: F.struct(*[field(x, n) for n in ("start", "place", "end", "value")], (~F.array_contains(few, x["k"])).alias("live"))))
+        return F.get(told, F.lit(0))
+
+    numbered = F.transform("_found", lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+    joined = joined.withColumn("_copied", F.coalesce("_copied", F.array().cast("array<int>")))
+    marked = F.flatten(F.transform(in_blocks(numbered), lambda b: of_block(b, F.col("_copied"))))
+    joined = joined.select(*keep, marked.alias("_all"))
     return joined.withColumn("_all", F.filter("_all", lambda s: (s["place"] < token) | s["live"])).withColumn("_base", F.filter("_all", lambda s: s["place"] < token))
 
 
@@ -114,17 +174,29 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every secret's value replaced by a mark that tells live ones from copied examples; n_chars, if
-    it is a column, is the new length."""
+    it is a column, is the new length. Of values that overlap, the first is replaced (of equal starts the shorter), and
+    of the others what it leaves."""
     rows = scan(C.packed(docs), keep=("_doc",), **options)
     text = F.coalesce(F.col("_doc.text"), F.lit(""))
     values = F.array_sort(F.transform("_all", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["live"].alias("live"))))
-
-    def step(state: Column, s: Column) -> Column:
-        mark = F.when(s["live"], F.lit(LIVE_MARK)).otherwise(F.lit(EXAMPLE_MARK))
-        kept = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), mark)
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], kept).otherwise(state["out"]).alias("out"))
-
-    rebuilt = F.aggregate(values, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    rows = rows.withColumn("_values", values)
+    rows = rows.withColumn("_past", running(F.transform("_values", lambda s: s["end"]), larger))
+    # what stands between the values, and a mark for each that an earlier one does not cover; a block's values are cut
+    # out of the block's own part of the text
+    rows = rows.withColumn("_blocks", in_blocks(F.arrays_zip(F.col("_values").alias("s"), F.col("_past").alias("past"))))
+
+    def piece(part: Column, first: Column, x: Column) -> Column:
+        between = F.substring(part, x["past"] - first + 1, F.greatest(x["s"]["start"] - x["past"], F.lit(0)))
+        return F.concat(between, F.when(x["s"]["end"] <= x["past"], F.lit("")).when(x["s"]["live"], F.lit(LIVE_MARK)).otherwise(F.lit(EXAMPLE_MARK)))
+
+    def of_block(b: Column) -> Column:
+        first, last = F.get(b, F.lit(0))["past"], F.array_max(F.transform(b, lambda x: F.greatest(x["s"]["end"], x["past"])))
+        part = F.transform(F.array(F.substring(text, first + 1, last - first)), lambda p: F.array_join(F.transform(b, lambda x: piece(p, first, x)), ""))
+        return F.get(part, F.lit(0))
+
+    pieces = F.transform("_blocks", of_block)
+    end = F.coalesce(F.array_max(F.transform("_values", lambda s: s["end"])), F.lit(0))
+    rebuilt = F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
     new = {"text": rebuilt}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(rebuilt).cast(docs.schema["n_chars"].dataType)

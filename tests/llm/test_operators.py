@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, quality, secret_scan
+from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, quality
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -216,42 +216,6 @@ def test_probminhash_estimates_probability_jaccard():
         assert abs((signed[i] == signed[j]).mean() - exact) < 4.5 * math.sqrt(0.25 / near_dedup.REGISTERS)
 
 
-ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-
-
-def base_spans(text):
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
-
-
-def test_secret_spans_against_a_plain_scan(spark, none):
-    rnd = random.Random(5)
-    parts = ["token", "Secret", "api_key", "APIKEY", "passwd", "password", "=", ":", " ", "  ", '"', "'", "abc", "a1b2c3d4", "é", "𝒳", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "=", "\n", "xyzXYZ123+/", "Zq9"]
-    data = [(k, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))), "s%d" % (k % 7)) for k in range(600)] + [(900, None, None)]
-    data += [(1000 + k, "key Abcdefghijklmnopqrstuvwxyz0123456789", "s%d" % k) for k in range(8)] + [(2000, "one Zbcdefghijklmnopqrstuvwxyz0123456789", "s1")] * 3
-    got = secret_scan.report(spark.createDataFrame(data, "doc_id long, text string, source string"), keep=("doc_id", "text")).collect()
-    assert len(got) == len(data)
-    for r in got:
-        spans = base_spans(r.text or "")
-        shown = ",".join(f"{secret_scan.KINDS[p]}:{a}:{b}" for a, p, b in spans)
-        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(p == k for _, p, _ in spans) for k in range(3))
-        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
-    by = {r.doc_id: r for r in got}
-    assert by[2000].spans == "token:4:40" and by[2000].n_live == 1  # one owner
-    assert by[1003].spans == ""  # many owners: an example, which the method does not add
-    assert secret_scan.report(none).count() == 0
-
-
-def test_redaction_takes_values_out(docs):
-    out = secret_scan.redact(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    for r in out.where("doc_id = 12").collect():
-        assert "abcdef123" not in r.text and "AKIAABC" not in r.text and 'token = "<' in r.text and r.n_chars == len(r.text) and r._row == "clash"
-    assert out.where("doc_id = 4 and text is null").count() == 1
-
-
 def test_language_identification(spark, docs, none):
     rnd = random.Random(6)
     kinds = {"aa": "lorem ipsum dolor amet", "bb": "zwei weg kraft büro", "cc": "ñandú cielo rojo más"}
