@@ -9,9 +9,11 @@ dynamic program over the lengths left. Which documents of a length are taken goe
 Texts never move: only (source, length, slice) counts do. A slice is the top of the seeded hash, so the order
 by hash runs over slices, and a length that a third of all rows share is ranked in many tasks.
 
-Defined cases: a null or wordless text has length 0, is never picked and takes 0 words; null sources form one
-source that stands last; an empty table gives an empty result; rows with equal doc_id and hash are ordered by a
-row id of their own, each row is mixed by itself; extra columns are ignored.
+Defined cases: a null or wordless text has length 0 and is never picked; it stands as often as its whole source is
+taken, with 0 words. Null sources form one source that stands last; of two sums equally near the budget the lesser is
+taken; a very long text is one document of its length, and the program's table does not grow with it; an empty table
+gives an empty result; rows with equal doc_id and hash are ordered by a row id of their own, each row is mixed by
+itself; extra columns are ignored unless in `keep`. One row for each source is brought together in one task.
 """
 
 from __future__ import annotations
@@ -29,10 +31,9 @@ MOST_TIMES = 2
 SEED = 20240229
 #: Slices of the seeded hash: a hot length of n rows is ranked in parts of n / SLICES rows.
 SLICES = 1 << 12
-#: Words left to the dynamic program, at least, in lengths: bounds its table whatever the source's size.
-DP_LENGTHS = 4
-#: A budget of at most so many lengths is fitted by the program alone, exactly.
-DP_ALONE = 16
+#: Words of a budget that are left to the dynamic program: its table has twice as many places, whatever the source's
+#: size and its longest text.
+TABLE = 1 << 17
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -62,33 +63,41 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
     return t.select("key", "source", "source_size", F.when(above, F.col("_w") * F.col("_open._level")).otherwise(F.col("_cap")).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
     """How many of the counts[i] documents of lengths[i] to take so that their words come nearest to the budget
-    (from below on a tie). Lengths are positive and distinct."""
+    (from below on a tie). Lengths are positive and distinct.
+
+    What goes beyond `table` words is taken in proportion from all lengths, then in whole lengths, the longest that fits
+    first. The rest, at most `table` words unless every document left is longer than it, is fitted exactly.
+    """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     budget = max(0, min(budget, total))
     if not len(lengths) or budget == 0:
         return np.zeros(len(lengths), np.int64)
-    longest = int(lengths.max())
-    # a proportional part of each length, short of the budget by what the program needs to be exact
-    part = max(0.0, (budget - DP_LENGTHS * longest) / total) if budget > DP_ALONE * longest else 0.0
-    taken = np.floor(counts * part).astype(np.int64)
+    taken = np.floor(counts * max(0.0, (budget - table) / total)).astype(np.int64)
     rest = budget - int((lengths * taken).sum())
     room = counts - taken
-    # whole lengths while the rest is wide, the longest first: keeps the program's table bounded
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= max(2 * DP_LENGTHS, DP_ALONE) * longest:
+        if rest <= table:
             break
-        more = min(int(room[i]), max(0, (rest - DP_LENGTHS * longest) // int(lengths[i])))
+        # as many as leave the program its words; one more if they are not enough
+        more = min(int(room[i]), -(-(rest - table) // int(lengths[i])), rest // int(lengths[i]))
         taken[i] += more
         room[i] -= more
         rest -= more * int(lengths[i])
-    limit = rest + longest
+    # sums above twice the rest are farther from it than taking nothing
+    limit = 2 * rest
+    usable = np.flatnonzero((lengths <= limit) & (room > 0))
+    if rest > table:  # every document left is longer than the rest: one of them, or none
+        one = usable[lengths[usable] < limit]
+        if len(one):
+            taken[one[lengths[one].argmin()]] += 1
+        return taken
     reach, mask = 1, (1 << (limit + 1)) - 1
     steps: list[tuple[int, int, int]] = []
     first = np.zeros(limit + 1, np.int32)  # the step that first reached each sum
-    for i in range(len(lengths)):
+    for i in usable:
         left, unit = min(int(room[i]), limit // int(lengths[i])), 1
         while left > 0:
             n = min(unit, left)
@@ -97,7 +106,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             if new:
                 bits = np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little")
                 first[np.flatnonzero(bits)] = len(steps)
-                steps.append((i, n, words))
+                steps.append((int(i), n, words))
                 reach |= new
             left -= n
             unit *= 2

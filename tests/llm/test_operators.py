@@ -288,6 +288,15 @@ def test_budget_fit_against_all_subsets():
             sums = {s + a * k for s in sums for k in range(b + 1)}
         assert all(0 <= g <= c for g, c in zip(got, counts))
         assert abs(int(np.dot(got, lengths)) - budget) == min(abs(s - budget) for s in sums)
+    for _ in range(300):  # beyond the program's table too, with lengths on both sides of it
+        n = rnd.randint(1, 6)
+        lengths, counts = rnd.sample(range(1, 60), n), [rnd.randint(1, 9) for _ in range(n)]
+        budget = rnd.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        got = mixing.fit(np.array(lengths), np.array(counts), budget, table=24)
+        assert all(0 <= g <= c for g, c in zip(got, counts))
+        assert abs(int(np.dot(got, lengths)) - budget) <= max(lengths) / 2
+    for lengths, counts, budget, want in (([5_000_000, 7], [3, 2], 9_900_000, 10_000_000), ([5_000_000], [3], 7_400_000, 5_000_000), ([1_000_003, 1_000_000], [10, 10], 7_000_009, 7_000_009)):
+        assert int(np.dot(mixing.fit(np.array(lengths), np.array(counts), budget), lengths)) == want
     many = mixing.fit(np.arange(1, 2000), np.full(1999, 10**6), 10**12 + 12345)
     assert int(np.dot(many, np.arange(1, 2000))) == 10**12 + 12345
 
