@@ -5,18 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, only a session in local mode, as in tests, gets a
+    folder of its own: on a cluster each executor would write to its own disk."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphnom-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet where spark.checkpoint.dir says, and read back."""
+    """df written as Parquet where spark.checkpoint.dir says, and read back. The tables of a session stand in one
+    folder, which `clear` removes."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphnom-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/graphnom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this session's runs have written; frames that read them are of no use after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
