@@ -31,18 +31,20 @@ class Config:
     predictor_types: tuple[tuple[str, Dtype], ...] = (("employer", Dtype.CATEGORICAL), ("major", Dtype.CATEGORICAL), ("school", Dtype.CATEGORICAL))
     nomination_type: str = "places_lived"
     nomination_value: str = "new york"
+    load_embeddings: bool = True
     verbose: bool = True
     save_info: bool = True
     rank_thresh: int = 100
     nominate_max: int = 500
     rng_seed: int = 123
+    n_jobs: int = 4
     sim: str = "NPMI1s"
     delta: float = 0.0
     embedding: str = "adj"
     max_eig: int = 200
     which_elbow: int = 2
     use_pca: bool = False
-    max_eig_pca: int = 200
+    max_eig_pca: int | None = None
     which_elbow_pca: int = 2
     whiten: bool = True
     sphere_context: bool = True

@@ -23,7 +23,18 @@ def vocabulary(values: DataFrame, nodes: DataFrame) -> DataFrame:
     """val, idx: values and the tokens of nodes without any, in binary order from 0. values: node, val."""
     lacking = nodes.join(values.select("node").distinct(), "node", "left_anti").select(token(F.col("node")).alias("val"))
     there = values.join(nodes, "node", "left_semi").select("val").distinct().union(lacking)
-    return there.select("val", (F.row_number().over(Window.orderBy("val")) - 1).cast("long").alias("idx"))
+    return numbered(there, "val", "idx")
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with their place (from 0) in the order of a column of distinct values. They are dealt into ranges that are
+    each numbered alone, from how many rows the ranges before hold."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.repartitionByRange(n, by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1 + F.col("_first")
+    return dealt.join(F.broadcast(firsts), "_range").withColumn(name, place.cast("long")).drop("_range", "_first")  # one row for each range
 
 
 @dataclass

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphnom.plans.tables import materialise
+
 
 def cumulative_precision(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, rank (from 1), node, prob, ind, cum_prec: rows by falling prob (then node) with the share of true ones
@@ -63,15 +67,37 @@ def leave_one_out_bayes(seeds: DataFrame, held: DataFrame | None = None, smoothi
     return odds.select("node", F.col("own").alias("ind"), sigmoid(F.col("score")).alias("prob"))
 
 
-def leave_one_out(seeds: DataFrame, held: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """node, ind, prob by one refit for each held-out seed (held has at most cv_max of them)."""
-    out = None
-    for row in held.select("node", "ind").collect():
+def leave_one_out(seeds: DataFrame, held: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame], jobs: int = 4) -> DataFrame:
+    """node, ind, prob by one refit for each held-out seed (held has at most cv_max of them), `jobs` at a time."""
+
+    def one(row) -> list[tuple]:
         train, test = seeds.where(F.col("node") != row.node), seeds.where(F.col("node") == row.node)
-        one = classify(train, test).select("node", F.lit(row.ind).alias("ind"), "prob")
-        one = one.sparkSession.createDataFrame(one.collect(), "node long, ind double, prob double")
-        out = one if out is None else out.unionByName(one)
-    return out
+        return [(r.node, float(row.ind), float(r.prob)) for r in classify(train, test).select("node", "prob").collect()]
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        found = [r for rows in pool.map(one, held.select("node", "ind").collect()) for r in rows]
+    return seeds.sparkSession.createDataFrame(found, "node long, ind double, prob double")
+
+
+def resampled(seeds: DataFrame, samples: int, positives: int, negatives: int, top: int, classify: Callable[[DataFrame, DataFrame], DataFrame], jobs: int = 4) -> DataFrame:
+    """Monte-Carlo precision curve of any classifier: each sample is trained on its own draw of the seeds and ranks the
+    others. The fits of `jobs` samples run at a time; only curves of `top` ranks are kept of each."""
+
+    def one(sample: int) -> DataFrame:
+        drawn = seeds.join(seed_sample(seeds, positives, negatives, sample).select("node", "train"), "node")
+        test = drawn.where("not train")
+        scored = classify(drawn.where("train"), test).join(test.select("node", "ind"), "node")
+        curve = cumulative_precision(scored.select("node", "prob", "ind")).where(F.col("rank") <= top)
+        return materialise(curve.select(F.lit(sample).cast("long").alias("sample"), "rank", "cum_prec"))
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        curves = list(pool.map(one, range(samples)))
+    return resampled_curve(reduce(DataFrame.unionByName, curves), top)
+
+
+def highest(curves: DataFrame) -> float:
+    """The largest mean precision of all curves: the upper end of a plot of them, with a tenth more, 1 at most."""
+    return min(1.0, 1.1 * (curves.agg(F.max("mean_prec")).first()[0] or 0.0))
 
 
 def resampled_curve(curves: DataFrame, top: int) -> DataFrame:

@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +17,16 @@ from graphnom.plans.tables import materialise
 
 from .features import log_density_constant
 
-#: Bytes of training rows up to which the kernel pair join broadcasts them; above, it is a plain nested join.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of training rows that a density estimate broadcasts at a time, and distances that a task holds.
+BROADCAST_BYTES, KERNEL_CELLS = 64 << 20, 1 << 22
 
 
 def _ready(df: DataFrame) -> DataFrame:
     return df.withColumn("vector", array_to_vector(F.col("features")))
 
 
-def logreg(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 50) -> DataFrame:
-    """L2-penalised logistic regression whose intercept is penalised too, by Newton steps. A step is one pass that
+def logreg_weights(train: DataFrame, c: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights, the intercept's last, of L2-penalised logistic regression whose intercept is penalised too, by Newton steps. A step is one pass that
     returns the gradient and curvature of each task, as many numbers as the features squared. (The library's
     estimator gives a constant feature no weight, so it cannot penalise an intercept.)"""
     ship_package(train.sparkSession)
@@ -67,9 +66,17 @@ def logreg(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 50) -
         loss, gradient, curvature = found
         if done:
             break
+    return w
+
+
+def logreg_chance(w: np.ndarray) -> Column:
+    """The probability that such weights give the column features."""
     weights = F.array(*[F.lit(float(v)) for v in w[:-1]])
-    score = F.aggregate(F.zip_with("features", weights, lambda x, v: x * v), F.lit(float(w[-1])), lambda s, v: s + v)
-    return test.select("node", sigmoid(score).alias("prob"))
+    return sigmoid(F.aggregate(F.zip_with("features", weights, lambda x, v: x * v), F.lit(float(w[-1])), lambda s, v: s + v))
+
+
+def logreg(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 50) -> DataFrame:
+    return test.select("node", logreg_chance(logreg_weights(train, c, steps)).alias("prob"))
 
 
 def class_moments(train: DataFrame, smoothing: float = 1e-9) -> DataFrame:
@@ -106,33 +113,71 @@ def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, seed: int
     return model.transform(_ready(test)).select("node", F.element_at(vector_to_array("probability"), 2).alias("prob"))
 
 
+#: Cuts of each feature that a stump may split at.
+STUMP_CUTS = 31
+
+
+def stump_cuts(train: DataFrame) -> np.ndarray:
+    """Quantiles of each place of the features: (place, cut)."""
+    rows = train.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(F.percentile_approx("x", [k / (STUMP_CUTS + 1) for k in range(1, STUMP_CUTS + 1)], 10_000).alias("cuts")).collect()
+    return np.array([r.cuts for r in sorted(rows, key=lambda r: r.pos)], float)
+
+
+def stump_votes(x: np.ndarray, stumps: list[tuple[int, float, float, float]]) -> np.ndarray:
+    """The sum of the votes of stumps (place, cut, vote up to the cut, vote above it) for each row."""
+    out = np.zeros(len(x))
+    for place, cut, low, high in stumps:
+        out += np.where(x[:, place] <= cut, low, high)
+    return out
+
+
 def boosted_stumps(train: DataFrame, test: DataFrame, rounds: int = 100, seed: int = 123) -> DataFrame:
     """AdaBoost of depth-1 trees with real-valued votes: each round votes half the log odds of its leaf, and rows
-    gain weight by how wrong the votes have been."""
-    # a stump of the signs has the weighted mean sign in each leaf, which gives the leaf's odds
-    vote = F.least(F.greatest((1 + F.col("prediction")) / 2, F.lit(1e-12)), F.lit(1 - 1e-12))
-    half = 0.5 * (F.ln(vote) - F.ln(1 - vote))
-    sign = 2 * F.col("ind") - 1
-    rows = _ready(train).select("node", "vector", "ind", F.lit(0.0).alias("score")).cache()
-    out = _ready(test).select("node", "vector", F.lit(0.0).alias("score"))
-    models = []
-    for r in range(rounds):
-        weighted = rows.withColumn("w", F.exp(-sign * F.col("score")))
-        top = weighted.agg(F.sum("w")).first()[0]
-        if not top or not math.isfinite(top):
+    gain weight by how wrong the votes have been. A round is one pass over the rows that returns the weights of each
+    class below each cut; a row's weight comes from the stumps so far. (No draw is made: seed has no effect.)"""
+    ship_package(train.sparkSession)
+    rows = materialise(train.select("features", F.col("ind").cast("double").alias("ind")))
+    cuts = stump_cuts(rows)
+    width, many = cuts.shape
+    stumps: list[tuple[int, float, float, float]] = []
+
+    def weights_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, width, many + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            label = np.asarray(batch.column(1), float).astype(np.int64)
+            w = np.exp(-(2 * label - 1) * stump_votes(x, stumps))
+            for place in range(width):
+                at = np.searchsorted(cuts[place], x[:, place], "left")  # how many cuts lie below the value
+                for k in (0, 1):
+                    total[k, place] += np.bincount(at[label == k], w[label == k], many + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["at", "w"])
+
+    for _ in range(rounds):
+        total = np.zeros(2 * width * (many + 1))
+        for r in rows.mapInArrow(weights_below, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).collect():
+            total[r["at"]] = r.w
+        total = total.reshape(2, width, many + 1)
+        if not np.isfinite(total).all() or not total.sum():
             break
-        model = DecisionTreeRegressor(featuresCol="vector", labelCol="y", weightCol="w", maxDepth=1, seed=seed + r).fit(weighted.withColumns({"w": F.col("w") / top, "y": sign}))
-        if model.numNodes == 1:
+        low = total.cumsum(axis=2)[:, :, :-1] / total[:, :1].sum()
+        high = (total.sum(axis=2, keepdims=True) / total[:, :1].sum()) - low
+        # the split whose leaves are purest by Gini; equal ones: the first place, then the least cut
+        purity = sum(2 * side[0] * side[1] / np.maximum(side.sum(axis=0), 1e-300) for side in (low, high))
+        place, cut = np.unravel_index(int(np.round(purity, 12).argmin()), purity.shape)
+        share = [np.clip(side[1, place, cut] / max(side[:, place, cut].sum(), 1e-300), 1e-12, 1 - 1e-12) for side in (low, high)]
+        if min(low[:, place, cut].sum(), high[:, place, cut].sum()) <= 0:
             break  # no split helps any more
-        models.append(model)
-        moved = model.transform(rows).select("node", "vector", "ind", (F.col("score") + half).alias("score"))
-        # written, so that neither the plan nor a lost executor's work grows with the rounds
-        rows, old = materialise(moved).cache(), rows
-        old.unpersist()
-    rows.unpersist()
-    for model in models:
-        out = model.transform(out).select("node", "vector", (F.col("score") + half).alias("score"))
-    return out.select("node", sigmoid(2 * F.col("score")).alias("prob"))
+        stumps.append((int(place), float(cuts[place, cut]), *(0.5 * math.log(q / (1 - q)) for q in share)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-2 * stump_votes(x, stumps))))], ["node", "prob"])
+
+    return test.select("node", "features").mapInArrow(score, "node long, prob double")
 
 
 class TwoClassKDE:
@@ -174,17 +219,14 @@ class TwoClassKDE:
 
     def log_densities(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
         """node, s0, s1: log densities; of an empty class 0."""
-        side = self.train.select(F.col("node").alias("t"), F.col("features").alias("y"), F.col("ind").cast("int").alias("label"))
-        if sum(self.counts) * self.width * 8 <= BROADCAST_BYTES:
-            side = F.broadcast(side)
-        pairs = queries.select("node", "features").crossJoin(side)
-        if exclude_self:
-            pairs = pairs.where("node <> t")
-        h = F.when(F.col("label") == 1, self.bandwidths[1]).otherwise(self.bandwidths[0])
+        key = F.col("node") if exclude_self else F.lit(None).cast("long")
+        asked, known = queries.select("node", "features", key.alias("key")), self.train.select("node", "features", F.col("node").alias("key"), F.col("ind").cast("int").alias("label"))
+        per = None
+        for label in (0, 1):
+            own = log_kernel_sums(asked, known.where(F.col("label") == label), [self.bandwidths[label]]).withColumn("label", F.lit(label))
+            per = own if per is None else per.unionByName(own)
         constant = F.when(F.col("label") == 1, log_density_constant(self.width, self.bandwidths[1])).otherwise(log_density_constant(self.width, self.bandwidths[0]))
-        term = -distance2("features", "y") / (2 * h * h) + constant
-        sums = log_sum_exp(pairs.select("node", "label", term.alias("t")), ["node", "label"])
-        wide = sums.groupBy("node").agg(*[F.max(F.when(F.col("label") == k, F.col("lse") - F.ln("n"))).alias(f"s{k}") for k in (0, 1)])
+        wide = per.groupBy("node").agg(*[F.max(F.when(F.col("label") == k, F.col("lse") - F.ln("n") + constant)).alias(f"s{k}") for k in (0, 1)])
         return queries.select("node").join(wide, "node", "left").select("node", F.coalesce("s0", F.lit(0.0)).alias("s0"), F.coalesce("s1", F.lit(0.0)).alias("s1"))
 
     def score_samples(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -202,15 +244,58 @@ class TwoClassKDE:
         return self.predict_proba(queries).select("node", F.ln("p0").alias("l0"), F.ln("p1").alias("l1"))
 
 
-def distance2(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-
-
-def log_sum_exp(terms: DataFrame, keys: list[str], term: str = "t") -> DataFrame:
-    """keys, lse, n. Two combinable aggregates: the largest term, then the sum relative to it."""
+def log_kernel_sums(queries: DataFrame, train: DataFrame, bandwidths: list[float]) -> DataFrame:
+    """node, step, lse, n: for each query (node, features, key) and bandwidth (step: its place in the list) the log of the
+    sum of exp(-d^2 / 2h^2) over the training rows (features, key) whose key is another one, and how many those are.
+
+    Queries stay where they are. Training rows come to them in blocks of at most BROADCAST_BYTES, one broadcast each;
+    a block's sums are told by products of matrices, and joined by node only if there is more than one block.
+    """
+    spark = queries.sparkSession
+    ship_package(spark)
+    size = train.agg(F.sum(8 * F.size("features") + 8)).first()[0] or 0
+    blocks = max(1, -(-size // BROADCAST_BYTES))
+    out = None
+    for block in range(blocks):
+        rows = train.where(F.pmod(F.xxhash64("features", "key"), F.lit(blocks)) == block) if blocks > 1 else train
+        found = rows.select("features", "key").toArrow()
+        if not found.num_rows:
+            continue
+        y = np.asarray(found["features"].combine_chunks().flatten(), float).reshape(found.num_rows, -1)
+        sent = spark.sparkContext.broadcast((y, (y * y).sum(axis=1), found["key"].to_numpy()))
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            y, squares, keys = sent.value
+            for batch in batches:
+                step = max(1, KERNEL_CELLS // len(y))
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    x = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                    d2 = np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * (x @ y.T), 0.0)
+                    if part.column(2).null_count == 0:
+                        d2[part.column(2).to_numpy()[:, None] == keys] = np.inf
+                    n = np.isfinite(d2).sum(axis=1)
+                    some = np.flatnonzero(n)
+                    least = d2[some].min(axis=1)
+                    for k, h in enumerate(bandwidths):
+                        lse = np.log(np.exp((least[:, None] - d2[some]) / (2 * h * h)).sum(axis=1)) - least / (2 * h * h)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(np.full(len(some), k, np.int32)), pa.array(lse), pa.array(n[some])], ["node", "step", "lse", "n"])
+
+        own = queries.select("node", "features", "key").mapInArrow(sums, "node long, step int, lse double, n long")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return spark.createDataFrame([], "node long, step int, lse double, n long")
+    if blocks == 1:
+        return out
+    joined = log_sum_exp(materialise(out).withColumnRenamed("lse", "t"), ["node", "step"], counted=F.sum("n"))
+    return joined.select("node", "step", "lse", "n")
+
+
+def log_sum_exp(terms: DataFrame, keys: list[str], term: str = "t", counted: Column | None = None) -> DataFrame:
+    """keys, lse, n (the number of terms, or what is counted). Two combinable aggregates: the largest term, then the sum relative to it."""
     top = terms.groupBy(*keys).agg(F.max(term).alias("top"))
     joined = terms.join(top, keys)
-    return joined.groupBy(*keys).agg((F.max("top") + F.ln(F.sum(F.exp(F.col(term) - F.col("top"))))).alias("lse"), F.count("*").alias("n"))
+    return joined.groupBy(*keys).agg((F.max("top") + F.ln(F.sum(F.exp(F.col(term) - F.col("top"))))).alias("lse"), (F.count("*") if counted is None else counted).alias("n"))
 
 
 def fold(node: Column, cv: int) -> Column:
@@ -235,14 +320,17 @@ def bandwidth_grid(rows: DataFrame, gridsize: int, dynamic_range: float) -> Data
 
 def bandwidth_scores(rows: DataFrame, width: int, gridsize: int = 31, dynamic_range: float = 100.0, cv: int = 10) -> DataFrame:
     """label, bandwidth, score: the log-likelihood of each row under the rows of its class in other folds."""
-    own = rows.select("node", "features", F.col("ind").cast("int").alias("label"), fold(F.col("node"), cv).alias("fold"))
-    other = own.select("label", F.col("features").alias("y"), F.col("fold").alias("other"))
-    pairs = own.join(other, "label").where("fold <> other").select("label", "node", distance2("features", "y").alias("d2"))
-    grid = bandwidth_grid(rows, gridsize, dynamic_range)
-    terms = pairs.join(F.broadcast(grid), "label").select("label", "bandwidth", "node", (-F.col("d2") / (2 * F.col("bandwidth") * F.col("bandwidth"))).alias("t"))
-    sums = log_sum_exp(terms, ["label", "bandwidth", "node"])
+    own = rows.select("node", "features", F.col("ind").cast("int").alias("label"), fold(F.col("node"), cv).cast("long").alias("key"))
+    grid = bandwidth_grid(rows, gridsize, dynamic_range).collect()  # gridsize rows for each class
+    out = None
+    for label in sorted({r.label for r in grid}):
+        steps = [r.bandwidth for r in sorted((r for r in grid if r.label == label), key=lambda r: r.step)]
+        one = own.where(F.col("label") == label)
+        h = F.element_at(F.array(*[F.lit(float(x)) for x in steps]), F.col("step") + 1)
+        scored = log_kernel_sums(one, one, steps).select(F.lit(label).alias("label"), h.alias("bandwidth"), "lse", "n")
+        out = scored if out is None else out.unionByName(scored)
     constant = -0.5 * width * math.log(2 * math.pi) - width * F.ln("bandwidth")
-    return sums.groupBy("label", "bandwidth").agg(F.sum(F.col("lse") - F.ln("n") + constant).alias("score"))
+    return out.groupBy("label", "bandwidth").agg(F.sum(F.col("lse") - F.ln("n") + constant).alias("score"))
 
 
 def gaussian_mixture(spark, n: int, width: int, seed: int = 0) -> DataFrame:

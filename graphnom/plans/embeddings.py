@@ -77,7 +77,7 @@ def content_operator(op: algebra.Operator, kind: str, spark: SparkSession) -> al
 
 def context(spark: SparkSession, edges: DataFrame, config: Config, cache: EmbeddingCache | None = None) -> Embedding:
     key = embedding_key(config.embedding, config.max_eig)
-    if cache is not None and (found := cache.get(key)) is not None:
+    if cache is not None and config.load_embeddings and (found := cache.get(key)) is not None:
         return Embedding(found, None, key)
     n = graph.vertex_count(edges)
     op = variant(config.embedding, n, materialise(graph.adjacency(edges)))
@@ -87,7 +87,7 @@ def context(spark: SparkSession, edges: DataFrame, config: Config, cache: Embedd
 
 def content(spark: SparkSession, edges: DataFrame, attributes: DataFrame, kind: str, config: Config, cache: EmbeddingCache | None = None) -> Embedding:
     key = embedding_key(config.embedding, config.max_eig, kind, config.sim, config.delta)
-    if cache is not None and (found := cache.get(key)) is not None:
+    if cache is not None and config.load_embeddings and (found := cache.get(key)) is not None:
         return Embedding(found, None, key)
     nodes = graph.vertices(edges)
     values = attributes.where(F.col("attributeType") == kind).select("node", F.col("attributeVal").alias("val")).distinct().join(nodes, "node", "left_semi")

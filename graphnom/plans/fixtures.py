@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphnom.operators import graph
+
+from .tables import materialise
+
 
 class Fixtures:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -22,6 +27,15 @@ class Fixtures:
         other = lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
         return lines.join(other, "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
 
+    def kept_edges(self) -> DataFrame:
+        """edges, joined once and written, for what reads them more than once."""
+        if self._kept is None:
+            self._kept = materialise(self.edges())
+        return self._kept
+
+    def kept_adjacency(self) -> DataFrame:
+        return materialise(graph.adjacency(self.kept_edges()))
+
     def attributes(self) -> DataFrame:
         """node, attributeType, attributeVal of five types, each with missing nodes."""
         part = self.table("part")

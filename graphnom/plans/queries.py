@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from graphnom.config import Config
 from graphnom.functions import measures as M
 from graphnom.operators import cooccur, evaluate, features, graph, algebra, models, spectral
 from graphnom.operators.attributes import Attributes, log_ranks, seed_counts
+from graphnom.sources import readers, writers
 
 from .fixtures import Fixtures
 from .nomination import nominate
+from .tables import materialise, run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,7 +29,6 @@ ATTRS = """attrs AS (
   UNION ALL SELECT p_partkey, 'ptype', p_type FROM part WHERE p_partkey % 3 <> 0
   UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 11 <> 0
   UNION ALL SELECT p_partkey, 'retailprice', CAST(p_retailprice AS VARCHAR) FROM part WHERE p_partkey % 11 <> 0)"""
-WORDS = "CAST('brand word ptype' AS VARCHAR)"
 MATRIX = "adj AS (SELECT i, j, CAST(count(*) AS DOUBLE) AS v FROM (SELECT src AS i, dst AS j FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst) GROUP BY i, j)"
 DEGREE = "deg AS (SELECT i, sum(v) AS d FROM adj GROUP BY i), n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM edges), verts AS (SELECT unnest(range(0, (SELECT n FROM n))) AS node)"
 GRAPH = f"{EDGES}, {MATRIX}, {DEGREE}"
@@ -85,20 +87,19 @@ def graph_size(f: Fixtures) -> DataFrame:
 
 @query(f"WITH {GRAPH} SELECT node, coalesce(d, 0.0) AS d, round((SELECT sum(v) FROM adj) / (SELECT n FROM n), 6) AS tau FROM verts LEFT JOIN deg ON node = i")
 def degree(f: Fixtures) -> DataFrame:
-    m = graph.adjacency(f.edges())
-    nodes = graph.vertices(f.edges())
+    m, nodes = f.kept_adjacency(), graph.vertices(f.kept_edges())
     tau = graph.mean_degree(m, nodes.count())
     return nodes.join(graph.degrees(m), F.col("node") == F.col("i"), "left").select("node", F.coalesce("d", F.lit(0.0)).alias("d"), F.round(F.lit(tau), 6).alias("tau"))
 
 
 @query(f"WITH {GRAPH} SELECT i, j, round(sum(v), 6) AS v FROM (SELECT * FROM adj UNION ALL SELECT i, i, d / n FROM deg, n) GROUP BY i, j")
 def adj_plus_diag(f: Fixtures) -> DataFrame:
-    return graph.add_diagonal(graph.adjacency(f.edges()), graph.vertex_count(f.edges())).select("i", "j", r6("v"))
+    return graph.add_diagonal(f.kept_adjacency(), graph.vertex_count(f.kept_edges())).select("i", "j", r6("v"))
 
 
 @query(f"WITH {GRAPH} SELECT i, j, sum(v) AS v FROM (SELECT i, i AS j, d AS v FROM deg UNION ALL SELECT i, j, -v FROM adj) GROUP BY i, j HAVING sum(v) <> 0")
 def laplacian_entries(f: Fixtures) -> DataFrame:
-    return graph.laplacian(graph.adjacency(f.edges())).select("i", "j", "v")
+    return graph.laplacian(f.kept_adjacency()).select("i", "j", "v")
 
 
 def _lap(shift: str) -> str:
@@ -109,12 +110,12 @@ def _lap(shift: str) -> str:
 
 @query(_lap("0.0"))
 def norm_laplacian_entries(f: Fixtures) -> DataFrame:
-    return graph.normalized_laplacian(graph.adjacency(f.edges()), graph.vertices(f.edges())).select("i", "j", r6("v"))
+    return graph.normalized_laplacian(f.kept_adjacency(), graph.vertices(f.kept_edges())).select("i", "j", r6("v"))
 
 
 @query(_lap("(SELECT sum(v) FROM adj) / (SELECT n FROM n)"))
 def reg_norm_laplacian_entries(f: Fixtures) -> DataFrame:
-    m, nodes = graph.adjacency(f.edges()), graph.vertices(f.edges())
+    m, nodes = f.kept_adjacency(), graph.vertices(f.kept_edges())
     return graph.regularized_laplacian(m, nodes, graph.mean_degree(m, nodes.count())).select("i", "j", r6("v"))
 
 
@@ -268,8 +269,8 @@ def _result(op: algebra.Operator, x: DataFrame) -> DataFrame:
 
 
 def _adjacency(f: Fixtures) -> tuple[int, DataFrame, DataFrame]:
-    n = graph.vertex_count(f.edges())
-    return n, graph.adjacency(f.edges()), _vector(graph.vertices(f.edges()))
+    n = graph.vertex_count(f.kept_edges())
+    return n, f.kept_adjacency(), _vector(graph.vertices(f.kept_edges()))
 
 
 @query(f"WITH {FULL}, {AX} SELECT id, round(x, 5) AS x FROM ax")
@@ -437,14 +438,14 @@ def kde_log_ratio(f: Fixtures) -> DataFrame:
 
 
 @query(f"""WITH {LONG}, sg AS (SELECT label, max(n) AS n, sqrt(avg(v)) AS s FROM (SELECT CAST(ind AS INTEGER) AS label, pos, var_pop(x) AS v, count(*) AS n FROM long WHERE ind IS NOT NULL GROUP BY 1, 2) GROUP BY label),
-  grid AS (SELECT label, 1.06 * s * pow(n, -0.2) * pow(100.0, step / 4.0 - 0.5) AS h FROM sg, (SELECT unnest(range(0, 5)) AS step)),
+  grid AS (SELECT label, 1.06 * s * pow(n, -0.2) * pow(100.0, step / 30.0 - 0.5) AS h FROM sg, (SELECT unnest(range(0, 31)) AS step)),
   fo AS (SELECT node, CAST(ind AS INTEGER) AS label, embedding, ((node * 7919) % 10007) % 10 AS fold FROM feats WHERE ind IS NOT NULL),
   pr AS (SELECT a.node, a.label, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM fo a JOIN fo b ON a.label = b.label AND a.fold <> b.fold),
   mx AS (SELECT pr.node, pr.label, h, max(-d * d / (2 * h * h)) AS t FROM pr JOIN grid ON pr.label = grid.label GROUP BY 1, 2, 3),
   ls AS (SELECT mx.node, mx.label, mx.h, max(t) + ln(sum(exp(-d * d / (2 * mx.h * mx.h) - t))) - ln(count(*)) AS l FROM pr JOIN mx ON pr.node = mx.node AND pr.label = mx.label GROUP BY 1, 2, 3)
   SELECT label, round(h, 6) AS bandwidth, round(sum(l - 32 * ln(2 * pi()) - 64 * ln(h)), 3) AS score FROM ls GROUP BY label, h""")
 def kde_bandwidth_grid(f: Fixtures) -> DataFrame:
-    return models.bandwidth_scores(f.features().where("ind is not null"), 64, 5).select("label", r6("bandwidth"), F.round("score", 3).alias("score"))
+    return models.bandwidth_scores(f.features().where("ind is not null"), 64, Config().kde_grid).select("label", r6("bandwidth"), F.round("score", 3).alias("score"))
 
 
 LOO = f"""{LONG}, known AS (SELECT * FROM long WHERE ind IS NOT NULL),
@@ -502,7 +503,7 @@ def cv_interleave(f: Fixtures) -> DataFrame:
 
 
 @query(f"""WITH {LONG}, kn AS (SELECT f.node, f.ind, s.sample, row_number() OVER (PARTITION BY s.sample, ind ORDER BY {DEAL.format(s='s.sample')}, node) <= least(CASE WHEN ind = 1 THEN 20 ELSE 40 END, count(*) OVER (PARTITION BY s.sample, ind) - 1) AS train
-    FROM feats f, (SELECT unnest(range(0, 5)) AS sample) s WHERE ind IS NOT NULL),
+    FROM feats f, (SELECT unnest(range(0, 50)) AS sample) s WHERE ind IS NOT NULL),
   lo AS (SELECT kn.sample, kn.node, kn.ind, kn.train, pos, x FROM kn JOIN long ON kn.node = long.node),
   ad AS (SELECT sample, 1e-9 * max(v) AS a FROM (SELECT sample, pos, var_pop(x) AS v FROM lo WHERE train GROUP BY 1, 2) GROUP BY sample),
   st AS (SELECT lo.sample, ind AS label, pos, avg(x) AS m, var_pop(x) + max(a) AS v, count(*) AS n FROM lo JOIN ad ON lo.sample = ad.sample WHERE train GROUP BY 1, 2, 3),
@@ -511,7 +512,7 @@ def cv_interleave(f: Fixtures) -> DataFrame:
   cu AS (SELECT sample, row_number() OVER w AS rank, sum(ind) OVER (w ROWS UNBOUNDED PRECEDING) / row_number() OVER w AS p FROM od WINDOW w AS (PARTITION BY sample ORDER BY prob DESC, node))
   SELECT CAST(rank AS INTEGER) AS rank, round(avg(p), 6) AS mean_prec, round(stddev_pop(p) / sqrt(count(*)), 6) AS stderr_prec, round(avg(p) - 2 * stddev_pop(p) / sqrt(count(*)), 6) AS low, round(avg(p) + 2 * stddev_pop(p) / sqrt(count(*)), 6) AS high FROM cu WHERE rank <= 50 GROUP BY rank""")
 def mc_precision_curve(f: Fixtures) -> DataFrame:
-    return evaluate.resampled_bayes(f.features().where("ind is not null"), 5, 20, 40, 50).select("rank", *[r6(c) for c in ("mean_prec", "stderr_prec", "low", "high")])
+    return evaluate.resampled_bayes(f.features().where("ind is not null"), 50, 20, 40, 50).select("rank", *[r6(c) for c in ("mean_prec", "stderr_prec", "low", "high")])
 
 
 @query(f"""WITH {NB}, j AS (SELECT node, mom.label, sum(-0.5 * ln(2 * pi() * (v + a)) - (x - m) * (x - m) / (2 * (v + a))) + ln(max(n) / (SELECT sum(n) FROM cls)) AS l
@@ -532,9 +533,20 @@ def _nominated(name: str, **options):
     query()(run)
 
 
+@query("SELECT CAST(unnest(range(0, 65)) AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS gradient")
+def logreg_gradient(f: Fixtures) -> DataFrame:
+    """The gradient of the penalised loss at the weights found, the intercept's last: 0 at the optimum."""
+    rows = f.features().where("ind is not null")
+    w = models.logreg_weights(rows)
+    p = models.logreg_chance(w)
+    pull = rows.select((p - F.col("ind")).alias("e"), F.concat("features", F.array(F.lit(1.0))).alias("x")).select("e", F.posexplode("x").alias("pos", "x"))
+    own = F.element_at(F.array(*[F.lit(float(v)) for v in w]), F.col("pos") + 1)
+    return pull.groupBy("pos").agg(F.sum(F.col("e") * F.col("x")).alias("g")).select("pos", F.abs(F.round(F.col("g") + own, 3)).alias("gradient"))
+
+
 _nominated("logreg")
-_nominated("randfor", trees=20)
-_nominated("boost", rounds=5)
+_nominated("randfor", trees=Config().num_trees)
+_nominated("boost", rounds=Config().num_trees)
 
 
 # --- spectra -------------------------------------------------------------------------------------------------
@@ -552,23 +564,137 @@ def elbow_profile(f: Fixtures) -> DataFrame:
     return spectral.elbow_profile(scree).select("k", r6("ll"))
 
 
+_PROFILE = """pre{0} AS (SELECT k, count(*) OVER () AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, sum(x) OVER () AS ts, sum(x * x) OVER () AS tq FROM scree{0} WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)),
+  sp{0} AS (SELECT k, n, q - s * s / k AS l, (tq - q) - (ts - s) * (ts - s) / (n - k) AS r FROM pre{0} WHERE k < n),
+  va{0} AS (SELECT k, n, l + r AS t, (k * l + (n - k) * r) / (n - 2) AS v FROM sp{0}),
+  el{0} AS (SELECT k FROM va{0} ORDER BY -t / (2 * v) - 0.5 * n * ln(2 * pi() * v) DESC, k LIMIT 1)"""
+
+
+@query(f"""WITH {SCREE}, {_PROFILE.format('')}, scree2 AS (SELECT k - (SELECT k FROM el) AS k, x FROM scree WHERE k > (SELECT k FROM el)), {_PROFILE.format('2')}
+  SELECT 1 AS which, CAST(k - 1 AS BIGINT) AS elbow FROM el UNION ALL SELECT 2, CAST((SELECT k FROM el) + k - 1 AS BIGINT) FROM el2""")
+def elbow_choice(f: Fixtures) -> DataFrame:
+    ranked = Attributes(f.attributes(), ("word",)).ranked(None)
+    return spectral.elbow_table(ranked.select((F.col("rank") + 1).alias("k"), F.col("freq").cast("double").alias("x")), 2)
+
+
 @query()
 def spectral_eigenvalues(f: Fixtures) -> DataFrame:
-    n = graph.vertex_count(f.edges())
-    values, _ = spectral.svd_eigenpairs(graph.adjacency(f.edges()).cache(), n, 8)
+    n = graph.vertex_count(f.kept_edges())
+    values, _ = spectral.svd_eigenpairs(f.kept_adjacency(), n, EIGENPAIRS)
     return spectral.scree(values, f.spark)
 
 
+#: Leading pairs that the registered spectral queries ask for.
+EIGENPAIRS = 8
+
+
+@query(f"SELECT CAST(unnest(range(1, {EIGENPAIRS + 1})) AS INTEGER) AS rank, CAST(0 AS DOUBLE) AS residual, CAST(1 AS DOUBLE) AS length")
+def eigenpair_residuals(f: Fixtures) -> DataFrame:
+    """Of each leading pair of the adjacency: how far A v lies from its value times v, against the largest value, and
+    the length of v. What an exact pair gives is known: 0 and 1."""
+    n, m = graph.vertex_count(f.kept_edges()), f.kept_adjacency()
+    op = algebra.sparse((n, n), m, True)
+    values, vectors = spectral.svd_eigenpairs(m, n, EIGENPAIRS)
+    vectors = materialise(vectors)
+    scale = F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("col") + 1).cast("int"))
+    both = op.apply(vectors).select("id", "col", F.col("x").alias("ax")).join(vectors, ["id", "col"], "full")
+    off = F.coalesce("ax", F.lit(0.0)) - scale * F.coalesce("x", F.lit(0.0))
+    found = both.groupBy("col").agg(F.sqrt(F.sum(off * off)).alias("r"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
+    return found.select((F.col("col") + 1).cast("int").alias("rank"), F.abs(F.round(F.col("r") / abs(float(values[0])), 3)).alias("residual"), F.round("l", 6).alias("length"))
+
+
 @query()
 def content_eigenvalues(f: Fixtures) -> DataFrame:
     """Leading eigenvalues of the node similarity by a type's values, matrix-free."""
     from .embeddings import node_operator
 
-    values, _ = spectral.eigenpairs(node_operator(f.edges(), f.values("ptype"), f.nodes(), "NPMI1s", 0.0), 3, f.spark, extra=3, most=6)
+    values, _ = spectral.eigenpairs(node_operator(f.edges(), f.values("ptype"), f.nodes(), "NPMI1s", 0.0), 3, f.spark)
     return spectral.scree(values, f.spark)
 
 
+@query(f"WITH {LONG} SELECT round(sum(v), 6) AS total_variance, CAST(count(*) AS INTEGER) AS components FROM (SELECT var_samp(x) AS v FROM long GROUP BY pos)")
+def pca_total_variance(f: Fixtures) -> DataFrame:
+    """All components together explain the whole variance."""
+    values, _ = features.pca(f.features(), 64, 64)
+    return f.spark.createDataFrame([(round(float(values.sum()), 6), len(values))], "total_variance double, components int")
+
+
 @query()
 def pca_variance(f: Fixtures) -> DataFrame:
     values, _ = features.pca(f.features(), 64, 10)
     return spectral.scree(values, f.spark)
+
+
+# --- sources and sinks: written where the session's tables stand, and read back --------------------------------
+
+
+def _folder(f: Fixtures) -> str:
+    return f"{run_folder(f.spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {EDGES} SELECT src, dst, CAST(count(*) AS BIGINT) AS n FROM edges GROUP BY src, dst")
+def edges_from_text(f: Fixtures) -> DataFrame:
+    folder = _folder(f)
+    f.edges().select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(folder)
+    return readers.read_edges(f.spark, folder).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ATTRS} SELECT node, type AS \"attributeType\", val AS \"attributeVal\" FROM attrs WHERE type IN ('brand', 'word', 'size')")
+def attributes_from_csv(f: Fixtures) -> DataFrame:
+    folder = _folder(f)
+    f.attributes().write.option("sep", ";").option("header", True).csv(folder)
+    return readers.read_attributes(f.spark, folder, ("brand", "word", "size"))
+
+
+@query(f"""WITH {FREQ}, known AS (SELECT type, count(DISTINCT node) AS total_known FROM attrs WHERE {IN_KINDS} GROUP BY type)
+  SELECT val AS attribute, freq.type AS "attributeType", freq, total_known AS "totalKnown", round(freq / sum(freq) OVER (PARTITION BY freq.type), 6) AS "relativeFreq", CAST(row_number() OVER w AS BIGINT) AS rank,
+    round(sum(freq) OVER (w ROWS UNBOUNDED PRECEDING) / sum(freq) OVER (PARTITION BY freq.type), 6) AS percentile
+  FROM freq JOIN known ON freq.type = known.type WINDOW w AS (PARTITION BY freq.type ORDER BY freq DESC, val)""")
+def selected_from_csv(f: Fixtures) -> DataFrame:
+    folder = _folder(f)
+    stats = Attributes(f.attributes(), KINDS).selected_stats().select(F.col("val").alias("attribute"), F.col("type").alias("attributeType"), "freq", F.col("total_known").alias("totalKnown"), F.col("relative_freq").alias("relativeFreq"), "rank", "percentile")
+    stats.write.option("header", True).option("escape", '"').csv(folder)
+    return readers.read_selected(f.spark, folder).withColumns({"relativeFreq": r6("relativeFreq"), "percentile": r6("percentile")})
+
+
+@query(f"WITH {FREQ}, k AS (SELECT unnest(['csv', 'parquet']) AS extension) SELECT extension, type, val, freq FROM freq, k")
+def objects_saved_and_loaded(f: Fixtures) -> DataFrame:
+    folder, freq = _folder(f), Attributes(f.attributes(), KINDS).frequencies().select("type", "val", "freq")
+    out = []
+    for extension in ("csv", "parquet"):
+        writers.save_object(freq, folder, "freq", extension)
+        loaded = readers.load_object(f.spark, folder, "freq", extension)
+        out.append(loaded.select(F.lit(extension).alias("extension"), "type", "val", F.col("freq").cast("long").alias("freq")))
+    return out[0].unionByName(out[1])
+
+
+@query(f"WITH {FEATURES} SELECT node, CAST(len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM feats")
+def embedding_cached(f: Fixtures) -> DataFrame:
+    cache, key = writers.EmbeddingCache(f.spark, _folder(f)), writers.embedding_key("adj", 64)
+    cache.put(key, f.features().select("node", "features"))
+    return cache.get(key).select("node", F.size("features").alias("width"), F.round(F.get("features", F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS line, printf('%.6f', 10.0 / (i + 1)) AS value FROM (SELECT unnest(range(0, 20)) AS i)")
+def eigenvalues_dumped(f: Fixtures) -> DataFrame:
+    path = f"{_folder(f)}/eigvals.csv"
+    writers.save_eigenvalues(f.spark, [10.0 / (k + 1) for k in range(20)], path)
+    text = f.spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
+
+
+@query(f"""WITH {SCORED} SELECT CAST(row_number() OVER (ORDER BY prob DESC, node) - 1 AS INTEGER) AS line, node FROM sc""")
+def ranked_as_tsv(f: Fixtures) -> DataFrame:
+    path = f"{_folder(f)}/ranked.out"
+    writers.save_ranked(_scored(f).orderBy(F.desc("prob"), "node"), path)
+    text = f.spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("line > 0 and value <> ''")
+    return text.select((F.col("line") - 1).alias("line"), F.split("value", "\t")[0].cast("long").alias("node"))
+
+
+@query("SELECT CAST(rank AS INTEGER) AS rank, round(0.9 / rank, 6) AS mean_prec, round(least(1.0, 1.1 * 0.9), 6) AS highest FROM (SELECT unnest(range(1, 51)) AS rank)")
+def precision_saved(f: Fixtures) -> DataFrame:
+    path = f"{_folder(f)}/precision.csv"
+    curve = f.spark.range(1, 51).select(F.col("id").cast("int").alias("rank"), (0.9 / F.col("id")).alias("mean_prec"))
+    writers.save_precision(curve, path)
+    again = readers.read_precision(f.spark, path)
+    return again.select("rank", r6("mean_prec"), F.round(F.lit(evaluate.highest(again)), 6).alias("highest"))

@@ -1,15 +1,17 @@
 """Classifiers and evaluation against plain numpy, and a run from files to a ranked list."""
 
+import json
 import math
 
 import numpy as np
 import pytest
+from graphnom.__main__ import main, parser
 from graphnom.config import Config, Dtype, from_json, parse_items
-from graphnom.functions.text import legend, time_format
+from graphnom.functions.text import legend, time_format, timed, underscored
 from graphnom.operators import evaluate, features, models
-from graphnom.plans import nomination
+from graphnom.plans import nomination, tables
 from graphnom.sources import readers, writers
-from graphnom.streaming.incremental import RunningCounts, stream_pair_counts
+from graphnom.streaming.incremental import RunningCounts, stream_frequencies, stream_pair_counts
 from pyspark.sql import functions as F
 
 
@@ -148,6 +150,114 @@ def test_from_files_to_a_ranked_list(spark, tmp_path):
     assert readers.read_edges(spark, str(tmp_path / "bad.dat"), strict=False).count() == 2
 
 
+@pytest.fixture(scope="module")
+def small_graph(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("graph")
+    rng = np.random.default_rng(2)
+    group = rng.integers(0, 2, 40)
+    (folder / "edges.dat").write_text("\n".join(f"{i} {j}" for i in range(40) for j in range(i) if rng.random() < (0.4 if group[i] == group[j] else 0.05)))
+    lines = ["node;attributeType;attributeVal"] + [x for k in range(40) for x in ([f"{k};colour;{'red' if group[k] else 'blue'}"] if k % 3 else []) + [f"{k};word;w{group[k]}{k % 3}"]]
+    (folder / "attrs.csv").write_text("\n".join(lines) + "\n")
+    settings = {"edges_filename": "edges.dat", "attr_filename": "attrs.csv", "predictor_types": {"word": "categorical"}, "nomination_type": "colour", "nomination_value": "red", "max_eig": 3, "which_elbow": 0, "cv_max": 0, "nominate_max": 5, "num_trees": 5, "verbose": False}
+    (folder / "params.json").write_text(json.dumps(settings))
+    return folder, from_json(json.dumps(settings)), readers.read_edges(spark, str(folder / "edges.dat")), readers.read_attributes(spark, str(folder / "attrs.csv"))
+
+
+def test_command_line(spark, small_graph):
+    folder, _, _, _ = small_graph
+    main(["embed", str(folder)], spark)
+    main(["nominate", str(folder)], spark)
+    names = readers.listing(spark, str(folder))
+    assert "colour_red_nomination.out" in names and "attr_report.txt" in names and not any("cv_nomination" in n for n in names)
+    ranked = spark.read.option("sep", "\t").option("header", True).csv(str(folder / "colour_red_nomination.out"))
+    assert ranked.count() == 5 and ranked.columns[:2] == ["node", "prob"]
+    with pytest.raises(SystemExit):
+        parser().parse_args(["resample", "x"])
+    assert parser().parse_args(["resample", "x", "-a", "red", "-t", "colour"]).num_samples == 50
+
+
+def test_no_cross_validation(spark, small_graph):
+    _, config, edges, attributes = small_graph
+    for name in ("logreg", "naive_bayes", "kde"):
+        curve, top = nomination.run(spark, edges, attributes, config.with_(classifier=name, kde_grid=3, kde_folds=3))
+        assert curve.count() == 0 and top.count() == 5
+
+
+def test_leaving_out_of_densities_keeps_the_bandwidths(sample):
+    config = Config(classifier="kde", kde_grid=5, kde_folds=4, cv_max=20)
+    got = {r.node: r.prob for r in nomination.cross_validated(sample, config).collect()}
+    assert len(got) == 20
+    model = models.TwoClassKDE().fit_with_optimal_bandwidth(sample, 5, 100.0, 4)
+    x, y = arrays(sample)
+    width = x.shape[1]
+    for k, p in got.items():
+        rest = np.arange(len(x)) != k
+        s = [math.log(np.mean(np.exp(-((x[rest & (y == c)] - x[k]) ** 2).sum(axis=1) / (2 * model.bandwidths[c] ** 2)))) - width * math.log(model.bandwidths[c]) for c in (0, 1)]
+        assert p == pytest.approx(1 / (1 + math.exp(-(s[1] - s[0]))), abs=1e-9)
+
+
+def test_kernel_sums_in_blocks(sample, monkeypatch):
+    asked, known = sample.selectExpr("node", "features", "node as key"), sample.selectExpr("features", "node as key")
+    whole = {(r.node, r.step): (r.lse, r.n) for r in models.log_kernel_sums(asked, known, [0.5, 0.01]).collect()}
+    monkeypatch.setattr(models, "BROADCAST_BYTES", 400)
+    parts = {(r.node, r.step): (r.lse, r.n) for r in models.log_kernel_sums(asked, known, [0.5, 0.01]).collect()}
+    assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole) and {v[1] for v in whole.values()} == {59}
+
+
+def test_boosted_stumps_by_hand(sample):
+    x, y = arrays(sample)
+    sign, score = 2 * y - 1, np.zeros(len(y))
+    cuts = models.stump_cuts(sample)
+    for _ in range(3):
+        w = np.exp(-sign * score)
+        w /= w.sum()
+        best = None
+        for f in range(x.shape[1]):
+            for c in cuts[f]:
+                low = x[:, f] <= c
+                leaves = [(w[s & (y == 0)].sum(), w[s & (y == 1)].sum()) for s in (low, ~low)]
+                loss = round(sum(2 * a * b / max(a + b, 1e-300) for a, b in leaves), 12)
+                if best is None or loss < best[0]:
+                    best = (loss, low, leaves)
+        q = [np.clip(b / (a + b), 1e-12, 1 - 1e-12) for a, b in best[2]]
+        score = score + np.where(best[1], *(0.5 * math.log(v / (1 - v)) for v in q))
+    got = {r.node: r.prob for r in models.boosted_stumps(sample, sample, 3).collect()}
+    assert all(got[k] == pytest.approx(1 / (1 + math.exp(-2 * score[k]))) for k in range(len(y)))
+
+
+def test_harness(spark, small_graph, tmp_path):
+    _, config, edges, attributes = small_graph
+    curves = nomination.harness(spark, edges, attributes, config, 4, 4, 2, 6, classifiers=("logreg", "boost", "naive_bayes"), folder=str(tmp_path))
+    rows = curves.collect()
+    assert {(r.embedding_info, r.classifier) for r in rows} == {(a, b) for a in nomination.EMBEDDING_CHOICES for b in ("logreg", "boost", "naive_bayes")}
+    assert all(r.sphere_content and r.low <= r.mean_prec <= r.high and 1 <= r["rank"] <= 6 for r in rows)
+    again = readers.read_precision(spark, nomination.precision_path(str(tmp_path), config, 4, 4))
+    assert again.count() == len(rows) and evaluate.highest(again) == pytest.approx(min(1.0, 1.1 * max(r.mean_prec for r in rows)))
+    with pytest.raises(ValueError):
+        nomination.choice_of_features(spark, edges, attributes, config, "none", True)
+
+
+def test_tables_are_removed(spark):
+    kept = tables.materialise(spark.range(3))
+    assert kept.count() == 3 and readers.exists(spark, tables.run_folder(spark))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert path.rsplit("/", 1)[0].endswith(tables.run_folder(spark).rsplit("/", 1)[1])
+
+
+def test_text_helpers(spark):
+    said = []
+    assert timed(lambda a: a + 1, said.append)(2) == 3 and said[0].startswith("<lambda>: 0h,0m,")
+    assert spark.range(1).select(underscored(F.lit("  new  york ")).alias("t")).first().t == "new_york"
+
+
+def test_frequencies_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "t", "a"), (1, "t", "a"), (1, "u", "b")], "node long, attributeType string, attributeVal string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream_frequencies(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(60)
+    got = RunningCounts(spark, str(tmp_path / "state"), ["type", "val"], "freq").read(0).collect()
+    assert {(r.type, r.val): r.freq for r in got} == {("t", "a"): 2, ("u", "b"): 1}
+
+
 def test_sampling_and_curves(sample):
     drawn = evaluate.seed_sample(sample, 10, 100, 3)
     assert {(r.ind, r.train): r.n for r in drawn.groupBy("ind", "train").agg(F.count("*").alias("n")).collect()} == {(1.0, True): 10, (1.0, False): 20, (0.0, True): 29, (0.0, False): 1}
