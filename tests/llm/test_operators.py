@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, langid, merkle, mixing, near_dedup, quality
+from graphnom.llm import ctw, langid, mixing, near_dedup, quality
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -357,30 +357,6 @@ def test_context_trees_against_a_sequential_model(spark, docs, none):
     assert ctw.score(none.selectExpr("*", "false as h"), "h").count() == 0
 
 
-def test_merkle_fingerprints(spark, docs, none):
-    got = merkle.merkle_neighbours(docs).collect()
-    data = sorted(((-1 << 63 if r[0] is None else r[0], r[1] or "") for r in rows()), key=lambda x: (x[0], x[1].encode()))
-    want = collections.Counter()
-    for (k, text), (_, following) in zip(data, data[1:] + data[:1]):
-        n = len(text)
-        want[k, n, hashlib.sha256((text[: n - n // 2] + following[: n // 2]).encode()).hexdigest()] += 1
-    assert collections.Counter((-1 << 63 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    prints = {}
-    for text in {r[1] or "" for r in rows()}:
-        prints[text] = merkle.fingerprints([text])[0]
-    assert len(set(prints.values())) == len(prints)
-    assert {r.fingerprint for r in got} == set(prints.values())
-    text = "\n".join(f"paragraph {k} has words of its own {k * k} and some more" for k in range(60))
-    edit = text.replace("paragraph 30", "changed 30")
-    a, b = merkle.fingerprints([text, edit])
-    assert 0.9 < merkle.likeness_of(a, b) < 1 and merkle.likeness_of(a, a) == 1
-    assert 1 <= len(merkle.differing(a, b)) <= 2 and merkle.differing(a, a) == []
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    assert merkle.merkle_neighbours(none).count() == 0
-    one = merkle.merkle_neighbours(spark.createDataFrame([(5, "lonely words here")], "doc_id long, text string")).first()
-    assert one.near_next == 1.0
-
-
 def test_held_out_remainders(spark):
     from graphnom.llm import common
 
