@@ -6,34 +6,39 @@ and half at every depth, with what its children say: the weight of a node after
 block probabilities, so trees are built from counts alone, in any order. The sum of -log2 over a text's
 decisions is its code length.
 
-Distribution. Grams (a byte and the DEPTH bytes before it) are counted without moving texts; trees are built in
-shards by the two nearest context bytes, and the two levels above are small (at most 65,536 nodes a level below
-the root, by byte and bits). Then texts go into chunks of a bounded size; each chunk asks once for each of its
-distinct words and grams, and is scored with the answers. No table of words or grams is ever broadcast.
+Distribution. Words and grams (a byte and the DEPTH bytes before it) are counted without moving texts; trees are built
+in shards of some SHARD grams, by the three nearest context bytes; the levels above are small (at most 2^24 nodes two
+bytes deep, by bytes and bits, whatever the corpus). Then texts go into chunks of a bounded size; each chunk asks once
+for each of its distinct words and grams, and is scored with the answers. The most frequent words and grams, FREQUENT
+of them at most, need not be asked for: they are broadcast, which changes no score.
 
 Defined cases: a null text is empty: one token (the end), coded by the end byte; without training documents
-every count is 0 and every decision has probability 1/2; repeated rows are scored alike; an empty table gives
-an empty result; extra columns are ignored.
+every count is 0 and every decision has probability 1/2; repeated rows and ties are scored alike; a very long text is
+a chunk of its own, at some 60 bytes of memory a byte; an empty table gives an empty result; extra columns are
+ignored unless in `keep`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import textkit as K
 
-DEPTH = 4
+DEPTH = 6
 #: Bytes that UTF-8 does not have: before a text, and after it.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text that are scored together, and that grams are sorted together of.
-CHUNK, SORTED = 24 << 20, 4 << 20
-SHARDS = 192
+CHUNK, SORTED = 12 << 20, 4 << 20
+#: Grams of a shard, about, and context bytes that all grams of a shard's tree share.
+SHARD, NEAR = 200_000, 3
+#: Most words and most grams that are broadcast: the most frequent ones.
+FREQUENT = (1 << 19, 1 << 21)
 #: The key of the end token among word hashes.
 END_WORD = np.uint64(0x1E4D)
 ADDED = 0.1
@@ -89,7 +94,7 @@ def own_share(own: np.ndarray, children: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """The tree nodes of some grams, from DEPTH up to depth 2."""
+    """The tree nodes of some grams, from DEPTH up to depth NEAR."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         byte = keys & np.uint64(0xFF)
@@ -100,7 +105,7 @@ class Levels:
         n = np.repeat(counts.astype(np.float64), 8)
         one = self.bit.reshape(-1)
         self.nodes: list[dict[str, np.ndarray]] = []
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(DEPTH, NEAR - 1, -1):
             mask = np.uint64((1 << (8 * depth)) - 1)
             name, place = np.unique((((context & mask) << np.uint64(8))[:, None] | self.prefix).reshape(-1), return_inverse=True)
             ones, all_of = np.bincount(place, n * one, len(name)), np.bincount(place, n, len(name))
@@ -115,7 +120,7 @@ class Levels:
             self.nodes.append(level)
 
     def chances(self) -> np.ndarray:
-        """Of each gram's decisions (all in one row): the depth-2 node's probability of a one."""
+        """Of each gram's decisions (all in one row): the depth-NEAR node's probability of a one."""
         p = None
         for level in self.nodes:
             own = (level["ones"] + 0.5) / (level["zeros"] + level["ones"] + 1)
@@ -125,21 +130,33 @@ class Levels:
         return p
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often training rows hold each word (kind 0) and gram (kind 1) of all rows."""
+    tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
     for batch in batches:
         data, offsets = K.buffer_of(batch.column(0))
         held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, part, places in K.pieces(data, offsets, SORTED):
-            keys, counts = merged(keys, counts, *gram_counts(part, places, held[lo:hi]))
-            if len(keys) > SORTED:
-                yield counted(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-    yield counted(keys, counts)
+            for kind, found in enumerate((word_counts(part, places, held[lo:hi]), gram_counts(part, places, held[lo:hi]))):
+                tables[kind] = merged(*tables[kind], *found)
+                if len(tables[kind][0]) > SORTED:
+                    yield counted(kind, *tables[kind])
+                    tables[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for kind in (0, 1):
+        yield counted(kind, *tables[kind])
 
 
-def counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+def counted(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], ["kind", "key", "n"])
+
+
+def word_counts(part: np.ndarray, places: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and the end, and how often training rows have them."""
+    found, rows = word_hashes(part, places)
+    found = np.append(found, np.full(len(held), END_WORD))
+    trained = np.append(np.repeat(~held, np.diff(rows)), ~held)
+    order = np.argsort(found, kind="stable")
+    return total_of(found[order], trained[order])
 
 
 def gram_counts(part: np.ndarray, places: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,48 +183,79 @@ def merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[
 
 
 def _summary(table: pa.Table) -> pa.Table:
-    """Depth-2 nodes of a shard: nearest byte, prefix, counts, weight; summed over the second byte."""
+    """Nodes of depth NEAR of a shard, summed over their farthest byte: nearer bytes and prefix, counts, weight."""
     top = Levels(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()).nodes[-1]
-    name = (top["name"] >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64) << 8 | (top["name"] & np.uint64(0xFF)).astype(np.int64)
+    name = (top["name"] & np.uint64((1 << 8 * NEAR) - 1)).astype(np.int64)
     names, place = np.unique(name, return_inverse=True)
     sums = {k: np.bincount(place, top[k], len(names)) for k in ("zeros", "ones", "weight")}
     return pa.table({"name": pa.array(names.astype(np.int32)), **{k: pa.array(v) for k, v in sums.items()}})
 
 
+class Top:
+    """The levels above the shards: from NEAR - 1 bytes up to the root, a few numbers for each node."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
+        #: of each level: sorted names (nearest bytes, prefix), estimates and shares
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for depth in range(NEAR - 1, -1, -1):
+            own = block(zeros, ones)
+            self.levels.append((names, (ones + 0.5) / (zeros + ones + 1), own_share(own, children)))
+            if depth:
+                weight = mixed(own, children)
+                names, place = np.unique(names & ((1 << 8 * depth) - 1), return_inverse=True)
+                zeros, ones, children = (np.bincount(place, v, len(names)) for v in (zeros, ones, weight))
+
+    def mixed_in(self, p: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Chances from deeper levels, mixed with those of these; near: nearest bytes and prefix of each decision."""
+        for k, (names, estimate, share) in enumerate(self.levels):
+            at = np.searchsorted(names, near & ((1 << 8 * (NEAR - k)) - 1))
+            p = share[at] * estimate[at] + (1 - share[at]) * p
+        return p
+
+
 def train(totals: DataFrame) -> DataFrame:
-    """totals: key, n for each gram. Each gram's log10 probability: key, value."""
+    """totals: key, n for each gram. Each gram's log10 probability: key, n, value."""
     C.ship_package(totals.sparkSession)
-    near = F.col("key").bitwiseAND(0xFFFF00)
-    sharded = totals.withColumn("shard", F.pmod(F.xxhash64(near), F.lit(SHARDS)).cast("int"))
-    groups = sharded.groupBy("shard")
+    shards = max(1, -(-totals.count() // SHARD))
+    near = F.col("key").bitwiseAND(((1 << 8 * NEAR) - 1) << 8)
+    groups = totals.withColumn("shard", F.pmod(F.xxhash64(near), F.lit(shards)).cast("int")).groupBy("shard")
     nodes = groups.applyInArrow(_summary, "name int, zeros double, ones double, weight double")
-    nodes = nodes.groupBy("name").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weight").alias("children"))
-    found = nodes.orderBy("name").toPandas()  # at most 256 bytes x 256 prefixes
-    one = {k: np.zeros(1 << 16) for k in ("zeros", "ones", "children")}
-    for k in one:
-        one[k][found.name.to_numpy(dtype=np.int64)] = np.round(found[k].to_numpy(dtype=float), 6)
-    own = block(one["zeros"], one["ones"])
-    weight = mixed(own, one["children"]).reshape(256, 256)
-    root = {k: one[k].reshape(256, 256).sum(axis=0) for k in ("zeros", "ones")}
-    estimate = (one["ones"] + 0.5) / (one["zeros"] + one["ones"] + 1)
-    share = own_share(own, one["children"])
-    root_estimate = (root["ones"] + 0.5) / (root["zeros"] + root["ones"] + 1)
-    root_share = own_share(block(root["zeros"], root["ones"]), weight.sum(axis=0))
-    sent = totals.sparkSession.sparkContext.broadcast((estimate, share, root_estimate, root_share))
+    nodes = nodes.groupBy("name").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("zeros", "ones", "weight")])
+    found = nodes.orderBy("name").toArrow()  # at most 2^16 pairs of bytes x 2^8 prefixes
+    sent = totals.sparkSession.sparkContext.broadcast(Top(*(found[c].to_numpy().astype(np.int64 if c == "name" else np.float64) for c in ("name", "zeros", "ones", "weight"))))
 
     def score(table: pa.Table) -> pa.Table:
-        estimate, share, root_estimate, root_share = sent.value
         keys = table["key"].to_numpy().view(np.uint64)
         levels = Levels(keys, table["n"].to_numpy())
-        p = levels.chances()
         prefix = levels.prefix.reshape(-1).astype(np.int64)
-        near = np.repeat((keys >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64), 8) << 8 | prefix
-        p = share[near] * estimate[near] + (1 - share[near]) * p
-        p = root_share[prefix] * root_estimate[prefix] + (1 - root_share[prefix]) * p
+        near = np.repeat((keys >> np.uint64(8) & np.uint64((1 << 8 * (NEAR - 1)) - 1)).astype(np.int64), 8) << 8 | prefix
+        p = sent.value.mixed_in(levels.chances(), near)
         p = np.where(levels.bit.reshape(-1), p, 1 - p)
-        return pa.table({"key": table["key"], "value": pa.array(np.log10(p).reshape(-1, 8).sum(axis=1))})
+        return pa.table({"key": table["key"], "n": table["n"], "value": pa.array(np.log10(p).reshape(-1, 8).sum(axis=1).astype(np.float32))})
+
+    return groups.applyInArrow(score, "key long, n long, value float")
+
+
+def frequent(table: DataFrame, most: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of a table (key, n, value) but its most frequent ones, and those, at most `most`, sorted by key."""
+    # how many rows have each size of n, in steps of an eighth of a power of two
+    step = F.floor(F.log2(F.col("n") + 1) * 8).cast("int")
+    sizes = sorted(((r.s, r.c) for r in table.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    least, total = 1 << 30, 0
+    for s, c in sizes:
+        if total + c > most:
+            break
+        least, total = s, total + c
+    found = table.where(step >= least).select("key", "n", "value").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return table.where(step < least), (keys[order], found["n"].to_numpy()[order], found["value"].to_numpy()[order])
+
 
-    return groups.applyInArrow(score, "key long, value double")
+def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each asked key in sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
 
 
 def word_hashes(part: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,66 +265,62 @@ def word_hashes(part: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     return K.span_hashes(low, spans.starts, spans.ends), spans.rows
 
 
-def _ask(table: pa.Table) -> pa.Table:
-    """Distinct words (kind 0) and grams (kind 1) of a chunk, with the words' training counts."""
-    if not table.num_rows:
-        return pa.table({"chunk": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-    data, offsets = K.buffer_of(table["text"])
-    held = table["held"].to_numpy().astype(bool)
-    words, n = np.array([END_WORD]), np.array([int((~held).sum())])
-    seen = np.zeros(0, np.uint64)
-    for lo, hi, part, places in K.pieces(data, offsets, SORTED):
-        found, rows = word_hashes(part, places)
-        order = np.argsort(found, kind="stable")
-        trained = np.repeat(~held[lo:hi], np.diff(rows))[order]
-        words, n = merged(words, n, *total_of(found[order], trained.astype(np.int64)))
-        seen = np.union1d(seen, np.unique(grams(part, places)[0]))
-    keys = np.concatenate([words, seen])
-    size = len(keys)
-    return pa.table(
-        {
-            "chunk": pa.array(np.full(size, table["chunk"][0].as_py(), np.int32)),
-            "kind": pa.array(np.repeat([0, 1], [len(words), len(seen)]).astype(np.int32)),
-            "key": pa.array(keys.view(np.int64)),
-            "n": pa.array(np.concatenate([n, np.zeros(len(seen), np.int64)])),
-            "value": pa.array(np.zeros(size)),
-        }
-    )
-
-
-def _answer(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Scores of a chunk's rows, and in its first row the chunk's share of the corpus counts."""
-    kind = answers["kind"].to_numpy()
-    keys, count, value = answers["key"].to_numpy().view(np.uint64), answers["c"].to_numpy(), answers["v"].to_numpy()
-    tables = []
-    for k, column in ((0, count), (1, value)):
-        own = np.flatnonzero(kind == k)
-        order = own[np.argsort(keys[own])]
-        tables.append((keys[order], column[order]))
-    (words, counts), (known, logs) = tables
-    word_log = np.log10(counts + ADDED)
-    end = int(np.searchsorted(words, END_WORD))
-    n = texts.num_rows
-    out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base", "score")}
-    data, offsets = K.buffer_of(texts["text"])
-    for lo, hi, part, places in K.pieces(data, offsets):
-        found, rows = word_hashes(part, places)
-        at = np.searchsorted(words, found)
-        row = np.repeat(np.arange(hi - lo), np.diff(rows))
-        out["n_tokens"][lo:hi] = np.diff(rows) + 1
-        out["n_known"][lo:hi] = np.bincount(row[counts[at] > 0], minlength=hi - lo) + int(counts[end] > 0)
-        out["base"][lo:hi] = np.bincount(row, word_log[at], minlength=hi - lo) + word_log[end]
-        own, starts = grams(part, places)
-        out["score"][lo:hi] = np.add.reduceat(logs[np.searchsorted(known, own)], starts[:-1])
-        out["n_bytes"][lo:hi] = np.diff(places)
-    first = answers["first"].to_numpy()
-    share_v, share_n = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n:
-        share_v[0] = int(((kind == 0) & (count > 0) & (first == 1)).sum())
-        share_n[0] = int(answers["n"].to_numpy()[kind == 0].sum())
-    arrays = [c for name, c in zip(texts.column_names, texts.columns, strict=True) if name not in ("chunk", "held", "text")]
-    names = [name for name in texts.column_names if name not in ("chunk", "held", "text")]
-    return pa.table([*arrays, *(pa.array(x) for x in out.values()), pa.array(share_v), pa.array(share_n)], names=[*names, *out, "share_v", "share_n"])
+def asker(sent) -> Callable[[pa.Table], pa.Table]:
+    def ask(table: pa.Table) -> pa.Table:
+        """Distinct words (kind 0) and grams (kind 1) of a chunk that are not among the frequent ones."""
+        seen = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        if table.num_rows:
+            data, offsets = K.buffer_of(table["text"])
+            for _, _, part, places in K.pieces(data, offsets, SORTED):
+                for kind, keys in enumerate((word_hashes(part, places)[0], grams(part, places)[0])):
+                    keys = np.unique(keys)
+                    seen[kind] = np.union1d(seen[kind], keys[~found_at(sent.value[kind][0], keys)[1]])
+            if not found_at(sent.value[0][0], np.array([END_WORD]))[1][0]:
+                seen[0] = np.union1d(seen[0], [END_WORD])
+        sizes = [len(x) for x in seen]
+        chunk = table["chunk"][0].as_py() if table.num_rows else 0
+        return pa.table({"chunk": pa.array(np.full(sum(sizes), chunk, np.int32)), "kind": pa.array(np.repeat([0, 1], sizes).astype(np.int32)), "key": pa.array(np.concatenate(seen).astype(np.uint64).view(np.int64))})
+
+    return ask
+
+
+def answerer(sent) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def answer(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of a chunk's rows."""
+        kind, keys = answers["kind"].to_numpy(), answers["key"].to_numpy().view(np.uint64)
+        own = []
+        for k in (0, 1):
+            rows = np.flatnonzero(kind == k)
+            rows = rows[np.argsort(keys[rows])]
+            own.append((keys[rows], answers["n"].to_numpy()[rows], answers["value"].to_numpy()[rows]))
+
+        def look_up(k: int, asked: np.ndarray, column: int) -> np.ndarray:
+            """Of each asked key of a kind: n (1) or value (2); each distinct key is looked up once."""
+            distinct, back = np.unique(asked, return_inverse=True)
+            out = np.zeros(len(distinct))
+            for table in (sent.value[k], own[k]):
+                at, there = found_at(table[0], distinct)
+                out[there] = table[column][at[there]]
+            return out[back]
+
+        n = texts.num_rows
+        out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base", "score")}
+        end = float(look_up(0, np.array([END_WORD]), 1)[0])
+        data, offsets = K.buffer_of(texts["text"])
+        for lo, hi, part, places in K.pieces(data, offsets):
+            found, rows = word_hashes(part, places)
+            count = look_up(0, found, 1)
+            row = np.repeat(np.arange(hi - lo), np.diff(rows))
+            out["n_tokens"][lo:hi] = np.diff(rows) + 1
+            out["n_known"][lo:hi] = np.bincount(row[count > 0], minlength=hi - lo) + int(end > 0)
+            out["base"][lo:hi] = np.bincount(row, np.log10(count + ADDED), minlength=hi - lo) + np.log10(end + ADDED)
+            asked, starts = grams(part, places)
+            out["score"][lo:hi] = np.add.reduceat(look_up(1, asked, 2), starts[:-1])
+            out["n_bytes"][lo:hi] = np.diff(places)
+        kept = [name for name in texts.column_names if name not in ("chunk", "held", "text")]
+        return pa.table([*(texts[name] for name in kept), *(pa.array(x) for x in out.values())], names=[*kept, *out])
+
+    return answer
 
 
 def score(docs: DataFrame, held: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -286,25 +330,26 @@ def score(docs: DataFrame, held: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     spark = docs.sparkSession
     C.ship_package(spark)
     source = docs.select(*keep, F.coalesce(F.col(held), F.lit(False)).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = C.arrow_map(source.select("text", "held"), _count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    known = C.materialise(train(C.materialise(counts)))
+    totals = C.materialise(C.arrow_map(source.select("text", "held"), _count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    words = totals.where("kind = 0").select("key", "n", F.lit(0.0).cast("float").alias("value"))
+    whole = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    n, v = whole.n or 0, whole.v or 0
+    known = C.materialise(train(totals.where("kind = 1").select("key", "n")))
+    rest, tables = zip(*(frequent(t, most) for t, most in zip((words, known), FREQUENT, strict=True)), strict=True)
+    sent = spark.sparkContext.broadcast(tables)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
-    chunk = F.pmod(F.xxhash64(*keep, F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk")
+    # a row number, as equal rows shall not meet in one chunk
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk")
     texts = source.select(chunk, *keep, "held", "text")
-    asked = texts.groupBy("chunk").applyInArrow(_ask, "chunk int, kind int, key long, n long, value double")
-    taught = known.select(F.lit(-1).alias("chunk"), F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("n"), "value")
-    same = Window.partitionBy("kind", "key")
-    told = asked.union(taught).withColumns({"c": F.sum("n").over(same), "v": F.min("value").over(same), "first": F.min("chunk").over(same)})
-    told = told.where("chunk >= 0").select("chunk", "kind", "key", "n", "c", "v", (F.col("first") == F.col("chunk")).cast("int").alias("first"))
+    asked = texts.groupBy("chunk").applyInArrow(asker(sent), "chunk int, kind int, key long")
+    taught = rest[0].withColumn("kind", F.lit(0)).unionByName(rest[1].withColumn("kind", F.lit(1)))
+    told = asked.join(taught.hint("merge"), ["kind", "key"]).select("chunk", "kind", "key", "n", "value")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    scored = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_answer, f"{kept}, n_tokens long, n_known long, n_bytes long, base double, score double, share_v long, share_n long")
-    scored = C.materialise(scored)
-    total = scored.agg(F.sum("share_v").alias("v"), F.sum("share_n").alias("n")).first()
-    v, n = total.v or 0, total.n or 0
-    whole = float(np.log10(n + ADDED * (v + 1)))
+    scored = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answerer(sent), f"{kept}, n_tokens long, n_known long, n_bytes long, base double, score double")
+    total = float(np.log10(n + ADDED * (v + 1)))
     return scored.select(
         *keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        F.round(F.col("base") - F.col("n_tokens") * F.lit(whole), 6).alias("base_score"), F.round("score", 6).alias("score"),
+        F.round(F.col("base") - F.col("n_tokens") * F.lit(total), 6).alias("base_score"), F.round("score", 6).alias("score"),
         F.round(-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1), 6).alias("bits_per_byte"),
     )

@@ -301,7 +301,10 @@ def test_budget_fit_against_all_subsets():
     assert int(np.dot(many, np.arange(1, 2000))) == 10**12 + 12345
 
 
-def test_context_trees_against_a_sequential_model(spark, docs, none):
+@pytest.mark.parametrize("most", [(1 << 19, 1 << 21), (0, 0), (3, 5)])
+def test_context_trees_against_a_sequential_model(spark, docs, none, most, monkeypatch):
+    monkeypatch.setattr(ctw, "FREQUENT", most)
+    monkeypatch.setattr(ctw, "SHARD", 8)
     data = [(0, "abab"), (1, "Abba a"), (2, None), (3, "bab"), (4, "é ab"), (5, "")]
     frame = spark.createDataFrame([(k, t, k in (3, 4)) for k, t in data], "doc_id long, text string, h boolean")
     got = {r.doc_id: r for r in ctw.score(frame, "h").collect()}
@@ -352,6 +355,9 @@ def test_context_trees_against_a_sequential_model(spark, docs, none):
     for k, t in tokens.items():
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(t), sum(count[x] > 0 for x in t), n)
         assert got[k].base_score == pytest.approx(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), abs=1e-5)
+    if most[0]:
+        return
+    monkeypatch.undo()
     more = ctw.score(docs.selectExpr("*", "doc_id is null as h"), "h")
     assert more.count() == docs.count()
     assert ctw.score(none.selectExpr("*", "false as h"), "h").count() == 0
