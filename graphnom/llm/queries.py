@@ -21,8 +21,8 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = C.table(spark, sf_dir, "labels").where("quality = 1")
-    return quality(C.table(spark, sf_dir, "documents"), trusted)
+    labels = C.table(spark, sf_dir, "labels")
+    return quality(C.table(spark, sf_dir, "documents"), labels.where("quality = 1"), labels.where("quality = 0"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphnom.llm import ctw, langid, mixing, near_dedup, quality
+from graphnom.llm import ctw, langid, mixing, near_dedup
 from graphnom.llm import textkit as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, score string, chunk string, _node string, kept string"
@@ -66,32 +66,6 @@ def test_kernel_words_and_windows():
     assert len(set(found.values())) == len(found)
 
 
-def test_quality_counts_and_verdicts(spark, docs, none):
-    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (100, 1, 0), (1, 1, 0), (101, 0, 0)], "doc_id long, quality int, toxic int")
-    got = quality.quality(docs, labels.where("quality = 1"), keep=("doc_id", "text")).toPandas()
-    assert len(got) == docs.count()
-    table = quality.ratio_table(docs, labels.where("quality = 1"))
-    for r in got.itertuples():
-        text, w = r.text or "", split(r.text)
-        seen, dup = set(), 0
-        for line in text.split("\n"):
-            if split(line):
-                dup += line in seen
-                seen.add(line)
-        tri = collections.Counter(zip(w, w[1:], w[2:]))
-        covered = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
-        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        data, offsets = K.buffer_of(pa.array([text]))
-        spans = K.Spans(data, offsets)
-        buckets, _ = quality.ngram_buckets(K.span_hashes(data, spans.starts, spans.ends), spans.rows)
-        score = sum(table[b] for b in buckets) / max(len(buckets), 1)
-        assert r.score == pytest.approx(score, abs=1e-8)
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
-    assert quality.quality(none, labels.where("quality = 1")).count() == 0
-    assert quality.quality(docs, labels.where("quality = 7")).where("score <> 0").count() == 0
-
-
 def test_near_dedup_classes_against_all_pairs(spark, docs, none):
     rnd = random.Random(8)
     texts = [r[:2] for r in rows()]
