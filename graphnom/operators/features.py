@@ -101,11 +101,6 @@ def pca(df: DataFrame, width: int, components: int, whiten: bool = False, column
     return values, df.withColumn(column, F.transform(weights, dot))
 
 
-def whitened_share(values: np.ndarray) -> np.ndarray:
-    total = values.sum()
-    return values / total if total > 0 else values
-
-
 def log_density_constant(width: int, bandwidth: float) -> float:
     """ln of a Gaussian kernel's constant in so many dimensions."""
     return -0.5 * width * math.log(2 * math.pi) - width * math.log(bandwidth)

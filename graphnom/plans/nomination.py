@@ -110,10 +110,6 @@ def run(spark: SparkSession, edges: DataFrame, attributes: DataFrame, config: Co
     return curve, top
 
 
-def precision_summary(curve: DataFrame) -> DataFrame:
-    return evaluate.mean_cumulative_precision(curve)
-
-
 #: What the harness varies.
 EMBEDDING_CHOICES = ("context", "NPMIs", "both")
 HARNESS_CLASSIFIERS = ("logreg", "randfor", "boost", "kde")

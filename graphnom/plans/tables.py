@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphnom.sources.writers import remove
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, only a session in local mode, as in tests, gets a
@@ -36,5 +38,4 @@ def run_folder(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Removes the tables that this session's runs have written; frames that read them are of no use after it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, run_folder(spark))

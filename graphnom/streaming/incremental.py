@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphnom.operators.cooccur import pair_counts
-from graphnom.sources.readers import exists
+from graphnom.sources.readers import exists, listing
+from graphnom.sources.writers import remove
 
 
 class RunningCounts:
@@ -19,18 +20,23 @@ class RunningCounts:
     def path(self, version: int) -> str:
         return f"{self.folder}/v{version}"
 
+    def versions(self) -> list[int]:
+        """The versions that were written to their end, rising."""
+        found = [int(n[1:]) for n in listing(self.spark, self.folder) if n[:1] == "v" and n[1:].isdigit()]
+        return sorted(v for v in found if exists(self.spark, f"{self.path(v)}/_SUCCESS"))
+
     def read(self, version: int) -> DataFrame | None:
         """The counts up to a batch, or of the last one before it that there is."""
-        while version >= 0:
-            if exists(self.spark, f"{self.path(version)}/_SUCCESS"):
-                return self.spark.read.parquet(self.path(version))
-            version -= 1
-        return None
+        there = [v for v in self.versions() if v <= version]
+        return self.spark.read.parquet(self.path(there[-1])) if there else None
 
     def add(self, counts: DataFrame, version: int) -> None:
+        """Adds a batch. The version before stays, as the batch may be delivered again; older ones go."""
         before = self.read(version - 1)
         rows = counts if before is None else before.unionByName(counts)
         rows.groupBy(*self.keys).agg(F.sum(self.column).alias(self.column)).write.mode("overwrite").parquet(self.path(version))
+        for old in [v for v in self.versions() if v < version][:-1]:
+            remove(self.spark, self.path(old))
 
 
 def stream_pair_counts(edges: DataFrame, values: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -242,6 +242,8 @@ def test_tables_are_removed(spark):
     assert kept.count() == 3 and readers.exists(spark, tables.run_folder(spark))
     path = kept.inputFiles()[0].rsplit("/", 1)[0]
     assert path.rsplit("/", 1)[0].endswith(tables.run_folder(spark).rsplit("/", 1)[1])
+    writers.remove(spark, path)
+    assert not readers.exists(spark, path) and readers.exists(spark, tables.run_folder(spark))
 
 
 def test_text_helpers(spark):
@@ -277,3 +279,6 @@ def test_counts_of_a_stream(spark, tmp_path):
     again = RunningCounts(spark, str(tmp_path / "state"), ["a", "b"], "c")
     again.add(spark.createDataFrame([("a", "a", 1), ("*???*_3", "a", 1)], "a string, b string, c long"), 1)
     assert {(r.a, r.b): r.c for r in again.read(1).collect()}["a", "a"] == 1  # a batch twice counts once
+    for k in (2, 3):
+        again.add(spark.createDataFrame([("a", "a", 1)], "a string, b string, c long"), k)
+    assert again.versions() == [2, 3]  # older ones are gone
