@@ -32,6 +32,7 @@ from . import textkit as K
 #: One word in so many ends a block, one paragraph in so many ends a section.
 BLOCK_WORDS = 4
 SECTION_PARAGRAPHS = 4
+#: Hex digits of a block's digest in a fingerprint; an even number.
 HEX = 6
 LEAST = -(1 << 63)
 
@@ -54,13 +55,13 @@ def fingerprints(texts: list[str]) -> list[str]:
         cut = np.flatnonzero((words[:-1] % K.U64(BLOCK_WORDS) == 0) & ~first[1:]) + 1 if len(words) else np.zeros(0, np.int64)
         line = np.flatnonzero(part == 0x0A) + 1
         filled = places[:-1][np.diff(places) > 0]
-        starts = np.unique(np.concatenate([filled, spans.starts[cut], line[line < len(part)]]))
+        starts = K.distinct(np.concatenate([filled, spans.starts[cut], line[line < len(part)]]))
         ends = np.append(starts[1:], len(part))
         blocks = K.span_hashes(part, starts, ends)
         opens = np.zeros(len(part) + 1, bool)
         opens[line] = True
         opens[filled] = True
-        leaf_hex = np.char.mod(f"%0{HEX}x", blocks >> K.U64(64 - 4 * HEX))
+        leaf_hex = blocks.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : HEX // 2].tobytes().hex()
         raw = blocks.astype(">u8").tobytes()
         row_first = np.searchsorted(starts, places)
         paragraph = np.flatnonzero(opens[starts])
@@ -77,7 +78,7 @@ def fingerprints(texts: list[str]) -> list[str]:
                 a, b = paragraph[p], paragraph[p + 1]
                 node = hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest()
                 digests.append(node)
-                shown.append("".join(leaf_hex[a:b]))
+                shown.append(leaf_hex[HEX * a : HEX * b])
                 if empty[p] or node[0] % SECTION_PARAGRAPHS == 0 or p + 1 == hi:
                     sections.append(f"{digest(b''.join(digests), 4)}:{'-'.join(shown)}")
                     digests, shown = [], []
