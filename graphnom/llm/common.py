@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from graphnom.plans.shipping import ship_package
 from graphnom.plans.tables import materialise  # noqa: F401
@@ -21,7 +24,12 @@ def hash_bucket(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def with_fields(fields: Iterable[StructField], more: str) -> StructType:
+    """A schema of fields, of any names, and of those of a DDL string."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
+def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package present on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
@@ -32,7 +40,7 @@ def text_first(df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
     name = "_text"
     while name in keep:
         name += "_"
-    return df.select(F.col(column).alias(name), *keep)
+    return df.select(F.col(column).alias(name), *[F.col(f"`{k}`") for k in keep])
 
 
 #: Columns that tell rows apart, where doc_id may be null or repeated: equal for rows that are equal in all columns.

@@ -1,4 +1,8 @@
-"""Connected components of links between 64-bit nodes, by alternating stars."""
+"""Connected components of links between 64-bit nodes, by alternating stars.
+
+Defined cases: repeated links and links of a node to itself count for nothing, so a node without another link has no row;
+a component is named by its least node; no links give no rows.
+"""
 
 from __future__ import annotations
 

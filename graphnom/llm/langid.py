@@ -4,9 +4,12 @@ Characters are lower-cased letters; everything else is one separator. The log-pr
 number of buckets for each language and is broadcast; a batch is scored by gathering its rows for all n-grams
 at once and summing them by document.
 
+More than MAX_LANGUAGES languages raise: the matrix is one broadcast, and is not cut.
+
 Defined cases: a text that is null or holds no letter gives `und` with score 0, as does every text when
 nothing was learned; equal posteriors go to the language first in code-point order; a null language is
-not learned from; duplicated rows count as often as they stand; extra columns are ignored.
+not learned from; a very long text is scored whole, in one piece; duplicated rows count as often as they stand; an
+empty table gives an empty result; extra columns are ignored unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -95,14 +98,16 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (bucket, language) and log priors, over all rows of docs (text, lang)."""
     labelled = docs.where("lang is not null and text is not null").select("text", "lang")
     counts = C.arrow_map(labelled, _learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = C.materialise(counts)
     names = [r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = counts.toPandas()
     names = sorted(names)
     table = np.zeros((BUCKETS + 1, len(names)))
-    if names:
-        table[found.bucket.to_numpy(), [names.index(x) for x in found.lang]] = found.n.to_numpy(dtype=float)
+    # one language at a time: at most BUCKETS + 1 rows each
+    for k, lang in enumerate(names):
+        found = counts.where(F.col("lang") == lang).select("bucket", "n").toArrow()
+        table[found["bucket"].to_numpy(), k] = found["n"].to_numpy()
     grams, prior = table[:BUCKETS] + SMOOTHING, table[BUCKETS] + 1.0
     return names, np.log(grams / grams.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()) if names else prior
 
@@ -135,4 +140,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     kept = C.text_first(docs, "text", keep)
-    return C.arrow_map(kept, predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]), "lang_pred string, score double"]))
+    return C.arrow_map(kept, predict, C.with_fields(kept.schema[1:], "lang_pred string, score double"))

@@ -449,10 +449,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...]
     """The columns in `keep`, class_id (the least doc_id of the row's class) and class_key (a hash that tells
     classes apart where ids are null or repeated)."""
     last = (1 << 63) - 1
-    source = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)))
-    prepared = source.select(F.col("text").alias("_text"), "_id", *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema[1:]), "_node long, _bands array<long>"])
-    signed = C.materialise(C.arrow_map(prepared, _sign, schema))
+    source = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_id"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_kept"))
+    signed = C.materialise(C.arrow_map(source, _sign, C.with_fields(source.schema[1:], "_node long, _bands array<long>")))
     nodes = signed.groupBy("_node").agg(F.min("_id").alias("_id"), F.any_value("_bands").alias("_bands"))
     nodes = C.materialise(ranked(C.materialise(nodes)))
     worded = nodes.where(F.size("_bands") > 0)
@@ -468,7 +466,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...]
     names = named.groupBy("_root").agg(F.min("_id").alias("_class"))
     of_node = C.materialise(named.join(names, "_root").select("_node", "_class", F.col("_root").alias("class_key")))
     out = signed.drop("_bands").join(of_node, "_node")
-    return out.select(*keep, F.when(F.col("_class") < last, F.col("_class")).alias("class_id"), "class_key")
+    return out.select("_kept.*", F.when(F.col("_class") < last, F.col("_class")).alias("class_id"), "class_key")
 
 
 def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

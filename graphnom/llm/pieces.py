@@ -305,10 +305,8 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
     kept = C.text_first(docs, "text", keep)
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]), "ids array<int>"]
-    if digests:
-        schema += ["n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean"]
-    return C.arrow_map(kept, run, ", ".join(schema))
+    more = "ids array<int>" + (", n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "")
+    return C.arrow_map(kept, run, C.with_fields(kept.schema[1:], more))
 
 
 def model_bytes(path: str | None = None, spark: SparkSession | None = None) -> bytes:

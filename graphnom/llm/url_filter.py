@@ -239,6 +239,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, model: T
     first = C.text_first(pages, "url", keep)
     split = split_url(first, first.columns[0])
     ruled = split.withColumns({"rule": rule, "_verdict": verdict})
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ruled.schema[1:]), "chance double"])
-    scored = C.arrow_map(ruled, run, schema)
+    scored = C.arrow_map(ruled, run, C.with_fields(ruled.schema[1:], "chance double"))
     return scored.select(*keep, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("chance") >= 0.5, "block").otherwise("allow")).alias("verdict"), "chance")
