@@ -20,6 +20,7 @@ ignored unless in `keep`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,15 +31,15 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import textkit as K
 
-DEPTH = 6
+DEPTH = 5
 #: Bytes that UTF-8 does not have: before a text, and after it.
 BEFORE, END = 0xFE, 0xFF
-#: Bytes of text that are scored together, and that grams are sorted together of.
-CHUNK, SORTED = 12 << 20, 4 << 20
+#: Bytes of text that are scored together, and distinct keys that a task counts before it hands them on.
+CHUNK, HELD = 12 << 20, 2 << 20
 #: Grams of a shard, about, and context bytes that all grams of a shard's tree share.
 SHARD, NEAR = 200_000, 3
 #: Most words and most grams that are broadcast: the most frequent ones.
-FREQUENT = (1 << 19, 1 << 21)
+FREQUENT = (1 << 19, 1 << 20)
 #: The key of the end token among word hashes.
 END_WORD = np.uint64(0x1E4D)
 ADDED = 0.1
@@ -136,10 +137,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.buffer_of(batch.column(0))
         held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, part, places in K.pieces(data, offsets, SORTED):
+        for lo, hi, part, places in K.pieces(data, offsets):
             for kind, found in enumerate((word_counts(part, places, held[lo:hi]), gram_counts(part, places, held[lo:hi]))):
                 tables[kind] = merged(*tables[kind], *found)
-                if len(tables[kind][0]) > SORTED:
+                if len(tables[kind][0]) > HELD:
                     yield counted(kind, *tables[kind])
                     tables[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for kind in (0, 1):
@@ -155,7 +156,7 @@ def word_counts(part: np.ndarray, places: np.ndarray, held: np.ndarray) -> tuple
     found, rows = word_hashes(part, places)
     found = np.append(found, np.full(len(held), END_WORD))
     trained = np.append(np.repeat(~held, np.diff(rows)), ~held)
-    order = np.argsort(found, kind="stable")
+    order = np.argsort(found)
     return total_of(found[order], trained[order])
 
 
@@ -236,8 +237,58 @@ def train(totals: DataFrame) -> DataFrame:
     return groups.applyInArrow(score, "key long, n long, value float")
 
 
-def frequent(table: DataFrame, most: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The rows of a table (key, n, value) but its most frequent ones, and those, at most `most`, sorted by key."""
+class Lookup:
+    """A hash table of keys with a number each: open addressing, all keys of an array probed together."""
+
+    FREE = np.uint64(0x9D5E2C1B7A3F4E61)
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, self.FREE)
+        self.numbers = np.zeros(len(self.keys), numbers.dtype)
+        left = np.arange(len(keys))
+        at = self.start(keys)
+        while len(left):
+            free = self.keys[at] == self.FREE
+            self.keys[at[free]] = keys[left[free]]  # of those that want one slot the last gets it
+            got = self.keys[at] == keys[left]
+            self.numbers[at[got]] = numbers[left[got]]
+            left, at = left[~got], at[~got] + 1 & (1 << self.bits) - 1
+
+    def start(self, keys: np.ndarray) -> np.ndarray:
+        return (K.mix(keys + K.U64(0x5851F42D)) >> K.U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, or -1."""
+        at = self.start(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, at, -1)
+        left = np.flatnonzero((held != keys) & (held != self.FREE))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit & (held != self.FREE)]
+        out[keys == self.FREE] = -1
+        return out
+
+
+#: The tables of a worker, under the name of what was broadcast: its tasks share them.
+_tables: dict[str, tuple[Lookup, Lookup]] = {}
+
+
+def tables_of(sent) -> tuple[Lookup, Lookup]:
+    """The frequent words and grams."""
+    name, arrays = sent.value
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = tuple(Lookup(*x) for x in arrays)
+    return _tables[name]
+
+
+def frequent(table: DataFrame, most: int, number: str) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The rows of a table (key, n, value) but its most frequent ones, and keys and numbers of those, at most `most`."""
     # how many rows have each size of n, in steps of an eighth of a power of two
     step = F.floor(F.log2(F.col("n") + 1) * 8).cast("int")
     sizes = sorted(((r.s, r.c) for r in table.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
@@ -246,16 +297,9 @@ def frequent(table: DataFrame, most: int) -> tuple[DataFrame, tuple[np.ndarray,
         if total + c > most:
             break
         least, total = s, total + c
-    found = table.where(step >= least).select("key", "n", "value").toArrow()
-    keys = found["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return table.where(step < least), (keys[order], found["n"].to_numpy()[order], found["value"].to_numpy()[order])
-
-
-def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each asked key in sorted keys, and whether it is there."""
-    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+    free = F.col("key") == int(Lookup.FREE.view(np.int64))
+    found = table.where((step >= least) & ~free).select("key", number).toArrow()
+    return table.where((step < least) | free), (found["key"].to_numpy().view(np.uint64), found[number].to_numpy())
 
 
 def word_hashes(part: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,15 +312,15 @@ def word_hashes(part: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
 def asker(sent) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
         """Distinct words (kind 0) and grams (kind 1) of a chunk that are not among the frequent ones."""
+        tables = tables_of(sent)
         seen = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         if table.num_rows:
             data, offsets = K.buffer_of(table["text"])
-            for _, _, part, places in K.pieces(data, offsets, SORTED):
+            for _, _, part, places in K.pieces(data, offsets):
                 for kind, keys in enumerate((word_hashes(part, places)[0], grams(part, places)[0])):
-                    keys = np.unique(keys)
-                    seen[kind] = np.union1d(seen[kind], keys[~found_at(sent.value[kind][0], keys)[1]])
-            if not found_at(sent.value[0][0], np.array([END_WORD]))[1][0]:
-                seen[0] = np.union1d(seen[0], [END_WORD])
+                    seen[kind] = K.distinct(np.concatenate([seen[kind], K.distinct(keys[tables[kind].find(keys) < 0])]))
+            if tables[0].find(np.array([END_WORD]))[0] < 0:
+                seen[0] = K.distinct(np.append(seen[0], END_WORD))
         sizes = [len(x) for x in seen]
         chunk = table["chunk"][0].as_py() if table.num_rows else 0
         return pa.table({"chunk": pa.array(np.full(sum(sizes), chunk, np.int32)), "kind": pa.array(np.repeat([0, 1], sizes).astype(np.int32)), "key": pa.array(np.concatenate(seen).astype(np.uint64).view(np.int64))})
@@ -288,34 +332,34 @@ def answerer(sent) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def answer(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a chunk's rows."""
         kind, keys = answers["kind"].to_numpy(), answers["key"].to_numpy().view(np.uint64)
+        tables = tables_of(sent)
         own = []
-        for k in (0, 1):
+        for k, number in ((0, "n"), (1, "value")):
             rows = np.flatnonzero(kind == k)
             rows = rows[np.argsort(keys[rows])]
-            own.append((keys[rows], answers["n"].to_numpy()[rows], answers["value"].to_numpy()[rows]))
+            own.append((keys[rows], answers[number].to_numpy()[rows]))
 
-        def look_up(k: int, asked: np.ndarray, column: int) -> np.ndarray:
-            """Of each asked key of a kind: n (1) or value (2); each distinct key is looked up once."""
-            distinct, back = np.unique(asked, return_inverse=True)
-            out = np.zeros(len(distinct))
-            for table in (sent.value[k], own[k]):
-                at, there = found_at(table[0], distinct)
-                out[there] = table[column][at[there]]
-            return out[back]
+        def look_up(k: int, asked: np.ndarray) -> np.ndarray:
+            """Of each asked word how often it was seen in training (0), of each gram its log10 probability (1)."""
+            slots = tables[k].find(asked)
+            out = tables[k].numbers[slots].astype(np.float64)
+            rest = np.flatnonzero(slots < 0)
+            out[rest] = own[k][1][np.searchsorted(own[k][0], asked[rest])] if len(rest) else 0
+            return out
 
         n = texts.num_rows
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base", "score")}
-        end = float(look_up(0, np.array([END_WORD]), 1)[0])
+        end = float(look_up(0, np.array([END_WORD]))[0])
         data, offsets = K.buffer_of(texts["text"])
         for lo, hi, part, places in K.pieces(data, offsets):
             found, rows = word_hashes(part, places)
-            count = look_up(0, found, 1)
+            count = look_up(0, found)
             row = np.repeat(np.arange(hi - lo), np.diff(rows))
             out["n_tokens"][lo:hi] = np.diff(rows) + 1
             out["n_known"][lo:hi] = np.bincount(row[count > 0], minlength=hi - lo) + int(end > 0)
             out["base"][lo:hi] = np.bincount(row, np.log10(count + ADDED), minlength=hi - lo) + np.log10(end + ADDED)
             asked, starts = grams(part, places)
-            out["score"][lo:hi] = np.add.reduceat(look_up(1, asked, 2), starts[:-1])
+            out["score"][lo:hi] = np.add.reduceat(look_up(1, asked), starts[:-1])
             out["n_bytes"][lo:hi] = np.diff(places)
         kept = [name for name in texts.column_names if name not in ("chunk", "held", "text")]
         return pa.table([*(texts[name] for name in kept), *(pa.array(x) for x in out.values())], names=[*kept, *out])
@@ -335,8 +379,8 @@ def score(docs: DataFrame, held: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     whole = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = whole.n or 0, whole.v or 0
     known = C.materialise(train(totals.where("kind = 1").select("key", "n")))
-    rest, tables = zip(*(frequent(t, most) for t, most in zip((words, known), FREQUENT, strict=True)), strict=True)
-    sent = spark.sparkContext.broadcast(tables)
+    rest, tables = zip(*(frequent(t, most, number) for t, most, number in zip((words, known), FREQUENT, ("n", "value"), strict=True)), strict=True)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, tables))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
     # a row number, as equal rows shall not meet in one chunk
@@ -345,8 +389,8 @@ def score(docs: DataFrame, held: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     asked = texts.groupBy("chunk").applyInArrow(asker(sent), "chunk int, kind int, key long")
     taught = rest[0].withColumn("kind", F.lit(0)).unionByName(rest[1].withColumn("kind", F.lit(1)))
     told = asked.join(taught.hint("merge"), ["kind", "key"]).select("chunk", "kind", "key", "n", "value")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    scored = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answerer(sent), f"{kept}, n_tokens long, n_known long, n_bytes long, base double, score double")
+    schema = C.with_fields(source.select(*keep).schema, "n_tokens long, n_known long, n_bytes long, base double, score double")
+    scored = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answerer(sent), schema)
     total = float(np.log10(n + ADDED * (v + 1)))
     return scored.select(
         *keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from graphnom.llm import ctw, langid, mixing, near_dedup
 from graphnom.llm import textkit as K
 
@@ -343,3 +344,19 @@ def test_held_out_remainders(spark):
     frame = spark.createDataFrame([(k,) for k in range(-50, 50)], "doc_id long")
     got = {r.doc_id: r.b for r in frame.select("doc_id", common.hash_bucket("doc_id", 4).alias("b")).collect()}
     assert all(b == zlib.crc32(str(k).encode()) % 4 for k, b in got.items())
+
+
+def test_columns_of_any_names(spark):
+    """Kept columns keep their names and values, whatever those are."""
+    from graphnom.llm import html_extract, pieces, quality, url_filter
+
+    names = ["doc_id", "text", "a-b c", "x.y", "_text", "url", "html"]
+    frame = spark.createDataFrame([(1, "one two", "p", "q", "r", "http://a.org/", "<p>one</p>")], "doc_id long, text string, `a-b c` string, `x.y` string, _text string, url string, html string")
+    keep = ("doc_id", "a-b c", "x.y", "_text")
+    none = spark.createDataFrame([], "doc_id long")
+    model = pieces.model_bytes()
+    for out in (near_dedup.classes(frame, keep=keep), quality.quality(frame, none, keep=keep), langid.identify(frame, langid.train(frame.selectExpr("text", "'en' as lang")), keep=keep), pieces.tokenize(frame, model, keep=keep), html_extract.extract(frame, keep=keep)):
+        row = out.first()
+        assert tuple(out.columns[:4]) == keep and tuple(row)[:4] == (1, "p", "q", "r")
+    assert near_dedup.survivors(frame).columns == names and tuple(near_dedup.survivors(frame).first()) == tuple(frame.first())
+    assert mixing.mixed(frame.withColumn("source", F.lit("a"))).columns == [*names, "source"]
