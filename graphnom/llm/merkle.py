@@ -257,5 +257,5 @@ def merkle_neighbours(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pid.astype(np.int32)), pa.array(kind.astype(np.int32)), *rows.columns], ["pid", "kind", "doc_id", "text", "hash"])
 
     placed = C.arrow_map(docs.select("doc_id", "text", text_hash), place, "pid int, kind int, doc_id long, text string, hash long")
-    ordered = placed.repartition(ranges, "pid").sortWithinPartitions("pid", "kind", "doc_id", "hash", "text").select("pid", "kind", "doc_id", "text")
+    ordered = placed.repartitionById(ranges, "pid").sortWithinPartitions("pid", "kind", "doc_id", "hash", "text").select("pid", "kind", "doc_id", "text")
     return C.arrow_map(ordered, _score, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_sections long, edited_paragraphs long, first_edited string")
