@@ -36,11 +36,14 @@ def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
 
 
 def text_first(df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
-    """The column under a name that none of `keep` has, and after it those."""
-    name = "_text"
-    while name in keep:
-        name += "_"
-    return df.select(F.col(column).alias(name), *[F.col(f"`{k}`") for k in keep])
+    """_text: the column; _kept: those of `keep` in one struct, so that they may have any names."""
+    return df.select(F.col(column).alias("_text"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_kept"))
+
+
+def arrow_map_kept(rows: DataFrame, function, more: str) -> DataFrame:
+    """arrow_map of text_first's rows by a function that adds the columns of a DDL string to all but the first."""
+    new = [f"`{f.name}`" for f in StructType.fromDDL(more)]
+    return arrow_map(rows, function, with_fields(rows.schema[1:], more)).select("_kept.*", *new)
 
 
 #: Columns that tell rows apart, where doc_id may be null or repeated: equal for rows that are equal in all columns.

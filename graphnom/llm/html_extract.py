@@ -466,4 +466,4 @@ def extract(pages: DataFrame, tree: list[tuple] | None = None, keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
     kept = C.text_first(pages, "html", keep)
-    return C.arrow_map(kept, run, C.with_fields(kept.schema[1:], "text string, n_chars long"))
+    return C.arrow_map_kept(kept, run, "text string, n_chars long")

@@ -140,4 +140,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     kept = C.text_first(docs, "text", keep)
-    return C.arrow_map(kept, predict, C.with_fields(kept.schema[1:], "lang_pred string, score double"))
+    return C.arrow_map_kept(kept, predict, "lang_pred string, score double")

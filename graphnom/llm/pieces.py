@@ -306,7 +306,7 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
 
     kept = C.text_first(docs, "text", keep)
     more = "ids array<int>" + (", n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "")
-    return C.arrow_map(kept, run, C.with_fields(kept.schema[1:], more))
+    return C.arrow_map_kept(kept, run, more)
 
 
 def model_bytes(path: str | None = None, spark: SparkSession | None = None) -> bytes:

@@ -236,8 +236,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, model: T
             urls = [x.as_py() or "" for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(model.chance(urls), 9))], [*batch.schema.names[1:], "chance"])
 
-    first = C.text_first(pages, "url", keep)
-    split = split_url(first, first.columns[0])
+    split = split_url(C.text_first(pages, "url", keep), "_text")
     ruled = split.withColumns({"rule": rule, "_verdict": verdict})
     scored = C.arrow_map(ruled, run, C.with_fields(ruled.schema[1:], "chance double"))
-    return scored.select(*keep, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("chance") >= 0.5, "block").otherwise("allow")).alias("verdict"), "chance")
+    return scored.select("_kept.*", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("chance") >= 0.5, "block").otherwise("allow")).alias("verdict"), "chance")
