@@ -3,24 +3,12 @@
 import collections
 import hashlib
 import random
-import re
 
 from graphnom.llm import secret_scan as S
 
-ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-KEY = "Abcdefghijklmnopqrstuvwxyz0123456789"
-
-
-def base_spans(text):
-    found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    found += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    return sorted(found + [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+from .plain import all_spans, base_spans
 
-
-def all_spans(text):
-    base = base_spans(text)
-    tokens = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 28 and all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
-    return sorted(base + [t for t in tokens if not any(b[0] < t[2] and t[0] < b[2] for b in base)])
+KEY = "Abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def shown(spans):
