@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
+from . import bpe, ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
 from .merkle import merkle_neighbours
 from .quality import quality
 
@@ -56,6 +56,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(C.table(spark, sf_dir, "pages"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(C.table(spark, sf_dir, "documents"), bpe.model_bytes(), ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op13_bpe": op13_bpe,
 }
 
 #: Queries that SQL can express over whole tables.
