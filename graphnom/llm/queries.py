@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, conversations, ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter
+from . import bpe, conversations, ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter, variants
 from .merkle import merkle_neighbours
 from .quality import quality
 
@@ -56,6 +56,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(C.table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(C.table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(C.table(spark, sf_dir, "conversations")))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_bpe": op13_bpe,
 }
