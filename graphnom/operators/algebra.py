@@ -1,19 +1,27 @@
 """Matrix-free linear operators: an expression tree that compiles to joins and aggregates.
 
-A (block of) vector(s) is a table (id, col, x), zeros left out; a matrix is a table (i, j, v). Nothing is computed
-before an action asks for the result, so the products of a tree are planned together.
+Vectors come and go as a table (id, col, x), zeros left out, and a matrix as a table (i, j, v). In between, vectors are
+dense blocks and matrices tiles (`blocks`): a node of the tree makes parts of its product, so that sums are unions, and
+parts are summed only where a product or the result needs the block. A matrix is tiled when it is first multiplied;
+nothing else is computed before an action asks for the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphnom.plans.tables import materialise
+
+from . import blocks as B
 from . import graph
 
+T = TypeVar("T")
+#: Cells up to which an operator is shown as a dense matrix.
 SHOWN_CELLS = 10_000
 
 
@@ -23,13 +31,20 @@ def unit_vectors(ids: DataFrame) -> DataFrame:
 
 
 class Operator:
-    """A linear map between the indices 0 to shape-1. Made of a function from vectors to vectors."""
+    """A linear map between the indices 0 to shape-1. Made of a function from a block and its width to parts."""
+
+    def __init__(self, shape: tuple[int, int], parts: Callable[[DataFrame, int], DataFrame], transposed: Callable[[], Operator] | None = None):
+        self.shape, self.parts, self._transposed = shape, parts, transposed
 
-    def __init__(self, shape: tuple[int, int], apply: Callable[[DataFrame], DataFrame], transposed: Callable[[], Operator] | None = None):
-        self.shape, self._apply, self._transposed = shape, apply, transposed
+    def product(self, x: DataFrame, width: int) -> DataFrame:
+        """The block that a block is mapped to."""
+        return B.summed(self.parts(x, width), width, self.shape[0])
 
-    def apply(self, x: DataFrame) -> DataFrame:
-        return self._apply(x.select("id", "col", "x"))
+    def apply(self, x: DataFrame, width: int | None = None) -> DataFrame:
+        """The same for vectors (id, col, x). width: the number of columns; looked up in x if it is not given."""
+        if width is None:
+            width = 1 + (x.agg(F.max("col")).first()[0] or 0)
+        return B.unpack(self.product(B.pack(x.select("id", "col", "x"), width), width), width)
 
     def transpose(self) -> Operator:
         if self._transposed is None:
@@ -43,7 +58,7 @@ class Operator:
             return self + ones(self.shape[0], float(other))
         if self.shape != other.shape:
             raise ValueError(f"{self.shape} and {other.shape}")
-        return Operator(self.shape, lambda x: added(self.apply(x), other.apply(x)), lambda: self.transpose() + other.transpose())
+        return Operator(self.shape, lambda x, w: self.parts(x, w).unionByName(other.parts(x, w)), lambda: self.transpose() + other.transpose())
 
     __radd__ = __add__
 
@@ -57,32 +72,36 @@ class Operator:
         if isinstance(other, Operator):
             if self.shape[1] != other.shape[0]:
                 raise ValueError(f"{self.shape} and {other.shape}")
-            return Operator((self.shape[0], other.shape[1]), lambda x: self.apply(other.apply(x)), lambda: other.transpose() * self.transpose())
+            return Operator((self.shape[0], other.shape[1]), lambda x, w: self.parts(other.product(x, w), w), lambda: other.transpose() * self.transpose())
         c = float(other)
-        return Operator(self.shape, lambda x: self.apply(x).withColumn("x", F.col("x") * c), lambda: self.transpose() * c)
+        return Operator(self.shape, lambda x, w: scaled(self.parts(x, w), w, c), lambda: self.transpose() * c)
 
     __rmul__ = __mul__
 
     def get(self, spark, i: int, j: int) -> float:
         unit = spark.createDataFrame([(j, 0, 1.0)], "id long, col long, x double")
-        row = self.apply(unit).where(F.col("id") == i).first()
+        row = self.apply(unit, 1).where(F.col("id") == i).first()
         return row.x if row else 0.0
 
     def todense(self, spark) -> np.ndarray:
         """For tests and small operators: every entry is collected."""
         out = np.zeros(self.shape)
-        for r in self.apply(unit_vectors(spark.range(self.shape[1]))).collect():
+        for r in self.apply(unit_vectors(spark.range(self.shape[1])), self.shape[1]).collect():
             out[r.id, r.col] = r.x
         return out
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}{self.shape}"
+        """Name and shape; a small operator's entries too, if there is a session to find them with."""
+        name, spark = f"{type(self).__name__}{self.shape}", SparkSession.getActiveSession()
+        if spark is None or self.shape[0] * self.shape[1] > SHOWN_CELLS:
+            return name
+        return f"{name}\n{self.todense(spark)}"
 
     def scaled_by_sums(self, spark, rows: bool) -> Operator:
         """Divided by its row (else column) sums; a sum of 0 is left."""
         n = self.shape[1] if rows else self.shape[0]
         side = self if rows else self.transpose()
-        sums = side.apply(spark.range(n).select("id", F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("x")))
+        sums = side.apply(spark.range(n).select("id", F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("x")), 1)
         inverse = diagonal(side.shape[0], sums.where("x <> 0").select("id", (1 / F.col("x")).alias("d")))
         return inverse * self if rows else self * inverse
 
@@ -93,86 +112,96 @@ class Operator:
         return self.scaled_by_sums(spark, False)
 
 
-def added(*vectors: DataFrame) -> DataFrame:
-    out = vectors[0].select("id", "col", "x")
-    for v in vectors[1:]:
-        out = out.unionByName(v.select("id", "col", "x"))
-    return out.groupBy("id", "col").agg(F.sum("x").alias("x"))
+def scaled(parts: DataFrame, width: int, c: float) -> DataFrame:
+    return B.transformed(parts, lambda x: c * x, {"x": width})
 
 
-def sparse(shape: tuple[int, int], matrix: DataFrame, symmetric: bool = False) -> Operator:
-    def product(x: DataFrame) -> DataFrame:
-        return matrix.join(x, F.col("j") == F.col("id")).groupBy(F.col("i").alias("id"), "col").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+def once(make: Callable[[], T]) -> Callable[[], T]:
+    """make, called when first asked for and kept."""
+    held: list[T] = []
+
+    def get() -> T:
+        if not held:
+            held.append(make())
+        return held[0]
+
+    return get
 
-    out = Operator(shape, product)
+
+def vector(weights: DataFrame) -> Callable[[], DataFrame]:
+    """weights (id, w) as a written block of one vector (b, u), made when first asked for."""
+    return once(lambda: materialise(B.pack(weights.select("id", F.lit(0).alias("col"), F.col("w").alias("x")), 1).withColumnRenamed("x", "u")))
+
+
+def sparse(shape: tuple[int, int], matrix: DataFrame, symmetric: bool = False) -> Operator:
+    tiles = once(lambda: B.tiled(matrix))
+    out = Operator(shape, lambda x, w: B.multiplied(tiles(), x, w, shape[1]))
     out._transposed = (lambda: out) if symmetric else lambda: sparse(shape[::-1], matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     return out
 
 
 def diagonal(n: int, d: DataFrame) -> Operator:
     """d: id, d."""
-    out = Operator((n, n), lambda x: x.join(d, "id").select("id", "col", (F.col("x") * F.col("d")).alias("x")))
+    own = vector(d.select("id", F.col("d").alias("w")))
+    out = Operator((n, n), lambda x, w: B.transformed(x.join(own(), "b"), lambda x, u: u * x, {"x": w, "u": 1}))
     out._transposed = lambda: out
     return out
 
 
 def constant_diagonal(n: int, c: float) -> Operator:
-    out = Operator((n, n), lambda x: x.select("id", "col", (F.col("x") * c).alias("x")))
+    out = Operator((n, n), lambda x, w: scaled(x, w, c))
     out._transposed = lambda: out
     return out
 
 
-def weighted_sum(x: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """col, s: the sum of each column, weighted by weights (id, w) if given."""
-    if weights is None:
-        return x.groupBy("col").agg(F.sum("x").alias("s"))
-    return x.join(weights, "id").groupBy("col").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-
-
-def outer(u: DataFrame, sums: DataFrame, value: Column | None = None) -> DataFrame:
-    """u (id, w) times the sum of each column. sums has one row for each vector of the block."""
-    return u.crossJoin(sums).select("id", "col", (F.col("w") * F.col("s")).alias("x"))
+def weighted_sums(x: DataFrame, width: int, v: DataFrame | None) -> DataFrame:
+    """One row (s): the sum of each column, weighted by a vector's block if one is given."""
+    if v is None:
+        return B.column_sums(x, lambda x: x.sum(axis=0, keepdims=True), {"x": width}, (1, width))
+    return B.column_sums(x.join(v, "b"), lambda x, u: u.T @ x, {"x": width, "u": 1}, (1, width))
 
 
 def rank_one(shape: tuple[int, int], u: DataFrame, v: DataFrame) -> Operator:
     """u v'. u, v: id, w."""
-    return Operator(shape, lambda x: outer(u, weighted_sum(x, v)), lambda: rank_one(shape[::-1], v, u))
+    left, right = vector(u), vector(v)
+    return Operator(shape, lambda x, w: B.outer(left(), weighted_sums(x, w, right()), w), lambda: rank_one(shape[::-1], v, u))
 
 
-def filled(n: int, c: float):
-    def table(x: DataFrame) -> DataFrame:
-        return x.sparkSession.range(n).select("id", F.lit(float(c)).alias("w"))
-
-    return table
+def filled(n: int, c: float) -> Callable[[], DataFrame]:
+    """The block of a vector whose every entry is c."""
+    return once(lambda: vector(SparkSession.active().range(n).select("id", F.lit(float(c)).alias("w")))())
 
 
 def ones(n: int, c: float = 1.0) -> Operator:
     """Every entry is c."""
     full = filled(n, c)
-    out = Operator((n, n), lambda x: outer(full(x), weighted_sum(x, None)))
+    out = Operator((n, n), lambda x, w: B.outer(full(), weighted_sums(x, w, None), w))
     out._transposed = lambda: out
     return out
 
 
 def replicated_column(n: int, u: DataFrame) -> Operator:
     """u 1'."""
-    return Operator((n, n), lambda x: outer(u, weighted_sum(x, None)), lambda: replicated_row(n, u))
+    own = vector(u)
+    return Operator((n, n), lambda x, w: B.outer(own(), weighted_sums(x, w, None), w), lambda: replicated_row(n, u))
 
 
 def replicated_row(n: int, u: DataFrame) -> Operator:
     """1 u'."""
-    full = filled(n, 1.0)
-    return Operator((n, n), lambda x: outer(full(x), weighted_sum(x, u)), lambda: replicated_column(n, u))
+    own, full = vector(u), filled(n, 1.0)
+    return Operator((n, n), lambda x, w: B.outer(full(), weighted_sums(x, w, own()), w), lambda: replicated_column(n, u))
 
 
 def pmi(n: int, matrix: DataFrame, constant: float, u: DataFrame) -> Operator:
     """F + constant 11' - u1' - 1u': sparse plus rank two. u: id, w for every id."""
-    full = filled(n, 1.0)
-    base = sparse((n, n), matrix, True)
     rest = u.select("id", (constant - F.col("w")).alias("w"))
-    out = Operator((n, n), lambda x: added(base.apply(x), outer(rest, weighted_sum(x, None)), outer(full(x), weighted_sum(x, u).withColumn("s", -F.col("s")))))
-    out._transposed = lambda: out
-    return out
+    return symmetric(sparse((n, n), matrix, True) + replicated_column(n, rest) - replicated_row(n, u))
+
+
+def symmetric(op: Operator) -> Operator:
+    """An operator that is known to be its own transpose."""
+    op._transposed = lambda: op
+    return op
 
 
 def laplacian(n: int, matrix: DataFrame) -> Operator:
@@ -199,15 +228,16 @@ def blocks(grid: list[list[Operator]]) -> Operator:
         raise ValueError("block sizes do not agree")
     tops, lefts = np.concatenate([[0], np.cumsum(heights)]), np.concatenate([[0], np.cumsum(widths)])
 
-    def apply(x: DataFrame) -> DataFrame:
-        parts = []
-        for r, row in enumerate(grid):
-            for c, block in enumerate(row):
-                own = x.where((F.col("id") >= int(lefts[c])) & (F.col("id") < int(lefts[c + 1]))).withColumn("id", F.col("id") - int(lefts[c]))
-                parts.append(block.apply(own).withColumn("id", F.col("id") + int(tops[r])))
-        return added(*parts)
+    def parts(x: DataFrame, width: int) -> DataFrame:
+        out = None
+        for c in range(len(widths)):
+            own = B.summed(B.shifted(x, -int(lefts[c]), widths[c], width), width, widths[c])
+            for r, row in enumerate(grid):
+                moved = B.shifted(row[c].parts(own, width), int(tops[r]), int(tops[-1]), width)
+                out = moved if out is None else out.unionByName(moved)
+        return out
 
-    return Operator((int(tops[-1]), int(lefts[-1])), apply, lambda: blocks([[row[c].transpose() for row in grid] for c in range(len(widths))]))
+    return Operator((int(tops[-1]), int(lefts[-1])), parts, lambda: blocks([[row[c].transpose() for row in grid] for c in range(len(widths))]))
 
 
 def collapse_matrix(mapping: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def content_operator(op: algebra.Operator, kind: str, spark: SparkSession) -> al
     if kind == "adj":
         return op
     ones = spark.range(n).select("id", F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("x"))
-    d = materialise(op.apply(ones).select("id", F.col("x").alias("d")))
+    d = materialise(op.apply(ones, 1).select("id", F.col("x").alias("d")))
     if kind == "adj+diag":
         return op + algebra.diagonal(n, d.withColumn("d", F.col("d") / n))
     shift = (d.agg(F.sum("d")).first()[0] or 0.0) / n if kind == "regnormlap" else 0.0

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from graphnom.functions import measures as M
-from graphnom.operators import cooccur, graph, algebra, spectral
+from graphnom.operators import algebra, blocks, cooccur, graph, spectral
 from graphnom.operators.attributes import Attributes, check_seeds
 from graphnom.plans.embeddings import content_operator, node_operator, variant
 from pyspark.sql import functions as F
@@ -119,12 +119,84 @@ def test_eigenpairs_of_either_sign(spark):
     n = graph.vertex_count(edges)
     a = dense(graph.adjacency(edges), n)
     want = sorted(np.linalg.eigvalsh(a), key=lambda x: (-abs(x), x))
-    for values, vectors in (spectral.eigenpairs(variant("adj", n, graph.adjacency(edges).cache()), 4, spark, tol=1e-10), spectral.svd_eigenpairs(graph.adjacency(edges).cache(), n, 4)):
-        assert np.allclose(np.abs(values), np.abs(want[:4]), atol=1e-5)
-        x = np.zeros((n, len(values)))
-        for r in vectors.collect():
-            x[r.id, r.col] = r.x
-        assert np.abs(a @ x - x * values).max() < 1e-3
+    values, vectors = spectral.eigenpairs(variant("adj", n, graph.adjacency(edges).cache()), 4, spark, tol=1e-10)
+    assert np.allclose(np.abs(values), np.abs(want[:4]), atol=1e-9)
+    assert np.abs(a @ block_of(vectors, n, 4) - block_of(vectors, n, 4) * values).max() < 1e-8
+
+
+def block_of(vectors, n, k):
+    x = np.zeros((n, k))
+    for r in vectors.collect():
+        x[r.id, r.col] = r.x
+    return x
+
+
+def matrix_table(spark, a):
+    i, j = np.nonzero(a)
+    return spark.createDataFrame([(int(r), int(c), float(a[r, c])) for r, c in zip(i, j, strict=True)], "i long, j long, v double")
+
+
+def test_restarts_reach_the_pairs_of_a_power_law_spectrum(spark, monkeypatch):
+    """Small tiles and blocks, so that a basis is restarted, several blocks and slices meet, and blocks are not broadcast."""
+    monkeypatch.setattr(blocks, "TILE", 64)
+    monkeypatch.setattr(blocks, "SLICE", 50)
+    monkeypatch.setattr(blocks, "SENT", 1000)
+    monkeypatch.setattr(spectral, "NARROW", 2)
+    rng = np.random.default_rng(2)
+    n, k = 150, 5
+    turn, _ = np.linalg.qr(rng.normal(size=(n, n)))
+    spectrum = np.arange(1, n + 1) ** -0.8 * np.where(np.arange(n) % 3 == 1, -1, 1)
+    a = turn @ np.diag(spectrum) @ turn.T
+    a = np.where(np.abs(a) < 1e-13, 0, (a + a.T) / 2)
+    values, vectors = spectral.eigenpairs(algebra.sparse((n, n), matrix_table(spark, a), True), k, spark, tol=1e-7)
+    x = block_of(vectors, n, k)
+    assert np.allclose(values, np.linalg.eigvalsh(a)[np.argsort(-np.abs(np.linalg.eigvalsh(a)))][:k], atol=1e-7)
+    assert np.abs(a @ x - x * values).max() < 1e-6 and np.abs(x.T @ x - np.eye(k)).max() < 1e-8
+    assert (x[np.abs(x).argmax(axis=0), np.arange(k)] > 0).all()
+
+
+def test_pairs_where_the_krylov_space_ends_early(spark):
+    """More equal values than a block is wide, a graph in two parts, an operator of low rank."""
+    for a in (np.eye(40) * 2.0 + np.diag(np.arange(40) >= 25) * 1.0, np.kron(np.eye(2), np.ones((9, 9)) - np.eye(9)), np.outer(np.arange(30), np.arange(30)) * 1.0):
+        n = len(a)
+        values, vectors = spectral.eigenpairs(algebra.sparse((n, n), matrix_table(spark, a), True), 18 if n == 40 else 4, spark, tol=1e-9)
+        want = np.linalg.eigvalsh(a)
+        assert np.allclose(np.abs(values), np.sort(np.abs(want))[::-1][: len(values)], atol=1e-6)
+        x = block_of(vectors, n, len(values))
+        assert np.abs(a @ x - x * values).max() < 1e-6
+
+
+def test_a_solver_that_does_not_settle_raises(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(300, 300)) * (rng.random((300, 300)) < 0.1)
+    with pytest.raises(ArithmeticError):
+        spectral.eigenpairs(algebra.sparse((300, 300), matrix_table(spark, a + a.T), True), 5, spark, tol=1e-15, most=3)
+
+
+def test_rows_of_a_product_do_not_depend_on_the_width(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 64)
+    monkeypatch.setattr(blocks, "SLICE", 40)
+    rng = np.random.default_rng(4)
+    a = (rng.random((200, 200)) < 0.05) * rng.random((200, 200))
+    a[:, 7] = 1.0  # a column that holds many entries is cut into slices
+    tiles = blocks.tiled(matrix_table(spark, a))
+    counts = {len(r.i) for r in tiles.entries.collect()}
+    assert max(counts) < 100 and tiles.slices.where("bj = 0").first().slices > 5
+    parts = {w: blocks.multiplied(tiles, blocks.dealt(spark, 200, w, 1), w, 200).count() for w in (1, 5, 40)}
+    assert len(set(parts.values())) == 1
+    x = block_of(blocks.unpack(blocks.dealt(spark, 200, 5, 1), 5), 200, 5)
+    for sent in (1 << 25, 10):
+        monkeypatch.setattr(blocks, "SENT", sent)
+        y = blocks.summed(blocks.multiplied(tiles, blocks.dealt(spark, 200, 5, 1), 5, 200), 5, 200)
+        assert np.allclose(block_of(blocks.unpack(y, 5), 200, 5), a @ x)
+    rows = {r.id: r.x for r in blocks.as_rows(blocks.dealt(spark, 200, 5, 1), 5, 200).collect()}
+    assert sorted(rows) == list(range(200)) and np.allclose([rows[k] for k in range(200)], x)
+
+
+def test_small_operators_show_their_entries(spark):
+    op = algebra.diagonal(2, spark.createDataFrame([(0, 2.0), (1, 5.0)], "id long, d double"))
+    assert repr(op) == "Operator(2, 2)\n[[2. 0.]\n [0. 5.]]"
+    assert repr(algebra.constant_diagonal(2000, 1.0)) == "Operator(2000, 2000)"
 
 
 def test_attributes(spark, tiny):
