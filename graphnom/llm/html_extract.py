@@ -1,7 +1,9 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. A block is described by its word count and link
-density and those of the blocks before and after it; beside these stand what its tags say: whether it is a heading,
+density and those of the blocks before and after it, and by the word counts of the nearest blocks on either side that
+are not mostly links, so that a list of links between two paragraphs looks other than a menu; beside these stand what
+its tags say: whether it is a heading,
 whether it lies in the article or main element, and whether an element around it is page furniture (navigation, form,
 advert, comments, by tag or by a word of its class, id or role). The tree's upper splits are on word counts and link
 densities only; tags come in below, where those leave a block undecided. It is fitted on the blocks of a small
@@ -24,6 +26,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +54,12 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 HIDDEN = re.compile(r"(?:^|[\s/])hidden(?:[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
-FLAT = ("words", "links", "words_before", "links_before", "words_after", "links_after")
+FLAT = ("words", "links", "words_before", "links_before", "words_after", "links_after", "text_before", "text_after")
 FEATURES = (*FLAT, "heading", "place", "furniture")
 #: Splits from the root that only the flat features may make, all splits, and the fewest blocks of a leaf.
 FLAT_LEVELS, DEPTH, LEAST_LEAF = 3, 9, 4
+#: Link density from which a block is mostly links.
+LINKED = 0.5
 #: Words of a piece of furniture that is an example without its tags too, at most.
 BRIEF = 6
 #: Pages laid out by rule for the labelled table, and the seed of the deal.
@@ -89,6 +94,16 @@ LABELLED: list[tuple[str, str]] = [
 ]
 
 
+#: How the labelled pages mark what is no text: element names, or class and id words.
+MARKS = {
+    "comments": ("comments", "comment", "replies", "discuss"),
+    "side": ("aside", "sidebar", "related", "newsletter"),
+    "notice": ("cookie-notice", "consent", "alert", "notice"),
+    "advert": ("ad", "banner", "promo", "sponsored"),
+    "footer": ("footer", "site-footer", "copyright"),
+}
+
+
 class Blocks:
     """The flat text blocks of a page: texts and feature rows."""
 
@@ -275,12 +290,19 @@ class Blocks:
         out[1:, 2:4] = out[:-1, 0:2]
         out[0, 2] = 0
         out[:-1, 4:6] = out[1:, 0:2]
-        out[:, 6] = [r[2] for r in self.rows]
+        for column, order in ((6, range(len(out))), (7, range(len(out) - 1, -1, -1))):
+            last = 0.0
+            for k in order:
+                out[k, column] = last
+                if out[k, 1] < LINKED:
+                    last = out[k, 0]
+        heading, place, furniture = range(len(FLAT), len(FEATURES))
+        out[:, heading] = [r[2] for r in self.rows]
         if article.any():
-            out[:, 7] = np.where(article, 1, np.where(main, 0.5, -1))
+            out[:, place] = np.where(article, 1, np.where(main, 0.5, -1))
         elif main.any():
-            out[:, 7] = np.where(main, 1, -1)
-        out[:, 8] = bad
+            out[:, place] = np.where(main, 1, -1)
+        out[:, furniture] = bad
         return out
 
 
@@ -340,9 +362,12 @@ def apply_tree(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
 
 def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
     """Labelled pages made by rule: what a page has around its text, and how it is marked, is drawn for each page.
-    A run of three or more blocks that are links only is a menu wherever it stands; a single one is text."""
+    Marked furniture may be of any length; a list of links between paragraphs is text, one at an end is a menu."""
     rnd = random.Random(seed)
 
+    def any_length() -> int:
+        return round(4 * 100 ** rnd.random())
+
     def words(low: int, high: int) -> str:
         return " ".join("".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(low, high)))
 
@@ -354,6 +379,7 @@ def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
     for k in range(n):
         page: list[str] = []
         labels: list[str] = []
+        marked_words = [0]
 
         def add(html_of: str, label: str, page=page, labels=labels) -> None:
             page.append(html_of)
@@ -372,11 +398,23 @@ def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
             wrapped("nav" if named else "div", "", links(count, rnd.choice(("li", "div", "p"))), "0" * count)
         if there(0.5):
             wrapped("header" if named else "div", "" if named else "masthead", words(1, 5), "0")
+        def marked_blocks(kinds: tuple[str, ...], add=add, marked_words=marked_words) -> None:
+            """Furniture of one to three blocks of any length, marked by a tag, a class or an id."""
+            kind, count = rnd.choice(kinds), rnd.choice((1, 1, 2, 3))
+            name = rnd.choice(MARKS[kind])
+            opened = f"<{name}>" if name in FURNITURE else f"<div {rnd.choice(('class', 'id'))}={name}>"
+            inner = [words(n := any_length(), n) for _ in range(count)]
+            marked_words[0] += sum(len(x.split()) for x in inner)
+            if count == 1 and rnd.random() < 0.5:
+                add(f"{opened}{inner[0]}</{opened[1:].split(' ')[0].rstrip('>')}>", "0")
+            else:
+                add(f"{opened}{''.join(f'<p>{x}</p>' for x in inner)}</{opened[1:].split(' ')[0].rstrip('>')}>", "0" * count)
+
         if there(0.6):
-            wrapped("div", rnd.choice(("ad", "banner", "promo", "cookie-notice")), words(3, 25), "0")
+            marked_blocks(("notice", "advert"))
         if tags in (1, 2):
             page.append(rnd.choice(("<main>", "<main class='content has-sidebar'>", "<main id=main>")))
-            if rnd.random() < 0.4:
+            if tags == 1 and rnd.random() < 0.4:
                 few = rnd.choice((3, 4))
                 add(f"<ul>{links(few, 'li')}</ul>", "0" * few)
         if tags in (0, 1):
@@ -387,7 +425,7 @@ def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
         for _ in range(rnd.randint(1, 4) if short else rnd.randint(3, 12)):
             draw = 0.52 + 0.21 * rnd.random() if short else rnd.random()
             if draw < 0.62:
-                add(f"<p>{words(18, 90)}</p>", "1")
+                add(f"<p>{words(18, 90) if rnd.random() < 0.7 else words(n := round(90 * 5 ** rnd.random()), n)}</p>", "1")
             elif draw < 0.72:
                 add(f"<p>{words(1, 8)}</p>", "1")
             elif draw < 0.78:
@@ -401,17 +439,20 @@ def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
             elif draw < 0.89:
                 add(f"<ul><li>{words(3, 15)}</li><li>{words(2, 15)}</li></ul>", "11")
             elif draw < 0.94:
-                few = rnd.choice((3, 4, 5))
-                add(f"<ul>{links(few, 'li')}</ul>", "0" * few)
-                add(f"<p>{words(18, 60)}</p>", "1")
+                few = rnd.choice((2, 3, 4, 6, 9))
+                add(f"<p>{words(12, 60)}</p>", "1")
+                item = rnd.choice(("li", "p"))
+                add(f"<ul>{links(few, item)}</ul>" if item == "li" else links(few, item), "1" * few)
+                if tags < 3 and rnd.random() < 0.5:  # where tags say that this is the article, a list may end it
+                    break
+                add(f"<p>{words(12, 60)}</p>", "1")
             else:
-                wrapped(rnd.choice(("div", "aside")), rnd.choice(("newsletter", "share", "ad", "related")), words(2, 20), "0")
+                marked_blocks(("side", "advert", "notice"))
                 add(f"<p>{words(18, 60)}</p>", "1")
         if tags in (0, 1):
             page.append("</article>")
-        if there(0.3):
-            for _ in range(rnd.randint(1, 4)):
-                wrapped("div", rnd.choice(("comment", "comments")), words(4, 40), "0")
+        if there(0.4):
+            marked_blocks(("comments",))
         if tags in (1, 2):
             page.append("</main>")
         if there(0.5):
@@ -419,9 +460,14 @@ def laid_out(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
             wrapped("aside" if named else "div", "", links(few, rnd.choice(("li", "p"))), "0" * few)
         if named and there(0.3):
             wrapped("form", "", words(2, 8), "0")
+        if there(0.4):
+            marked_blocks(("comments", "side", "notice", "footer"))
         if there(0.8):
             wrapped("footer" if named else "div", "", words(2, 12), "0")
-        out.append((f"<html><body>{''.join(page)}</body></html>", "".join(labels)))
+        whole = "".join(page)
+        if tags == 3 and 2 * marked_words[0] >= len(re.sub("<[^>]*>", " ", whole).split()):
+            continue  # what holds most of such a page's words is no furniture, whatever its mark
+        out.append((f"<html><body>{whole}</body></html>", "".join(labels)))
     return out
 
 
@@ -444,12 +490,18 @@ def train(labelled: list[tuple[str, str]] | None = None) -> list[tuple]:
     blank = x[some]
     blank[:, len(FLAT) + 1 :] = 0
     # where tags speak of a block that is no links, they do so whatever the lengths around it: flat features dealt anew
-    told = (x[:, len(FLAT) + 1] != 0) & (x[:, 1] < 0.5)
+    told = ((x[:, len(FLAT) + 1] != 0) | (x[:, -1] != 0)) & (x[:, 1] < LINKED)
     dealt = x[told]
     dealt[:, : len(FLAT)] = dealt[np.random.default_rng(DEAL).permutation(len(dealt)), : len(FLAT)]
     return fit_tree(np.concatenate([x, blank, dealt]), np.concatenate([y, y[some], y[told]]))
 
 
+@cache
+def fitted() -> list[tuple]:
+    """The tree of the labelled table, fitted once in a process."""
+    return train()
+
+
 def main_text(page: str | None, tree: list[tuple]) -> str:
     blocks = Blocks(page or "")
     keep = apply_tree(tree, blocks.features())
@@ -458,7 +510,7 @@ def main_text(page: str | None, tree: list[tuple]) -> str:
 
 def extract(pages: DataFrame, tree: list[tuple] | None = None, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in `keep`, the main text of the column html, and its number of code points."""
-    tree = tree or train()
+    tree = tree or fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

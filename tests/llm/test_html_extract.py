@@ -41,7 +41,7 @@ class Plain(HTMLParser):
 def plain_text(page, tree):
     """The main text by the definitions of the features, for pages as laid_out makes them."""
     furniture_names = {"nav", "footer", "aside", "form"}
-    furniture_classes = {"masthead", "ad", "banner", "promo", "cookie-notice", "newsletter", "share", "related", "comment", "comments"}
+    furniture_classes = {"masthead"}.union(*H.MARKS.values())
     rows = []
     for text, linked, path in Plain(page).found:
         tags = [t for t, _ in path]
@@ -54,7 +54,8 @@ def plain_text(page, tree):
     for k, r in enumerate(rows):
         before, after = rows[k - 1][1:3] if k else (0, 0), rows[k + 1][1:3] if k + 1 < len(rows) else (0, 0)
         place = (1 if r[4] else 0.5 if r[5] else -1) if article else (1 if r[5] else -1) if main else 0
-        row = dict(zip(H.FEATURES, (*r[1:3], *before, *after, r[3], place, r[6])))
+        texts = [next((x[1] for x in side if x[2] < 0.5), 0) for side in (rows[:k][::-1], rows[k + 1 :])]
+        row = dict(zip(H.FEATURES, (*r[1:3], *before, *after, *texts, r[3], place, r[6]), strict=True))
         node = tree[0]
         while node[0] >= 0:
             node = tree[node[2] if row[H.FEATURES[node[0]]] <= node[1] else node[3]]
@@ -73,11 +74,12 @@ def test_held_out_blocks_with_and_without_tags():
     tree = H.train()
     x, y = H.examples(H.laid_out(120, seed=57))
     assert (H.apply_tree(tree, x) == y).mean() > 0.98
-    # without tags; comments and notices as long as text can't be told from it then, and are counted apart
+    # without tags; marked blocks as long as text can't be told from it then, and are counted apart: a fifth of these
+    # pages' blocks, as their marked blocks are of any length
     some = (x[:, -1] == 0) | (x[:, 0] <= H.BRIEF)
     x[:, len(H.FLAT) + 1 :] = 0
     right = H.apply_tree(tree, x) == y
-    assert right[some].mean() > 0.9 and right.mean() > 0.87 and some.mean() > 0.85
+    assert right[some].mean() > 0.9 and right.mean() > 0.78 and some.mean() > 0.78
     # the hand-made table, by a tree that has seen pages laid out by rule only
     x, y = H.examples(H.LABELLED)
     assert (H.apply_tree(H.train(H.laid_out()), x) == y).mean() > 0.85
@@ -95,15 +97,46 @@ def test_flat_features_decide(spark):
         x[:, len(H.FLAT) + 1 :] = 0
         same, total = same + int((H.apply_tree(tree, x) == want).sum()), total + len(x)
     assert same / total > 0.9
-    # a menu within the article goes by its neighbours' link densities, one linked line stays
+    # a list of links within the article stays, one in front of it goes
     menu = "".join(f"<li><a href=x>Place number {k}</a></li>" for k in range(5))
-    page = f"<article><h1>Bridge</h1><p>{LONG}</p><ul>{menu}</ul><p>{LONG}</p><p><a href=y>All about the bridge</a></p><p>{LONG}</p></article>"
-    assert H.main_text(page, tree) == f"Bridge\n{LONG}\n{LONG}\nAll about the bridge\n{LONG}"
+    shown = "\n".join(f"Place number {k}" for k in range(5))
+    page = f"<div>{menu}</div><article><h1>Bridge</h1><p>{LONG}</p><ul>{menu}</ul><p>{LONG}</p><p><a href=y>All about the bridge</a></p><p>{LONG}</p></article>"
+    assert H.main_text(page, tree) == f"Bridge\n{LONG}\n{shown}\n{LONG}\nAll about the bridge\n{LONG}"
     # no tag says anything here
     bare = f"<div><a>Home</a> <a>News</a></div><div>{LONG}</div><div>{LONG} {LONG}</div><div><a>Next</a> <a>Back</a></div>"
     assert H.main_text(bare, tree) == f"{LONG}\n{LONG} {LONG}"
 
 
+def some_words(n):
+    return (LONG + " ") * (n // 26) + " ".join(LONG.split()[: n % 26])
+
+
+def test_marked_furniture_never_leaks_and_lists_of_links_stay():
+    """Every length, kind of page and kind of mark."""
+    tree = H.train()
+    text = "".join(f"<p>{LONG} {k}</p>" for k in range(4))
+    shown = "\n".join(f"{LONG} {k}" for k in range(4))
+    leaked, lost, asked = [], [], 0
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<main><article>", "</article></main>")):
+        for opened, closed in (("<aside>", "</aside>"), ("<footer>", "</footer>"), *[(f"<div {how}={name}>", "</div>") for how in ("class", "id") for name in ("comments", "cookie-notice", "sidebar", "ad", "site-footer", "newsletter")]):
+            for n in (5, 8, 13, 19, 20, 30, 41, 45, 60, 90, 140, 200, 300, 400):
+                for blocks in (1, 3):
+                    if start == "<div>" and n * blocks > 100 and opened.startswith("<div"):
+                        continue  # a class mark around most of a page's words is a layout, not furniture
+                    inner = "".join(f"<p>{some_words(n)}</p>" for _ in range(blocks)) if blocks > 1 else some_words(n)
+                    for page in (f"<body>{start}<h1>T</h1>{text}{end}{opened}{inner}{closed}</body>", f"<body>{opened}{inner}{closed}{start}<h1>T</h1>{text}{end}</body>"):
+                        asked += 1
+                        if H.main_text(page, tree) != f"T\n{shown}":
+                            leaked.append((start, opened, n, blocks))
+        for few in (2, 3, 5, 8):
+            for item in ("<ul>" + "".join(f"<li><a>Ref {k} of it</a></li>" for k in range(few)) + "</ul>", "".join(f"<p><a>Ref {k} of it</a></p>" for k in range(few))):
+                page = f"<body><nav><li><a>Home</a></li><li><a>News</a></li></nav>{start}<h1>T</h1>{text}{item}<p>{LONG}</p>{end}<footer>Imprint</footer></body>"
+                refs = "\n".join(f"Ref {k} of it" for k in range(few))
+                if H.main_text(page, tree) != f"T\n{shown}\n{refs}\n{LONG}":
+                    lost.append((start, few, item[:3]))
+    assert asked > 1000 and not leaked and not lost, (asked, len(leaked), leaked[:20], lost)
+
+
 def test_marks_that_tell_nothing():
     tree = H.train()
     for page, want in (
