@@ -656,7 +656,7 @@ def spectrum_traces(f: Fixtures) -> DataFrame:
     last = (matrix.where("i = j").agg(F.sum("v")).first()[0] or 0.0) - values.sum()
     every = [*values.tolist(), last]
     size = sum(v * v for v in every)
-    rows = [(p, round(sum(v**p for v in every) / size ** (p / 2), 6), bool(abs(last) <= np.abs(values).min() + 1e-9)) for p in TRACES]
+    rows = [(p, round(float(sum(v**p for v in every) / size ** (p / 2)), 6), bool(abs(last) <= np.abs(values).min() + 1e-9)) for p in TRACES]
     return f.spark.createDataFrame(rows, "power int, trace double, leads boolean")
 
 
