@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 class Attributes:
     """The tables that describe an attribute table."""
@@ -34,12 +36,14 @@ class Attributes:
     def ranked(self, rank_thresh: int | None = 100) -> DataFrame:
         """type, rank (from 0), val, freq, cumulative_pct: values by falling frequency, then by value; the first
         rank_thresh of each type, or as many as there are (None: all)."""
-        by = Window.partitionBy("type").orderBy(F.desc("freq"), "val")
-        total = F.sum("freq").over(Window.partitionBy("type"))
-        running = F.sum("freq").over(by.rowsBetween(Window.unboundedPreceding, 0))
-        out = self.frequencies().select("type", (F.row_number().over(by) - 1).alias("rank"), "val", "freq", (100.0 * running / total).alias("cumulative_pct"))
+        out = self.summed().select("type", (F.col("rank") - 1).cast("int").alias("rank"), "val", "freq", (100.0 * F.col("so_far") / F.col("n_instances")).alias("cumulative_pct"))
         return out if rank_thresh is None else out.where(F.col("rank") < rank_thresh)
 
+    def summed(self) -> DataFrame:
+        """type, val, freq, rank (from 1), so_far and n_instances: how many rows the values up to this one have, and all."""
+        ranked = running(self.frequencies().select("type", "val", "freq"), [F.desc("freq"), F.col("val")], {"so_far": F.col("freq")}, ("type",))
+        return ranked.join(self.totals().select("type", "n_instances"), "type")
+
     def report(self, rank_thresh: int = 100) -> DataFrame:
         """line, value: a banner, the totals and the ranked values of each type."""
         head = self.totals().select("type", F.lit(-2).alias("at"), F.format_string("=== %s ===", "type").alias("value"))
@@ -55,11 +59,8 @@ class Attributes:
 
     def selected_stats(self) -> DataFrame:
         """Each value's share of its type's instances, its rank from 1 and the running share."""
-        by = Window.partitionBy("type").orderBy(F.desc("freq"), "val")
-        total = F.sum("freq").over(Window.partitionBy("type"))
-        running = F.sum("freq").over(by.rowsBetween(Window.unboundedPreceding, 0))
         known = self.values().groupBy("type").agg(F.count_distinct("node").alias("total_known"))
-        out = self.frequencies().select("type", "val", "freq", (F.col("freq") / total).alias("relative_freq"), F.row_number().over(by).alias("rank"), (running / total).alias("percentile"))
+        out = self.summed().select("type", "val", "freq", (F.col("freq") / F.col("n_instances")).alias("relative_freq"), F.col("rank").cast("int").alias("rank"), (F.col("so_far") / F.col("n_instances")).alias("percentile"))
         return out.join(known, "type")
 
 

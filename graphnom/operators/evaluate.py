@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from graphnom.plans.tables import materialise
 
+from .ranges import running
+
 
 def cumulative_precision(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, rank (from 1), node, prob, ind, cum_prec: rows by falling prob (then node) with the share of true ones
     so far. Within `by` if given."""
-    order = Window.partitionBy(*by).orderBy(F.desc("prob"), "node")
-    rank, so_far = F.row_number().over(order), F.sum("ind").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return scored.select(*by, rank.alias("rank"), "node", "prob", "ind", (so_far / rank).alias("cum_prec"))
+    own = scored.select(*by, "node", "prob", "ind")
+    ranked = running(own, [F.desc("prob"), F.col("node")], {"_true": F.col("ind")}, by)
+    return ranked.select(*by, F.col("rank").cast("int").alias("rank"), "node", "prob", "ind", (F.col("_true") / F.col("rank")).alias("cum_prec"))
 
 
 def mean_cumulative_precision(curve: DataFrame) -> DataFrame:
@@ -32,16 +34,29 @@ def shuffled(node: Column, seed: int | Column) -> Column:
 
 def seed_sample(seeds: DataFrame, positives: int, negatives: int, seed: int) -> DataFrame:
     """seeds (node, ind) with train: true for that many of each class, one less than there are at most."""
-    by = Window.partitionBy("ind")
-    at = F.row_number().over(by.orderBy(shuffled(F.col("node"), seed), "node"))
-    most = F.least(F.when(F.col("ind") == 1, F.lit(positives)).otherwise(F.lit(negatives)), F.count("*").over(by) - 1)
-    return seeds.select("node", "ind", (at <= most).alias("train"))
+    drawn = None
+    for row in seeds.groupBy("ind").agg(F.count("*").alias("n")).collect():
+        most = min(positives if row.ind == 1 else negatives, row.n - 1)
+        own = first_dealt(seeds, row.ind, most, seed).select(F.col("node").alias("_node"), F.col("ind").alias("_ind"))
+        drawn = own if drawn is None else drawn.unionByName(own)
+    if drawn is None:
+        return seeds.select("node", "ind", F.lit(False).alias("train"))
+    # no more than the given numbers of seeds are drawn
+    joined = seeds.join(F.broadcast(drawn), F.col("node").eqNullSafe(F.col("_node")) & F.col("ind").eqNullSafe(F.col("_ind")), "left")
+    return joined.select("node", "ind", F.col("_ind").isNotNull().alias("train"))
+
+
+def first_dealt(seeds: DataFrame, ind: float, most: int, seed: int) -> DataFrame:
+    """The first of one class in the deal: each partition keeps that many, and those are merged."""
+    return seeds.where(F.col("ind") == ind).select("node", "ind").orderBy(shuffled(F.col("node"), seed), "node").limit(most)
 
 
 def interleaved(seeds: DataFrame, cv_max: int, seed: int) -> DataFrame:
     """place, node, ind: true and false seeds in turn, each dealt, the first cv_max of them."""
+    known = seeds.where("node is not null")
+    rows = first_dealt(known, 1.0, cv_max, seed).unionByName(first_dealt(known, 0.0, cv_max, seed))  # cv_max of each at most
     turn = F.row_number().over(Window.partitionBy("ind").orderBy(shuffled(F.col("node"), seed), "node"))
-    rows = seeds.where("node is not null and ind is not null").select("node", "ind", turn.alias("turn")).orderBy("turn", F.desc("ind")).limit(cv_max)
+    rows = rows.select("node", "ind", turn.alias("turn")).orderBy("turn", F.desc("ind")).limit(cv_max)
     return rows.select(F.row_number().over(Window.orderBy("turn", F.desc("ind"))).alias("place"), "node", "ind")
 
 

@@ -503,7 +503,7 @@ def cv_interleave(f: Fixtures) -> DataFrame:
     return evaluate.interleaved(f.features().where("ind is not null"), 100, 123)
 
 
-@query(f"""WITH {LONG}, kn AS (SELECT f.node, f.ind, s.sample, row_number() OVER (PARTITION BY s.sample, ind ORDER BY {DEAL.format(s='s.sample')}, node) <= least(CASE WHEN ind = 1 THEN 20 ELSE 40 END, count(*) OVER (PARTITION BY s.sample, ind) - 1) AS train
+_MC_CURVE = f"""WITH {LONG}, kn AS (SELECT f.node, f.ind, s.sample, row_number() OVER (PARTITION BY s.sample, ind ORDER BY {DEAL.format(s='s.sample')}, node) <= least(CASE WHEN ind = 1 THEN 20 ELSE 40 END, count(*) OVER (PARTITION BY s.sample, ind) - 1) AS train
     FROM feats f, (SELECT unnest(range(0, 50)) AS sample) s WHERE ind IS NOT NULL),
   lo AS (SELECT kn.sample, kn.node, kn.ind, kn.train, pos, x FROM kn JOIN long ON kn.node = long.node),
   ad AS (SELECT sample, 1e-9 * max(v) AS a FROM (SELECT sample, pos, var_pop(x) AS v FROM lo WHERE train GROUP BY 1, 2) GROUP BY sample),
@@ -511,7 +511,10 @@ def cv_interleave(f: Fixtures) -> DataFrame:
   j AS (SELECT lo.sample, node, ind, label, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + ln(max(n)) AS l FROM lo JOIN st ON lo.sample = st.sample AND lo.pos = st.pos WHERE NOT train GROUP BY 1, 2, 3, 4),
   od AS (SELECT a.sample, a.node, a.ind, a.l - b.l AS prob FROM j a JOIN j b ON a.sample = b.sample AND a.node = b.node AND a.label = 1 AND b.label = 0),
   cu AS (SELECT sample, row_number() OVER w AS rank, sum(ind) OVER (w ROWS UNBOUNDED PRECEDING) / row_number() OVER w AS p FROM od WINDOW w AS (PARTITION BY sample ORDER BY prob DESC, node))
-  SELECT CAST(rank AS INTEGER) AS rank, round(avg(p), 6) AS mean_prec, round(stddev_pop(p) / sqrt(count(*)), 6) AS stderr_prec, round(avg(p) - 2 * stddev_pop(p) / sqrt(count(*)), 6) AS low, round(avg(p) + 2 * stddev_pop(p) / sqrt(count(*)), 6) AS high FROM cu WHERE rank <= 50 GROUP BY rank""")
+  SELECT CAST(rank AS INTEGER) AS rank, round(avg(p), 6) AS mean_prec, round(stddev_pop(p) / sqrt(count(*)), 6) AS stderr_prec, round(avg(p) - 2 * stddev_pop(p) / sqrt(count(*)), 6) AS low, round(avg(p) + 2 * stddev_pop(p) / sqrt(count(*)), 6) AS high FROM cu WHERE rank <= 50 GROUP BY rank"""
+
+
+@query(_MC_CURVE)
 def mc_precision_curve(f: Fixtures) -> DataFrame:
     return evaluate.resampled_bayes(f.features().where("ind is not null"), 50, 20, 40, 50).select("rank", *[r6(c) for c in ("mean_prec", "stderr_prec", "low", "high")])
 
@@ -732,10 +735,12 @@ def embedding_cached(f: Fixtures) -> DataFrame:
     return cache.get(key).select("node", F.size("features").alias("width"), F.round(F.get("features", F.lit(0)), 6).alias("first"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS line, printf('%.6f', 10.0 / (i + 1)) AS value FROM (SELECT unnest(range(0, 20)) AS i)")
+@query(f"""WITH {GRAPH}, {_power_sql()} SELECT 0 AS line, printf('%.6f', sum(p.x * y) / sum(p.x * p.x)) AS value
+  FROM (SELECT adj.i, sum(v * x) AS y FROM adj JOIN p{POWERS} p ON adj.j = p.i GROUP BY adj.i) ax JOIN p{POWERS} p ON ax.i = p.i""")
 def eigenvalues_dumped(f: Fixtures) -> DataFrame:
+    """The adjacency's largest value as the dump has it."""
     path = f"{_folder(f)}/eigvals.csv"
-    writers.save_eigenvalues(f.spark, [10.0 / (k + 1) for k in range(20)], path)
+    writers.save_eigenvalues(f.spark, list(_adjacency_pairs(f, 1, 1e-8)[1]), path)
     text = f.spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
 
@@ -748,10 +753,10 @@ def ranked_as_tsv(f: Fixtures) -> DataFrame:
     return text.select((F.col("line") - 1).alias("line"), F.split("value", "\t")[0].cast("long").alias("node"))
 
 
-@query("SELECT CAST(rank AS INTEGER) AS rank, round(0.9 / rank, 6) AS mean_prec, round(least(1.0, 1.1 * 0.9), 6) AS highest FROM (SELECT unnest(range(1, 51)) AS rank)")
+@query(f"SELECT rank, mean_prec, round(least(1.0, 1.1 * max(mean_prec) OVER ()), 6) AS highest FROM ({_MC_CURVE})")
 def precision_saved(f: Fixtures) -> DataFrame:
+    """The resampled curve as its file has it, with the upper end of its plot."""
     path = f"{_folder(f)}/precision.csv"
-    curve = f.spark.range(1, 51).select(F.col("id").cast("int").alias("rank"), (0.9 / F.col("id")).alias("mean_prec"))
-    writers.save_precision(curve, path)
+    writers.save_precision(mc_precision_curve(f), path)
     again = readers.read_precision(f.spark, path)
     return again.select("rank", r6("mean_prec"), F.round(F.lit(evaluate.highest(again)), 6).alias("highest"))
