@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphnom.plans.shipping import ship_package
 from graphnom.plans.tables import materialise
 
+from . import blocks
 from .features import log_density_constant
 
 #: Bytes of training rows that a density estimate broadcasts at a time, and distances that a task holds.
@@ -79,6 +80,67 @@ def logreg(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 50) -
     return test.select("node", logreg_chance(logreg_weights(train, c, steps)).alias("prob"))
 
 
+#: How small each entry of a left-out model's gradient is made, and how many passes that may take.
+FLAT_GRADIENT, FOLD_PASSES = 1e-7, 40
+
+
+def pulls(rows: DataFrame, weights: np.ndarray, curvature: bool = False) -> np.ndarray:
+    """Of many models at once, weights by row, what the rows (features, ind) pull each entry: the sum of (chance - ind)
+    times the features and 1. With curvature: of one model, followed by the squared terms. One pass; a task sends on as
+    many numbers as there are weights (or weights squared)."""
+    ship_package(rows.sparkSession)
+    models, width = weights.shape
+    shape = (models + width * curvature, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            x, y = np.hstack([x, np.ones((len(x), 1))]), np.asarray(batch.column(1), float)
+            p = 1 / (1 + np.exp(-np.clip(x @ weights.T, -500, 500)))
+            total[:models] += (p - y[:, None]).T @ x
+            if curvature:
+                total[models:] += x.T @ (x * (p * (1 - p)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    return blocks.small(rows.select("features", "ind").mapInArrow(run, "s binary"), shape)
+
+
+def left_out_weights(seeds: DataFrame, held: DataFrame, c: float = 1.0) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(node, ind, features and 1, weights) of each held-out seed (held: node, few), the weights being of the model of
+    all others.
+
+    All these models are solved together, from the model of all seeds and with its curvature less the own row's share:
+    a pass gives the exact gradient of each. A model that needs more than FOLD_PASSES is fitted alone.
+    """
+    rows = materialise(seeds.select("node", "features", F.col("ind").cast("double").alias("ind")))
+    own = rows.join(held.select("node"), "node", "left_semi").orderBy("node").collect()
+    if not own:
+        return []
+    x = np.hstack([np.array([r.features for r in own], float), np.ones((len(own), 1))])
+    y = np.array([r.ind for r in own])
+    full = logreg_weights(rows, c)
+    curved = pulls(rows, full[None], True)[1:] + np.eye(len(full)) / c
+    chance = 1 / (1 + np.exp(-(x @ full)))
+    inverse = [np.linalg.inv(curved - p * (1 - p) * np.outer(v, v)) for p, v in zip(chance, x, strict=True)]
+    w = np.tile(full, (len(own), 1))
+    for _ in range(FOLD_PASSES):
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -500, 500)))
+        gradient = pulls(rows, w) - (p - y)[:, None] * x + w / c
+        if np.abs(gradient).max() <= FLAT_GRADIENT:
+            break
+        w = w - np.einsum("fij,fj->fi", np.array(inverse), gradient)
+    for k in np.flatnonzero(~(np.abs(gradient).max(axis=1) <= 100 * FLAT_GRADIENT)).tolist():
+        w[k] = logreg_weights(rows.where(F.col("node") != own[k].node), c)
+    return [(r.node, r.ind, x[k], w[k]) for k, r in enumerate(own)]
+
+
+def left_out_logreg(seeds: DataFrame, held: DataFrame, c: float = 1.0) -> DataFrame:
+    """node, ind, prob of the held-out seeds, each under logistic regression of all others."""
+    found = [(int(node), float(ind), float(1 / (1 + np.exp(-(x @ w))))) for node, ind, x, w in left_out_weights(seeds, held, c)]
+    return seeds.sparkSession.createDataFrame(found, "node long, ind double, prob double")
+
+
 def class_moments(train: DataFrame, smoothing: float = 1e-9) -> DataFrame:
     """label, pos, mean, var: of each class and place; the variance is of the population plus a share of the
     largest place's variance, so that none is 0."""

@@ -60,12 +60,15 @@ def classifier(config: Config, name: str | None = None):
 
 def cross_validated(seeds: DataFrame, config: Config) -> DataFrame:
     """node, ind, prob of the held-out seeds, each under a model of all others; empty if cv_max is 0. Naive Bayes and
-    density estimates leave a row out in closed form; bandwidths are sought once, on all seeds."""
+    density estimates leave a row out in closed form, bandwidths are sought once, on all seeds; the models of logistic
+    regression are solved together."""
     if config.cv_max == 0:
         return seeds.sparkSession.createDataFrame([], "node long, ind double, prob double")
     held = materialise(evaluate.interleaved(seeds, config.cv_max, config.rng_seed))
     if config.classifier == "naive_bayes":
         return evaluate.leave_one_out_bayes(seeds, held)
+    if config.classifier == "logreg":
+        return models.left_out_logreg(seeds, held)
     if config.classifier == "kde":
         model = models.TwoClassKDE().fit_with_optimal_bandwidth(seeds, config.kde_grid, config.kde_range, config.kde_folds)
         asked = seeds.join(held.select("node"), "node", "left_semi")

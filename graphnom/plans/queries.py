@@ -548,6 +548,25 @@ def logreg_gradient(f: Fixtures) -> DataFrame:
     return pull.groupBy("pos").agg(F.sum(F.col("e") * F.col("x")).alias("g")).select("pos", F.abs(F.round(F.col("g") + own, 3)).alias("gradient"))
 
 
+_INTERLEAVED = f"kn AS (SELECT node, CAST(ind AS DOUBLE) AS ind, row_number() OVER (PARTITION BY ind ORDER BY {DEAL.format(s=123)}, node) AS turn FROM feats WHERE ind IS NOT NULL), taken AS (SELECT node, ind FROM kn ORDER BY turn, ind DESC LIMIT 100)"
+
+
+@query(f"WITH {FEATURES}, {_INTERLEAVED} SELECT node, ind, CAST(0 AS DOUBLE) AS gradient FROM taken")
+def loo_logreg(f: Fixtures) -> DataFrame:
+    """The held-out seeds, and for each the largest entry of the gradient, over all other seeds, of the model that left
+    it out: 0 at its optimum."""
+    seeds = materialise(f.features().where("ind is not null"))
+    held = materialise(evaluate.interleaved(seeds, 100, 123))
+    found = models.left_out_weights(seeds, held)
+    table = f.spark.createDataFrame([(int(n), float(y), w.tolist()) for n, y, _, w in found], "fold long, label double, w array<double>")
+    x = F.concat("features", F.array(F.lit(1.0)))
+    pairs = seeds.crossJoin(F.broadcast(table)).where("node <> fold").select("fold", "label", "w", x.alias("x"), "ind")  # at most 100 models
+    score = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    pull = pairs.select("fold", "label", "w", (models.sigmoid(score) - F.col("ind")).alias("e"), F.posexplode("x").alias("pos", "v"))
+    sums = pull.groupBy("fold", "label", "pos").agg(F.sum(F.col("e") * F.col("v")).alias("g"), F.first(F.get("w", F.col("pos"))).alias("own"))
+    return sums.groupBy(F.col("fold").alias("node"), F.col("label").alias("ind")).agg(F.round(F.max(F.abs(F.col("g") + F.col("own"))), 4).alias("gradient"))
+
+
 _nominated("logreg")
 _nominated("randfor", trees=Config().num_trees)
 _nominated("boost", rounds=Config().num_trees)

@@ -282,3 +282,27 @@ def test_counts_of_a_stream(spark, tmp_path):
     for k in (2, 3):
         again.add(spark.createDataFrame([("a", "a", 1)], "a string, b string, c long"), k)
     assert again.versions() == [2, 3]  # older ones are gone
+
+
+def test_left_out_models_are_those_of_single_fits(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    y = (x[:, 0] + 0.5 * rng.normal(size=60) > 0).astype(float)
+    seeds = spark.createDataFrame([(k, x[k].tolist(), float(y[k])) for k in range(60)], "node long, features array<double>, ind double")
+    held = seeds.where("node % 7 = 3").select("node")
+
+    def plain(left_out):
+        keep = np.arange(60) != left_out
+        a, b, w = np.hstack([x[keep], np.ones((59, 1))]), y[keep], np.zeros(5)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.eye(5), a.T @ (p - b) + w)
+        return 1 / (1 + np.exp(-(x[left_out] @ w[:4] + w[4])))
+
+    for passes in (40, 1):  # the second leaves models to be fitted alone
+        monkeypatch.setattr(models, "FOLD_PASSES", passes)
+        got = {r.node: (r.ind, r.prob) for r in models.left_out_logreg(seeds, held).collect()}
+        assert sorted(got) == list(range(3, 60, 7))
+        for k, (ind, prob) in got.items():
+            assert ind == y[k] and abs(prob - plain(k)) < 1e-5
+    assert models.left_out_logreg(seeds, held.where("false")).count() == 0
