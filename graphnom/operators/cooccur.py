@@ -47,12 +47,35 @@ class PairCounts:
     values: int
 
 
+#: Edges of a vertex above which it is a hub, and how many hubs are split at most: those with the most edges.
+HUB, HUBS = 1 << 20, 100_000
+
+
+def hubs(edges: DataFrame) -> DataFrame:
+    """side, node, parts: the vertices that are the src or dst of more than HUB rows, and how many parts of about that
+    many they are dealt into. At most HUBS rows."""
+    ends = edges.select(F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("node")), F.struct(F.lit("dst").alias("side"), F.col("dst").alias("node")))).alias("e"))
+    counted = ends.groupBy("e.side", "e.node").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
+    return counted.orderBy(F.desc("n"), "side", "node").limit(HUBS).select("side", "node", F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
+
+
+def with_values(edges: DataFrame, values: DataFrame, side: str, name: str, split: DataFrame) -> DataFrame:
+    """edges with the values of one side's vertex, null where it has none. The edges of a hub are dealt into parts by
+    their other end, and the hub's values are sent to each part; all others join as they are."""
+    other = "dst" if side == "src" else "src"
+    own = F.broadcast(split.where(F.col("side") == side).select(F.col("node").alias("_hub"), "parts"))  # at most HUBS rows
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = edges.join(own, F.col(side) == F.col("_hub"), "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_hub", "parts")
+    sent = values.join(own, F.col("node") == F.col("_hub"), "left").select(F.col("node").alias(side), F.col("val").alias(name), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return dealt.join(sent, [side, "_part"], "left").drop("_part")
+
+
 def pair_counts(edges: DataFrame, values: DataFrame) -> DataFrame:
     """a, b, c: how many edges join the two values. values: node, val, distinct rows."""
     # edges that repeat are counted before they meet their values
-    e = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    x, y = values.select(F.col("node").alias("src"), F.col("val").alias("x")), values.select(F.col("node").alias("dst"), F.col("val").alias("y"))
-    joined = e.join(x, "src", "left").join(y, "dst", "left")
+    e = materialise(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
+    split = materialise(hubs(e))
+    joined = with_values(with_values(e, values, "src", "x", split), values, "dst", "y", split)
     u, v = F.coalesce("x", token(F.col("src"))), F.coalesce("y", token(F.col("dst")))
     return joined.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("c"))
 

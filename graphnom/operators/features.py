@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphnom.plans.shipping import ship_package
+from graphnom.plans.tables import materialise
 
 
 def numeric_pivot(rows: DataFrame, types: tuple[str, ...], nodes: DataFrame | None = None) -> DataFrame:
@@ -24,12 +25,45 @@ def numeric_pivot(rows: DataFrame, types: tuple[str, ...], nodes: DataFrame | No
     return out if nodes is None else nodes.join(out, "node", "left")
 
 
+#: Bins that a range is cut into when a middle value is sought.
+BINS = 2048
+
+
+def medians(df: DataFrame, columns: tuple[str, ...]) -> dict[str, float | None]:
+    """The exact median of each column's known entries (NaN is none), None if there are none.
+
+    Both middle ranks are sought in a range that shrinks: a pass counts the values of BINS bins and takes the least and
+    the largest value of the bin that holds the rank. What reaches the driver does not depend on the values.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns]))
+    rows = materialise(df.select(cells.alias("r")).select("r.c", "r.x").where("x is not null and not isnan(x)"))
+    spans = {r.c: (r.n, r.lo, r.hi) for r in rows.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    # column and rank (from 0): the least and largest value it may have, and how many values lie below
+    open_ = {(c, rank): (lo, hi, 0) for c, (n, lo, hi) in spans.items() for rank in {(n - 1) // 2, n // 2}}
+    while asked := [(c, rank, lo, hi) for (c, rank), (lo, hi, _) in open_.items() if lo < hi]:
+        table = F.broadcast(df.sparkSession.createDataFrame(asked, "c string, rank long, lo double, hi double"))  # two rows a column
+        share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        place = F.when(F.col("x") == F.col("hi"), BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        held = rows.join(table, "c").where("x >= lo and x <= hi").groupBy("c", "rank", place.alias("place"))
+        bins: dict[tuple[str, int], list] = {}
+        for r in held.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            bins.setdefault((r.c, r["rank"]), []).append((r.lo, r.hi, r.n))
+        for key, found in bins.items():
+            below = open_[key][2]
+            for lo, hi, n in sorted(found):
+                if key[1] < below + n:
+                    open_[key] = (lo, hi, below)
+                    break
+                below += n
+    middle = {c: [lo for (k, _), (lo, _, _) in open_.items() if k == c] for c in columns}
+    return {c: sum(v) / len(v) if v else None for c, v in middle.items()}
+
+
 def impute(df: DataFrame, columns: tuple[str, ...], strategy: str = "mean") -> DataFrame:
     """Missing entries by the mean or the exact median of the known ones."""
     if strategy not in ("mean", "median"):
         raise ValueError(f"no imputation {strategy!r}")
-    stat = (lambda c: F.avg(c)) if strategy == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
-    known = df.agg(*[stat(F.col(c)).alias(c) for c in columns]).first()
+    known = medians(df, columns) if strategy == "median" else df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(known[c]).cast("double")) for c in columns})
 
 

@@ -54,14 +54,23 @@ def read_precision(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("header", True).option("inferSchema", True).csv(path) if exists(spark, path) else None
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that a path is in, of any that Spark reaches, and the path as it takes it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def listing(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder of any file system that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Names in a folder."""
+    files, path = file_system(spark, folder)
     return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+    files, target = file_system(spark, path)
+    return bool(files.exists(target))
+
+
+def read_line(spark: SparkSession, path: str) -> str:
+    """A small file of one line."""
+    return spark.read.text(path).first()[0]
