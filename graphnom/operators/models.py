@@ -17,9 +17,7 @@ from graphnom.plans.tables import materialise
 
 from . import blocks
 from .features import log_density_constant
-
-#: Bytes of training rows that a density estimate broadcasts at a time, and distances that a task holds.
-BROADCAST_BYTES, KERNEL_CELLS = 64 << 20, 1 << 22
+from .kernels import log_kernel_sums
 
 
 def _ready(df: DataFrame) -> DataFrame:
@@ -243,10 +241,11 @@ def boosted_stumps(train: DataFrame, test: DataFrame, rounds: int = 100, seed: i
 
 
 class TwoClassKDE:
-    """Two kernel density estimates and the odds of their classes. Rows: node, features, ind."""
+    """Two kernel density estimates and the odds of their classes. Rows: node, features, ind. error: by what share a
+    density may be low, 0 for none."""
 
-    def __init__(self, bandwidths: tuple[float, float] = (1.0, 1.0), width: int | None = None):
-        self.bandwidths, self.width = tuple(bandwidths), width
+    def __init__(self, bandwidths: tuple[float, float] = (1.0, 1.0), width: int | None = None, error: float = 0.0):
+        self.bandwidths, self.width, self.error = tuple(bandwidths), width, error
         self.train: DataFrame | None = None
         self.counts = (0, 0)
 
@@ -285,7 +284,7 @@ class TwoClassKDE:
         asked, known = queries.select("node", "features", key.alias("key")), self.train.select("node", "features", F.col("node").alias("key"), F.col("ind").cast("int").alias("label"))
         per = None
         for label in (0, 1):
-            own = log_kernel_sums(asked, known.where(F.col("label") == label), [self.bandwidths[label]]).withColumn("label", F.lit(label))
+            own = log_kernel_sums(asked, known.where(F.col("label") == label), [self.bandwidths[label]], self.error).withColumn("label", F.lit(label))
             per = own if per is None else per.unionByName(own)
         constant = F.when(F.col("label") == 1, log_density_constant(self.width, self.bandwidths[1])).otherwise(log_density_constant(self.width, self.bandwidths[0]))
         wide = per.groupBy("node").agg(*[F.max(F.when(F.col("label") == k, F.col("lse") - F.ln("n") + constant)).alias(f"s{k}") for k in (0, 1)])
@@ -306,60 +305,6 @@ class TwoClassKDE:
         return self.predict_proba(queries).select("node", F.ln("p0").alias("l0"), F.ln("p1").alias("l1"))
 
 
-def log_kernel_sums(queries: DataFrame, train: DataFrame, bandwidths: list[float]) -> DataFrame:
-    """node, step, lse, n: for each query (node, features, key) and bandwidth (step: its place in the list) the log of the
-    sum of exp(-d^2 / 2h^2) over the training rows (features, key) whose key is another one, and how many those are.
-
-    Queries stay where they are. Training rows come to them in blocks of at most BROADCAST_BYTES, one broadcast each;
-    a block's sums are told by products of matrices, and joined by node only if there is more than one block.
-    """
-    spark = queries.sparkSession
-    ship_package(spark)
-    size = train.agg(F.sum(8 * F.size("features") + 8)).first()[0] or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    out = None
-    for block in range(blocks):
-        rows = train.where(F.pmod(F.xxhash64("features", "key"), F.lit(blocks)) == block) if blocks > 1 else train
-        found = rows.select("features", "key").toArrow()
-        if not found.num_rows:
-            continue
-        y = np.asarray(found["features"].combine_chunks().flatten(), float).reshape(found.num_rows, -1)
-        sent = spark.sparkContext.broadcast((y, (y * y).sum(axis=1), found["key"].to_numpy()))
-
-        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            y, squares, keys = sent.value
-            for batch in batches:
-                step = max(1, KERNEL_CELLS // len(y))
-                for lo in range(0, batch.num_rows, step):
-                    part = batch.slice(lo, step)
-                    x = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, -1)
-                    d2 = np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * (x @ y.T), 0.0)
-                    if part.column(2).null_count == 0:
-                        d2[part.column(2).to_numpy()[:, None] == keys] = np.inf
-                    n = np.isfinite(d2).sum(axis=1)
-                    some = np.flatnonzero(n)
-                    least = d2[some].min(axis=1)
-                    for k, h in enumerate(bandwidths):
-                        lse = np.log(np.exp((least[:, None] - d2[some]) / (2 * h * h)).sum(axis=1)) - least / (2 * h * h)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(np.full(len(some), k, np.int32)), pa.array(lse), pa.array(n[some])], ["node", "step", "lse", "n"])
-
-        own = queries.select("node", "features", "key").mapInArrow(sums, "node long, step int, lse double, n long")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return spark.createDataFrame([], "node long, step int, lse double, n long")
-    if blocks == 1:
-        return out
-    joined = log_sum_exp(materialise(out).withColumnRenamed("lse", "t"), ["node", "step"], counted=F.sum("n"))
-    return joined.select("node", "step", "lse", "n")
-
-
-def log_sum_exp(terms: DataFrame, keys: list[str], term: str = "t", counted: Column | None = None) -> DataFrame:
-    """keys, lse, n (the number of terms, or what is counted). Two combinable aggregates: the largest term, then the sum relative to it."""
-    top = terms.groupBy(*keys).agg(F.max(term).alias("top"))
-    joined = terms.join(top, keys)
-    return joined.groupBy(*keys).agg((F.max("top") + F.ln(F.sum(F.exp(F.col(term) - F.col("top"))))).alias("lse"), (F.count("*") if counted is None else counted).alias("n"))
-
-
 def fold(node: Column, cv: int) -> Column:
     """The fold of a node: arithmetic, so that another engine can repeat it."""
     return F.pmod(node * 7919, F.lit(10007)) % cv

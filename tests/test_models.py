@@ -8,7 +8,7 @@ import pytest
 from graphnom.__main__ import main, parser
 from graphnom.config import Config, Dtype, from_json, parse_items
 from graphnom.functions.text import legend, time_format, timed, underscored
-from graphnom.operators import evaluate, features, models
+from graphnom.operators import evaluate, features, kernels, models
 from graphnom.plans import nomination, tables
 from graphnom.sources import readers, writers
 from graphnom.streaming.incremental import RunningCounts, stream_frequencies, stream_pair_counts
@@ -198,10 +198,37 @@ def test_leaving_out_of_densities_keeps_the_bandwidths(sample):
 
 def test_kernel_sums_in_blocks(sample, monkeypatch):
     asked, known = sample.selectExpr("node", "features", "node as key"), sample.selectExpr("features", "node as key")
-    whole = {(r.node, r.step): (r.lse, r.n) for r in models.log_kernel_sums(asked, known, [0.5, 0.01]).collect()}
-    monkeypatch.setattr(models, "BROADCAST_BYTES", 400)
-    parts = {(r.node, r.step): (r.lse, r.n) for r in models.log_kernel_sums(asked, known, [0.5, 0.01]).collect()}
-    assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole) and {v[1] for v in whole.values()} == {59}
+    x, _ = arrays(sample)
+    nodes = [r.node for r in sample.orderBy("node").collect()]
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for leaf in (10_000, 16, 3):  # one block, leaves of a tree, leaves cut into several blocks
+        monkeypatch.setattr(kernels, "LEAF", leaf)
+        got = {(r.node, r.step): (r.lse, r.n) for r in models.log_kernel_sums(asked, known, [0.5, 0.05]).collect()}
+        assert len(got) == 2 * len(x)
+        for k, node in enumerate(nodes):
+            for step, h in enumerate((0.5, 0.05)):
+                t = np.delete(-d2[k] / (2 * h * h), k)
+                assert got[node, step] == (pytest.approx(t.max() + np.log(np.exp(t - t.max()).sum())), len(x) - 1)
+
+
+def test_far_blocks_are_left_out_within_the_error(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "LEAF", 40)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(150, 2)) + 40 * k for k in range(4)])
+    rows = spark.createDataFrame([(k, x[k].tolist(), k % 5) for k in range(600)], "node long, features array<double>, fold long")
+    asked, known = rows.selectExpr("node", "features", "fold as key"), rows.selectExpr("features", "fold as key")
+    exact = {r.node: (r.lse, r.n) for r in kernels.log_kernel_sums(asked, known, [1.0]).collect()}
+    for error in (1e-9, 0.05):
+        near = {r.node: (r.lse, r.n) for r in kernels.log_kernel_sums(asked, known, [1.0], error).collect()}
+        assert near.keys() == exact.keys()
+        for k, (lse, n) in exact.items():
+            assert near[k][1] == n and -np.log1p(-error) + 1e-9 >= lse - near[k][0] >= -1e-9
+    tree = kernels.space_tree(known, 16)
+    met = kernels.meetings(kernels.dealt(asked, tree), kernels.dealt(known.selectExpr("0L as node", "key", "features"), tree), [1.0], 1e-9)
+    blocks_ = kernels.dealt(asked, tree).count()
+    assert met.count() < 0.5 * blocks_**2  # the other clusters are not met
+    unkeyed = kernels.log_kernel_sums(asked.withColumn("key", F.lit(None).cast("long")), known, [1.0], 1e-9)
+    assert {r.n for r in unkeyed.collect()} == {600}
 
 
 def test_boosted_stumps_by_hand(sample):
