@@ -328,6 +328,15 @@ def asker(sent) -> Callable[[pa.Table], pa.Table]:
     return ask
 
 
+def numbers_of(keys: np.ndarray, numbers: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The number of each asked key among sorted keys. A key without one raises: every key of a chunk's texts was asked
+    for, so its texts are not those that asked."""
+    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    if len(asked) and (not len(keys) or (keys[at] != asked).any()):
+        raise LookupError("a chunk's texts hold keys that it has no answer for: its rows have changed since they asked")
+    return numbers[at]
+
+
 def answerer(sent) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def answer(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a chunk's rows."""
@@ -344,7 +353,7 @@ def answerer(sent) -> Callable[[pa.Table, pa.Table], pa.Table]:
             slots = tables[k].find(asked)
             out = tables[k].numbers[slots].astype(np.float64)
             rest = np.flatnonzero(slots < 0)
-            out[rest] = own[k][1][np.searchsorted(own[k][0], asked[rest])] if len(rest) else 0
+            out[rest] = numbers_of(*own[k], asked[rest])
             return out
 
         n = texts.num_rows
