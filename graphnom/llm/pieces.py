@@ -39,7 +39,7 @@ from . import common as C
 
 SPACE = "▁"
 #: Cuts whose ids a worker remembers (twice as many at most), and pairs of pieces that it has judged.
-MEMORY, PAIRS = 200_000, 400_000
+MEMORY, PAIRS = 120_000, 150_000
 #: Longest cut whose ids are remembered, in characters.
 REMEMBERED = 64
 
