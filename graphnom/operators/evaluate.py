@@ -121,13 +121,26 @@ def resampled_curve(curves: DataFrame, top: int) -> DataFrame:
     return by.withColumns({"low": F.col("mean_prec") - 2 * F.col("stderr_prec"), "high": F.col("mean_prec") + 2 * F.col("stderr_prec")})
 
 
-def resampled_bayes(seeds: DataFrame, samples: int, positives: int, negatives: int, top: int, smoothing: float = 1e-9) -> DataFrame:
-    """Monte-Carlo precision curve of naive Bayes: all samples at once, each trained on its own draw."""
+def draws(seeds: DataFrame, samples: int, positives: int, negatives: int) -> DataFrame:
+    """The seeds once for each sample (from 0), with train: whether that sample's draw has them for training."""
     numbered = seeds.crossJoin(F.broadcast(seeds.sparkSession.range(samples).withColumnRenamed("id", "sample")))
     by = Window.partitionBy("sample", "ind")
     at = F.row_number().over(by.orderBy(shuffled(F.col("node"), F.col("sample")), "node"))
     most = F.least(F.when(F.col("ind") == 1, F.lit(positives)).otherwise(F.lit(negatives)), F.count("*").over(by) - 1)
-    drawn = numbered.withColumn("train", at <= most)
+    return numbered.withColumn("train", at <= most)
+
+
+def resampled_boost(seeds: DataFrame, samples: int, positives: int, negatives: int, top: int, rounds: int = 100) -> DataFrame:
+    """Monte-Carlo precision curve of boosted stumps: all samples at once, each trained on its own draw."""
+    from .models import boosted_samples
+
+    drawn = materialise(draws(seeds, samples, positives, negatives).select("sample", "node", F.col("ind").cast("double").alias("ind"), "features", "train"))
+    return resampled_curve(cumulative_precision(boosted_samples(drawn, rounds), ("sample",)), top)
+
+
+def resampled_bayes(seeds: DataFrame, samples: int, positives: int, negatives: int, top: int, smoothing: float = 1e-9) -> DataFrame:
+    """Monte-Carlo precision curve of naive Bayes: all samples at once, each trained on its own draw."""
+    drawn = draws(seeds, samples, positives, negatives)
     long = drawn.select("sample", "node", "ind", "train", F.posexplode("features").alias("pos", "x"))
     fit = long.where("train")
     least = fit.groupBy("sample", "pos").agg(F.var_pop("x").alias("v")).groupBy("sample").agg((F.max("v") * smoothing).alias("_add"))

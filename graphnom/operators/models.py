@@ -191,6 +191,74 @@ def stump_votes(x: np.ndarray, stumps: list[tuple[int, float, float, float]]) ->
     return out
 
 
+def class_weights_below(x: np.ndarray, label: np.ndarray, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """By class, place and how many of its cuts lie below the value: the weights of the rows."""
+    width, many = cuts.shape
+    total = np.zeros((2, width, many + 1))
+    for place in range(width):
+        at = np.searchsorted(cuts[place], x[:, place], "left")
+        for k in (0, 1):
+            total[k, place] += np.bincount(at[label == k], w[label == k], many + 1)
+    return total
+
+
+def next_stump(total: np.ndarray, cuts: np.ndarray) -> tuple[int, float, float, float] | None:
+    """The stump (place, cut, vote up to the cut, vote above it) whose leaves are purest by Gini, of equal ones that of
+    the first place, then of the least cut; None if no split helps. total: as class_weights_below gives it."""
+    if not np.isfinite(total).all() or not total.sum():
+        return None
+    low = total.cumsum(axis=2)[:, :, :-1] / total[:, :1].sum()
+    high = (total.sum(axis=2, keepdims=True) / total[:, :1].sum()) - low
+    purity = sum(2 * side[0] * side[1] / np.maximum(side.sum(axis=0), 1e-300) for side in (low, high))
+    place, cut = np.unravel_index(int(np.round(purity, 12).argmin()), purity.shape)
+    if min(low[:, place, cut].sum(), high[:, place, cut].sum()) <= 0:
+        return None
+    share = [np.clip(side[1, place, cut] / max(side[:, place, cut].sum(), 1e-300), 1e-12, 1 - 1e-12) for side in (low, high)]
+    return int(place), float(cuts[place, cut]), *(0.5 * math.log(q / (1 - q)) for q in share)
+
+
+def few_stumps(x: np.ndarray, label: np.ndarray, rounds: int) -> list[tuple[int, float, float, float]]:
+    """The stumps of as few rows as a sample draws, in one task: the cuts are the same quantiles of the rows."""
+    at = np.ceil(np.arange(1, STUMP_CUTS + 1) / (STUMP_CUTS + 1) * len(x)).astype(int) - 1
+    cuts = np.sort(x, axis=0)[at].T
+    votes, stumps = np.zeros(len(x)), []
+    for _ in range(rounds):
+        found = next_stump(class_weights_below(x, label, np.exp(-(2 * label - 1) * votes), cuts), cuts)
+        if found is None:
+            break
+        stumps.append(found)
+        votes += stump_votes(x, [found])
+    return stumps
+
+
+def boosted_samples(drawn: DataFrame, rounds: int = 100) -> DataFrame:
+    """drawn: sample, node, ind, features, train. sample, node, ind, prob of the rows that are not for training, each under
+    the boosted stumps of its sample: all samples are fitted in one pass, each in one task, as a sample draws a given
+    number of rows, and all rows are scored in another."""
+    ship_package(drawn.sparkSession)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = np.array(rows["features"].to_pylist(), float)
+        stumps = few_stumps(x, np.asarray(rows["ind"], float).astype(np.int64), rounds)
+        own = [list(map(float, v)) for v in zip(*stumps, strict=True)] or [[]] * 4
+        return pa.table({"sample": rows["sample"][:1], **{k: pa.array([v], pa.list_(pa.float64())) for k, v in zip(("place", "cut", "low", "high"), own, strict=True)}})
+
+    fitted = drawn.where("train").select("sample", "features", "ind").groupBy("sample").applyInArrow(fit, "sample long, place array<double>, cut array<double>, low array<double>, high array<double>")
+    # a few numbers for each round and sample
+    stumps = {r.sample: [(int(p), *v) for p, *v in zip(r.place, r.cut, r.low, r.high, strict=True)] for r in fitted.collect()}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sample = batch["sample"].to_numpy()
+            x = np.asarray(batch["features"].flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            votes = np.zeros(batch.num_rows)
+            for s in np.unique(sample).tolist():
+                votes[sample == s] = stump_votes(x[sample == s], stumps.get(s, []))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("sample", "node", "ind")], pa.array(1 / (1 + np.exp(-2 * votes)))], ["sample", "node", "ind", "prob"])
+
+    return drawn.where("not train").select("sample", "node", "ind", "features").mapInArrow(score, "sample long, node long, ind double, prob double")
+
+
 def boosted_stumps(train: DataFrame, test: DataFrame, rounds: int = 100, seed: int = 123) -> DataFrame:
     """AdaBoost of depth-1 trees with real-valued votes: each round votes half the log odds of its leaf, and rows
     gain weight by how wrong the votes have been. A round is one pass over the rows that returns the weights of each
@@ -208,29 +276,17 @@ def boosted_stumps(train: DataFrame, test: DataFrame, rounds: int = 100, seed: i
                 continue
             x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
             label = np.asarray(batch.column(1), float).astype(np.int64)
-            w = np.exp(-(2 * label - 1) * stump_votes(x, stumps))
-            for place in range(width):
-                at = np.searchsorted(cuts[place], x[:, place], "left")  # how many cuts lie below the value
-                for k in (0, 1):
-                    total[k, place] += np.bincount(at[label == k], w[label == k], many + 1)
+            total += class_weights_below(x, label, np.exp(-(2 * label - 1) * stump_votes(x, stumps)), cuts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["at", "w"])
 
     for _ in range(rounds):
         total = np.zeros(2 * width * (many + 1))
         for r in rows.mapInArrow(weights_below, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).collect():
             total[r["at"]] = r.w
-        total = total.reshape(2, width, many + 1)
-        if not np.isfinite(total).all() or not total.sum():
+        found = next_stump(total.reshape(2, width, many + 1), cuts)
+        if found is None:
             break
-        low = total.cumsum(axis=2)[:, :, :-1] / total[:, :1].sum()
-        high = (total.sum(axis=2, keepdims=True) / total[:, :1].sum()) - low
-        # the split whose leaves are purest by Gini; equal ones: the first place, then the least cut
-        purity = sum(2 * side[0] * side[1] / np.maximum(side.sum(axis=0), 1e-300) for side in (low, high))
-        place, cut = np.unravel_index(int(np.round(purity, 12).argmin()), purity.shape)
-        share = [np.clip(side[1, place, cut] / max(side[:, place, cut].sum(), 1e-300), 1e-12, 1 - 1e-12) for side in (low, high)]
-        if min(low[:, place, cut].sum(), high[:, place, cut].sum()) <= 0:
-            break  # no split helps any more
-        stumps.append((int(place), float(cuts[place, cut]), *(0.5 * math.log(q / (1 - q)) for q in share)))
+        stumps.append(found)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -139,6 +139,8 @@ def facet_curves(seeds: dict[tuple[str, bool], DataFrame], config: Config, sampl
         for name in classifiers:
             if name == "naive_bayes":
                 own = evaluate.resampled_bayes(rows, samples, positives, negatives, top)
+            elif name == "boost":
+                own = evaluate.resampled_boost(rows, samples, positives, negatives, top, config.num_trees)
             else:
                 own = evaluate.resampled(rows, samples, positives, negatives, top, classifier(config, name), config.n_jobs)
             own = own.select(F.lit(choice).alias("embedding_info"), F.lit(sphere).alias("sphere_content"), F.lit(name).alias("classifier"), "rank", "mean_prec", "stderr_prec", "low", "high")

@@ -519,6 +519,13 @@ def mc_precision_curve(f: Fixtures) -> DataFrame:
     return evaluate.resampled_bayes(f.features().where("ind is not null"), 50, 20, 40, 50).select("rank", *[r6(c) for c in ("mean_prec", "stderr_prec", "low", "high")])
 
 
+@query()
+def mc_precision_boost(f: Fixtures) -> DataFrame:
+    """The harness's curve of boosted stumps, 50 samples."""
+    curve = evaluate.resampled_boost(f.features().where("ind is not null"), 50, 20, 40, 50, Config().num_trees)
+    return curve.select("rank", *[r6(c) for c in ("mean_prec", "stderr_prec", "low", "high")])
+
+
 @query(f"""WITH {NB}, j AS (SELECT node, mom.label, sum(-0.5 * ln(2 * pi() * (v + a)) - (x - m) * (x - m) / (2 * (v + a))) + ln(max(n) / (SELECT sum(n) FROM cls)) AS l
     FROM long JOIN mom ON long.pos = mom.pos JOIN cls ON mom.label = cls.label, adds WHERE ind IS NULL GROUP BY node, mom.label)
   SELECT a.node, round(1 / (1 + exp(b.l - a.l)), 9) AS prob FROM j a JOIN j b ON a.node = b.node AND a.label = 1 AND b.label = 0 ORDER BY 1 / (1 + exp(b.l - a.l)) DESC, a.node LIMIT 50""")

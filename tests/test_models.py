@@ -333,3 +333,16 @@ def test_left_out_models_are_those_of_single_fits(spark, monkeypatch):
         for k, (ind, prob) in got.items():
             assert ind == y[k] and abs(prob - plain(k)) < 1e-5
     assert models.left_out_logreg(seeds, held.where("false")).count() == 0
+
+
+def test_boosted_samples_are_those_of_single_fits(sample):
+    seeds = sample.withColumn("ind", F.col("ind").cast("double"))
+    got = {(r.sample, r.node): r.prob for r in models.boosted_samples(evaluate.draws(seeds, 3, 12, 9), 7).collect()}
+    assert len(got) == 3 * (60 - 21)
+    for k in (0, 2):
+        drawn = seeds.join(evaluate.seed_sample(seeds, 12, 9, k).select("node", "train"), "node")
+        for r in models.boosted_stumps(drawn.where("train"), drawn.where("not train"), 7).collect():
+            assert got[k, r.node] == pytest.approx(r.prob)
+    one = evaluate.resampled_boost(seeds, 3, 12, 9, 20, 7)
+    other = evaluate.resampled(seeds, 3, 12, 9, 20, lambda a, b: models.boosted_stumps(a, b, 7))
+    assert np.allclose(*[sorted(map(tuple, curve.collect())) for curve in (one, other)])
