@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, conversations, ctw, html_extract, langid, mixing, near_dedup, pieces, secret_scan, url_filter, variants
+from . import bpe, conversations, ctw, html_extract, langid, mixing, near_dedup, oracles, pieces, secret_scan, url_filter, variants
 from .merkle import merkle_neighbours
 from .quality import quality
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(C.table(spark, sf_dir, "documents"))
+    return near_dedup.classes(C.table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op2_secret_scans": oracles.secrets(secret_scan.EXAMPLE_REPOSITORIES, secret_scan.EXAMPLE_OWNERS),
+    "op11_spelling_variants": oracles.VARIANTS,
+    "op12_conversation_repair": oracles.CONVERSATIONS,
+}
