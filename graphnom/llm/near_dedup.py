@@ -134,7 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(offsets) - 1
         keys, nodes, sizes = np.zeros((n, BANDS), K.U64), np.zeros(n, K.U64), np.zeros(n, np.int32)
         short: list[tuple[np.ndarray, ...]] = []  # few shingles need many arrivals each: those texts go together
-        for lo, hi, part, places in K.pieces(data, offsets):
+        for lo, hi, part, places in K.pieces(data, offsets, K.PIECE_BYTES):
             hashes, firsts, nodes[lo:hi] = shingles(part, places)
             sizes[lo:hi] = np.where(np.diff(firsts) > 0, BANDS, 0)
             rows, hashes, weights = weighted(hashes, firsts)
@@ -309,7 +309,7 @@ def shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
         for batch in batches:
             data, offsets = K.buffer_of(batch.column(0))
             ids = batch.column(1).to_numpy()
-            for lo, hi, part, places in K.pieces(data, offsets):
+            for lo, hi, part, places in K.pieces(data, offsets, K.PIECE_BYTES):
                 hashes, firsts, own = shingles(part, places)
                 own = own.view(np.int64)
                 at = row_hash(own, ids[lo:hi]) % FILTER_BITS
