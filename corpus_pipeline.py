@@ -15,30 +15,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules reject go; rows are judged one by one, so equal rows stay or go together.
     Null, empty and wordless texts fail the base rule; an empty table stays empty; columns of any names are kept."""
     labels = C.table(spark, sf_dir, "labels")
-    return C.unpacked(quality(C.packed(docs), labels.where("quality = 1"), labels.where("quality = 0"), keep=("_doc",)).where("kept"))
+    return C.few_parts(C.unpacked(quality(C.packed(docs), labels.where("quality = 1"), labels.where("quality = 0"), keep=("_doc",)).where("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that of the least doc_id (null ids last; of equal ids the
     least hash of the row). Null and wordless texts are one class; of equal rows one stays; an empty table stays empty."""
-    return near_dedup.survivors(docs)
+    return C.few_parts(near_dedup.survivors(docs))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by marks, n_chars is the new length; every row stays. A null text stays null; equal rows
     are changed alike; of overlapping values the first is replaced whole; an empty table stays empty."""
-    return secret_scan.redact(docs)
+    return C.few_parts(secret_scan.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row stands as often as the mix takes it, up to twice. Null sources are one source; wordless texts stand as
     often as their whole source is taken; equal rows are taken one by one; an empty table stays empty."""
-    return mixing.mixed(docs)
+    return C.few_parts(mixing.mixed(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its ids, checked by decoding. Null and empty texts have no ids; an empty table stays empty."""
-    return pieces.tokenize(docs, pieces.model_bytes(), keep=("doc_id", "lang", "source"))
+    return C.few_parts(pieces.tokenize(docs, pieces.model_bytes(), keep=("doc_id", "lang", "source")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

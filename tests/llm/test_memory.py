@@ -30,3 +30,12 @@ def test_kernels_take_texts_by_small_pieces():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(map(len, texts)) > 3_000_000 and peak < 24_000_000
+
+
+def test_small_tables_are_written_in_few_files(spark):
+    rows = spark.range(0, 2000, 1, 300)
+    written = C.materialise(rows)
+    assert len(written.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism < 300
+    assert sorted(r.id for r in written.collect()) == list(range(2000))
+    large = spark.range(0, 1 << 24, 1, 60)  # 8 bytes a row: as many parts as before
+    assert C.few_parts(large).rdd.getNumPartitions() == min(60, -(-large.count() * 8 // (4 << 20)))
