@@ -13,7 +13,8 @@ that merging the whole text gives. (Summing the scores of such a model, which ar
 the model's own encoder does not.) A character without a piece is spelled in byte pieces.
 
 Borders that no piece spans are known beforehand: there every way meets. Texts are cut at them, every cut goes
-through the window, and the ids of short cuts are remembered in front of it, a bounded number of them.
+through the window, and the ids of short cuts are remembered in front of it, a bounded number of them. The many cuts
+of a batch that fit the window go through it side by side: the same place of all of them at a time.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 decodes to a space, as the
 model writes spaces with it; of equal scores the longer last piece wins; a very long text is searched in one pass,
@@ -42,6 +43,9 @@ SPACE = "▁"
 MEMORY, PAIRS = 120_000, 150_000
 #: Longest cut whose ids are remembered, in characters.
 REMEMBERED = 64
+#: Fewest cuts that go through the window side by side, most that do at a time, and places for the pairs judged for
+#: them (a power of two).
+FEWEST, SIDE_BY_SIDE, JUDGED = 1500, 8192, 1 << 19
 
 
 class Vocabulary:
@@ -116,9 +120,153 @@ def way_to(end: int, last: dict[int, str], start: int = 0) -> list[str]:
     return out[::-1]
 
 
+class Tables:
+    """A byte-pair vocabulary as arrays, by which many cuts go through the window side by side."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, v = encoder, encoder.v
+        self.longest, self.n = v.longest, 1 + max(v.ids.values())
+        self.piece, self.score, self.length = [""] * self.n, np.zeros(self.n), np.zeros(self.n, np.int64)
+        nodes: dict[str, int] = {}  # prefixes of pieces
+        whole = []  # the piece that a prefix is, or -1
+        edges = []  # from prefix and character, in order of the prefixes that they lead to
+        joins = {}  # from two pieces whose texts make a third
+        for p, k in v.ids.items():
+            self.piece[k], self.score[k], self.length[k] = p, v.scores[p], len(p)
+            for end in range(1, len(p) + 1):
+                if (head := p[:end]) not in nodes:
+                    nodes[head] = len(whole)
+                    edges.append(((nodes[head[:-1]] + 1 if end > 1 else 0) << 21) | ord(head[-1]))
+                    whole.append(v.ids.get(head, -1))
+                if end < len(p) and (a := v.ids.get(head)) is not None and (b := v.ids.get(p[end:])) is not None:
+                    joins[a * self.n + b] = v.scores[p]
+        self.whole = np.array(whole, np.int32)
+        keys = np.array(edges, np.int64)
+        self.edge_to = np.argsort(keys)
+        self.edge_keys = keys[self.edge_to]
+        self.join_keys = np.array(sorted(joins) or [-1], np.int64)
+        self.join_scores = np.array([joins[k] for k in self.join_keys.tolist()] if joins else [0.0])
+        # what each piece's last merge joins: -1 nothing, -2 not asked yet, -3 not told
+        self.left, self.right = np.full(self.n, -2), np.full(self.n, -2)
+        # judged pairs, twice the key and one if allowed; each key has one place, where the latest pair stays
+        self.judged = np.full(JUDGED, -1, np.int64)
+
+    def ask(self, pieces: np.ndarray) -> None:
+        """Brings in the halves of pieces that were not asked for before."""
+        for k in np.unique(pieces[self.left[pieces] == -2]).tolist():
+            halves = self.encoder.halves_of(self.piece[k])
+            ids = (-3, -3) if halves is None else [self.encoder.v.ids.get(h, -3) for h in halves] or (-1, -1)
+            self.left[k], self.right[k] = (-3, -3) if -3 in ids else ids
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The scores of the pieces that the texts of two make, minus infinity if they make none."""
+        keys = a * self.n + b
+        at = np.minimum(np.searchsorted(self.join_keys, keys), len(self.join_keys) - 1)
+        return np.where(self.join_keys[at] == keys, self.join_scores[at], -np.inf)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`Encoder.pair` of many pairs at once: the steps of `Encoder.apart`, one of all pairs at a time."""
+        good, at, pairs = np.ones(len(a), bool), np.arange(len(a)), (a, b)
+        bound, tie = np.full(len(a), -np.inf), np.zeros(len(a), bool)
+        while len(at):
+            across = self.joined(a, b)
+            crossed = (across > bound) | (tie & (across == bound))
+            good[at[crossed]] = False
+            on = ~crossed
+            self.ask(a[on])
+            self.ask(b[on])
+            untold = on & ((self.left[a] == -3) | (self.left[b] == -3))
+            for k in at[untold].tolist():
+                good[k] = self.encoder.pair(*(self.piece[x[k]] for x in pairs))
+            on &= ~untold & ((self.left[a] >= 0) | (self.left[b] >= 0))
+            at, a, b = at[on], a[on], b[on]
+            undo_left = (self.left[a] >= 0) & ~((self.left[b] >= 0) & (self.score[b] <= self.score[a]))
+            bound, tie = np.where(undo_left, self.score[a], self.score[b]), ~undo_left
+            a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
+        return good
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same by what is judged already."""
+        keys = a * self.n + b
+        place = (keys * 0x9E3779B1 >> 12) & (JUDGED - 1)
+        found = self.judged[place]
+        if (new := found >> 1 != keys).any():
+            asked, which = np.unique(keys[new], return_inverse=True)
+            told = asked * 2 + self.apart(asked // self.n, asked % self.n)
+            found[new] = told[which]
+            self.judged[place[new]] = found[new]
+        return (found & 1).astype(bool)
+
+    def matches(self, text: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places, lengths and pieces of all that fit in a text, by length. room: how many characters of its cut
+        there are from each place on."""
+        at, node = np.arange(len(text)), np.zeros(len(text), np.int64)
+        first, size, piece = [], [], []
+        for depth in range(1, self.longest + 1):
+            keys = node << 21 | text[at + (depth - 1)]
+            edge = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
+            there = np.flatnonzero(self.edge_keys[edge] == keys)
+            at, node = at[there], self.edge_to[edge[there]]
+            found = self.whole[node]
+            good = np.flatnonzero(found >= 0)
+            first.append(at[good])
+            size.append(np.full(len(good), depth))
+            piece.append(found[good])
+            on = np.flatnonzero(room[at] > depth)
+            at, node = at[on], node[on] + 1
+        return np.concatenate(first), np.concatenate(size), np.concatenate(piece)
+
+    def search(self, cuts: list[str]) -> list[bytes | None]:
+        """The ids of cuts that the window holds whole, as 32-bit numbers; None if a character is without a piece."""
+        text = np.frombuffer("".join(cuts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n, sizes = len(cuts), np.fromiter(map(len, cuts), np.int64, len(cuts))
+        ends = np.cumsum(sizes)
+        own = np.repeat(np.arange(n), sizes)
+        first, size, piece = self.matches(text, ends[own] - np.arange(len(text)))
+        spelled = np.bincount(own[first[: np.searchsorted(size, 2)]], minlength=n) == sizes
+        # pieces by the place they end at, at each place the longest last
+        own = own[first]
+        end = first - (ends - sizes)[own] + size
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        own, size, piece, end = own[order], size[order], piece[order], end[order]
+        # by place and cut: the last piece of the allowed way to it
+        last = np.full((self.longest + 1, n), -1, np.int64)
+        at = np.searchsorted(end, np.arange(self.longest + 2))
+        for k in range(1, self.longest + 1):
+            some = slice(at[k], at[k + 1])
+            cut, to, before = own[some], piece[some], k - size[some]
+            was = last[before, cut]
+            good = before == 0
+            asked = np.flatnonzero(was >= 0)
+            good[asked] = self.allowed(was[asked], to[asked])
+            last[k, cut[good]] = to[good]
+        spelled &= last[sizes, np.arange(n)] >= 0
+        # the ways, followed back together
+        on = np.flatnonzero(spelled)
+        place = sizes[on]
+        ways, cut_of = [], []
+        while len(on):
+            to = last[place, on]
+            ways.append(to)
+            cut_of.append(on)
+            place = place - self.length[to]
+            left = np.flatnonzero(place)
+            on, place = on[left], place[left]
+        if not ways:
+            return [None] * n
+        ids, cut = np.concatenate(ways[::-1]).astype(np.int32), np.concatenate(cut_of[::-1])
+        flat = ids[np.argsort(cut, kind="stable")].tobytes()
+        bounds = (np.cumsum(np.bincount(cut, minlength=n)) * 4).tolist()
+        out: list[bytes | None] = [flat[lo:hi] for lo, hi in itertools.pairwise([0, *bounds])]
+        for k in np.flatnonzero(~spelled).tolist():
+            out[k] = None
+        return out
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.tables: Tables | None = None
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was remembered before the memory was last full
         self.allowed: dict[tuple[str, str], bool] = {}
@@ -277,39 +425,77 @@ class Encoder:
                 out += spell[np.frombuffer(piece.encode(), np.uint8)].tolist()
         return array("i", out).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def searched_cuts(self, cuts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Distinct cuts and their ids: the short ones side by side if there are many, all others one by one."""
+        short = [c for c in cuts if len(c) <= self.v.longest] if self.v.pairs else []
+        if len(short) < FEWEST:
+            yield from ((c, self.ids_of(c)) for c in cuts)
+            return
+        self.tables = self.tables or Tables(self)
+        step = -(-len(short) // -(-len(short) // SIDE_BY_SIDE))
+        for lo in range(0, len(short), step):
+            some = short[lo : lo + step]
+            found = self.tables.search(some)
+            self.searched += sum(len(c) for c, ids in zip(some, found, strict=True) if ids is not None)
+            yield from ((c, self.ids_of(c) if ids is None else ids) for c, ids in zip(some, found, strict=True))
+        yield from ((c, self.ids_of(c)) for c in cuts if len(c) > self.v.longest)
+
+    def parts(self, text: str) -> list[str]:
+        """The text as written, split at borders that no piece spans: into words with the space before them, into cuts
+        where runs of spaces go across words."""
         if not text:
-            return np.zeros(0, np.int32)
-        written = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
-        if self.v.cut is None:
-            return np.frombuffer(self.ids_of(written), np.int32)
-        memory = self.memory
-        if "  " in text or text[0] == " " or SPACE in text:  # runs of spaces go across words
-            return np.frombuffer(b"".join([memory.get(cut) or self.cut_ids(cut) for cut in self.v.cut.findall(written)]), np.int32)
-        # a word's cuts are those of the word with the space before it
+            return []
+        if self.v.cut is None or "  " in text or text[0] == " " or SPACE in text:
+            written = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
+            return [written] if self.v.cut is None else self.v.cut.findall(written)
         parts = (SPACE + text).replace(" ", " " + SPACE).split(" ")
         if not self.v.prefix:
             parts[0] = parts[0][1:]
-        return np.frombuffer(b"".join([memory.get(w) or self.word_ids(w) for w in parts]), np.int32)
-
-    def remember(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= REMEMBERED:
-            if len(self.memory) >= MEMORY:
-                self.older = self.memory.copy()
-                self.memory.clear()
-            self.memory[text] = ids
-        return ids
-
-    def word_ids(self, word: str) -> bytes:
-        if found := self.older.get(word):
-            return self.remember(word, found)
-        cuts = self.v.cut.findall(word)
-        if len(cuts) == 1:
-            return self.remember(word, self.ids_of(word))
-        return self.remember(word, b"".join([self.memory.get(cut) or self.cut_ids(cut) for cut in cuts]))
+        return parts
+
+    def solved(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts that the memory lacks: those there were before it, or else of their cuts."""
+        older, findall = self.older.get, self.v.cut.findall if self.v.cut else lambda p: [p]
+        out: dict[str, bytes] = {}
+        single, made = [], []  # parts that are one cut, and those of several with these (a cut stays one)
+        for p in parts:
+            if ids := older(p):
+                out[p] = ids
+            elif len(own := findall(p)) == 1:
+                single.append(p)
+            else:
+                made.append((p, own))
+        cuts = dict.fromkeys(itertools.chain.from_iterable(own for _, own in made))
+        for c in cuts:
+            cuts[c] = self.memory.get(c) or older(c)
+        out.update(self.searched_cuts(list(dict.fromkeys(itertools.chain(single, (c for c, ids in cuts.items() if ids is None))))))
+        for c, ids in cuts.items():
+            out[c] = ids or out[c]
+        for p, own in made:
+            out[p] = b"".join([out[c] for c in own])
+        return out
+
+    def remember(self, found: dict[str, bytes]) -> None:
+        """Keeps short ones; of more than the memory holds, the first."""
+        if len(found) > MEMORY or max(map(len, found)) > REMEMBERED:
+            found = dict(itertools.islice(((c, ids) for c, ids in found.items() if len(c) <= REMEMBERED), MEMORY))
+        if len(self.memory) + len(found) > MEMORY:
+            self.older, self.memory = self.memory, {}
+        self.memory.update(found)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. What the memory lacks is solved once for all texts."""
+        rows = [self.parts(t) for t in texts]
+        distinct = dict.fromkeys(itertools.chain.from_iterable(rows))
+        known = dict(zip(distinct, map(self.memory.get, distinct), strict=True))
+        if missing := [p for p, ids in known.items() if ids is None]:
+            solved = self.solved(missing)
+            self.remember(solved)
+            known.update(solved)
+        return [np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32) for row in rows]
 
-    def cut_ids(self, cut: str) -> bytes:
-        return self.remember(cut, self.older.get(cut) or self.ids_of(cut))
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
 
 #: The encoder of a worker, under its model's digest: the tasks of a worker share what it remembers.
@@ -345,8 +531,8 @@ def tokenize(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",),
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                texts = [x.as_py() or "" for x in batch.column(0)]
-                ids = [encoder.encode(t) for t in texts]
+                texts = [x or "" for x in batch.column(0).to_pylist()]
+                ids = encoder.encode_batch(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))]
                 names = ["ids"]

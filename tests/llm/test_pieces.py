@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from graphnom.llm import pieces as P
@@ -64,6 +65,50 @@ def test_pairs_are_told_by_halves(model):
                 assert encoder.pair(a, b) == (encoder.merged(a + b) == [a, b]), (a, b, v.scores)
 
 
+def test_many_cuts_are_searched_side_by_side(model):
+    """None of them one by one; ids as the library's, with long cuts, signs without a piece and runs of spaces among them."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("aeiouéthnrs") for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
+    encoder = P.Encoder(P.Vocabulary(model))
+    one_by_one, asked = encoder.whole, []
+    encoder.whole = lambda cut: asked.append(cut) or one_by_one(cut)
+    text = " ".join(words)
+    assert encoder.encode(text).tolist() == library.encode(text) and not asked
+    assert encoder.searched == sum(map(len, {c for w in words for c in encoder.v.cut.findall(P.SPACE + w)}))
+    texts = [" ".join("".join(rnd.choice(LETTERS) for _ in range(rnd.randint(1, 30))) for _ in range(200)) for _ in range(40)]
+    texts += ["", " ", "\U0001f9ff", "a" * 500, "x\U0001f9ffy " * 3, text]
+    encoder = P.Encoder(P.Vocabulary(model))
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == library.encode(texts) and encoder.tables is not None
+    assert [encoder.encode(t).tolist() for t in texts] == library.encode(texts)
+
+
+def test_pairs_are_told_side_by_side(model, monkeypatch):
+    """As one by one, also where halves do not tell, and where pairs push each other out of their place."""
+    monkeypatch.setattr(P, "JUDGED", 16)
+    rnd = random.Random(12)
+    v = P.Vocabulary(model)
+    for _ in range(60):
+        v.scores = {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 5))): float(rnd.randint(-9, 0)) for _ in range(14)} | {"a": -20.0, "b": -21.0, "c": -21.0}
+        v.ids = {p: k for k, p in enumerate(v.scores)}
+        v.index()
+        encoder = P.Encoder(v)
+        tables = P.Tables(encoder)
+        pairs = [(a, b) for a in v.ids for b in v.ids]
+        for _ in range(2):
+            got = tables.allowed(*np.array([(v.ids[a], v.ids[b]) for a, b in pairs]).T)
+            assert got.tolist() == [encoder.merged(a + b) == [a, b] for a, b in pairs], v.scores
+        while made := [p for p in v.ids if encoder.merged(p) != [p]]:  # no way goes over a piece that merging does not give
+            for p in made:
+                del v.ids[p], v.scores[p]
+        v.index()
+        tables = P.Tables(encoder := P.Encoder(v))
+        cuts = list({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, v.longest))) for _ in range(50)} | {"d", "ad"[: v.longest]})
+        for cut, ids in zip(cuts, tables.search(cuts), strict=True):
+            assert (ids is None) == ("d" in cut)
+            assert ids is None or np.frombuffer(ids, np.int32).tolist() == [v.ids[p] for p in encoder.merged(cut)]
+
+
 def test_every_cut_goes_through_the_window(model):
     v = P.Vocabulary(model)
     encoder = P.Encoder(v)
