@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import mapped
 from .ranges import running
 
 
@@ -48,7 +52,7 @@ class Attributes:
         """line, value: a banner, the totals and the ranked values of each type."""
         head = self.totals().select("type", F.lit(-2).alias("at"), F.format_string("=== %s ===", "type").alias("value"))
         total = self.totals().select("type", F.lit(-1).alias("at"), F.format_string("%d values, %d instances", "n_values", "n_instances").alias("value"))
-        top = self.ranked(rank_thresh).select("type", F.col("rank").alias("at"), F.format_string("%d\t%s\t%d\t%.4f", "rank", "val", "freq", "cumulative_pct").alias("value"))
+        top = mapped(self.ranked(rank_thresh).select("type", "rank", "val", "freq", "cumulative_pct"), report_lines, "type string, at int, value string")
         rows = head.unionByName(total).unionByName(top)
         return rows.select((F.row_number().over(Window.orderBy("type", "at")) - 1).alias("line"), "value")
 
@@ -64,6 +68,15 @@ class Attributes:
         return out.join(known, "type")
 
 
+def report_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of ranked values. C's %.4f rounds the number as it is held, to even where it lies half way; Java's rounds
+    its shortest decimal form up, so 29.36875, held as a little less, would come out as 29.3688."""
+    for batch in batches:
+        rows = zip(*[batch[c].to_pylist() for c in ("rank", "val", "freq", "cumulative_pct")], strict=True)
+        lines = [None if None in r else "%d\t%s\t%d\t%.4f" % r for r in rows]
+        yield pa.RecordBatch.from_arrays([batch["type"], batch["rank"], pa.array(lines, pa.string())], ["type", "at", "value"])
+
+
 def log_ranks(ranked: DataFrame) -> DataFrame:
     """What a log-log rank plot draws: log10 of the rank from 1 and of the frequency."""
     return ranked.select("type", "val", F.log10(F.col("rank") + 1.0).alias("log_rank"), F.log10(F.col("freq").cast("double")).alias("log_freq"))

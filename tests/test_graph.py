@@ -214,3 +214,9 @@ def test_safe_division(spark):
     assert [r[0] for r in rows.select(M.safe_divide(F.col("a"), F.col("b"))).collect()] == [0, 0, math.inf, -math.inf, 1.5]
     one = spark.createDataFrame([(1.0, 1.0, 1.0), (0.0, 0.5, 0.5)], "ab double, a double, b double")
     assert [r[0] for r in one.select(M.npmi1_s(F.col("ab"), F.col("a"), F.col("b"))).collect()] == [0, 0]
+
+
+def test_report_rounds_a_share_as_it_is_held(spark):
+    """3197 of 3200 are 99.90625 %, half way between two lines of four digits: to even, as C's printf has it."""
+    rows = spark.range(3200).select("id", F.lit("t").alias("attributeType"), F.when(F.col("id") < 3197, "a").otherwise("b").alias("attributeVal"))
+    assert [r.value for r in Attributes(rows).report(2).orderBy("line").collect()] == ["=== t ===", "2 values, 3200 instances", "0\ta\t3197\t99.9062", "1\tb\t3\t100.0000"]
