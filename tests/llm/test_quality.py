@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from graphnom.llm import quality as Q
+from pyspark.sql import functions as F
 
 from .plain import buckets as plain_buckets
 
@@ -95,3 +96,30 @@ def test_without_labels(spark, docs):
     assert Q.quality(docs, none).where("score <> 0 or kept <> (not base_failed and 0 >= -0.115)").count() == 0
     assert Q.quality(docs.limit(0), labels(spark, [1]), none).count() == 0
     assert Q.quality(docs, labels(spark, [1]), labels(spark, [100])).where(f"kept <> (not base_failed and score >= {Q.THRESHOLD})").count() == 0
+
+
+def test_all_labels_count(spark, docs):
+    """Of 400,000 labelled ids a few are documents: none of them is left out."""
+    want = sorted(map(str, Q.quality(docs, labels(spark, range(30)), labels(spark, range(100, 130))).collect()))
+    far = spark.range(10**6, 10**6 + 200_000).withColumnRenamed("id", "doc_id")
+    got = Q.quality(docs, labels(spark, range(30)).unionByName(far), labels(spark, range(100, 130)).unionByName(far.selectExpr("doc_id + 1000000 as doc_id")))
+    assert sorted(map(str, got.collect())) == want
+
+
+def test_joined_labels_and_running_counts(spark, docs, monkeypatch):
+    good, bad = labels(spark, [*range(30), None, 3, 110]), labels(spark, [*range(100, 130), 5000])
+    want = sorted(map(str, Q.quality(docs, good, bad).collect()))
+    named = [d.withColumn("doc_id", F.col("doc_id").cast("string")) for d in (docs, good, bad)]
+    texts = sorted(map(str, Q.quality(*named).withColumn("doc_id", F.col("doc_id").cast("long")).collect()))
+    monkeypatch.setattr(Q, "SENT_IDS", 0)
+    monkeypatch.setattr(Q, "DRIVER_SCORES", 0)
+    assert sorted(map(str, Q.quality(docs, good, bad).collect())) == want == texts
+
+
+def test_parted_is_parting(spark, monkeypatch):
+    monkeypatch.setattr(Q, "DRIVER_SCORES", 0)
+    rnd = np.random.default_rng(4)
+    for n in (60, 4):
+        good, bad = np.round(rnd.normal(1, 1, n), 1), np.round(rnd.normal(-1, 1, 70), 1)
+        rows = spark.createDataFrame([(True, float(v)) for v in good] + [(False, float(v)) for v in bad], "_good boolean, score double")
+        assert Q.parted(rows) == Q.parting(good, bad)
