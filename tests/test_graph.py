@@ -5,9 +5,11 @@ import math
 import numpy as np
 import pytest
 from graphnom.functions import measures as M
-from graphnom.operators import algebra, blocks, cooccur, graph, spectral
+from graphnom.operators import algebra, blocks, cooccur, graph, neighbours, spectral
 from graphnom.operators.attributes import Attributes, check_seeds
 from graphnom.plans.embeddings import content_operator, node_operator, variant
+from graphnom.plans.tables import run_folder
+from graphnom.sources.readers import listing
 from pyspark.sql import functions as F
 
 
@@ -220,3 +222,78 @@ def test_report_rounds_a_share_as_it_is_held(spark):
     """3197 of 3200 are 99.90625 %, half way between two lines of four digits: to even, as C's printf has it."""
     rows = spark.range(3200).select("id", F.lit("t").alias("attributeType"), F.when(F.col("id") < 3197, "a").otherwise("b").alias("attributeVal"))
     assert [r.value for r in Attributes(rows).report(2).orderBy("line").collect()] == ["=== t ===", "2 values, 3200 instances", "0\ta\t3197\t99.9062", "1\tb\t3\t100.0000"]
+
+
+def random_edges(spark, n, many, seed):
+    """Edges with copies, turned copies and loops; and their dense adjacency."""
+    rng = np.random.default_rng(seed)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, n, (many, 2))] + [(3, 3), (3, 3), (n - 1, 0), (0, n - 1)]
+    pairs += [(7, k) for k in range(n)]  # one end of many edges
+    a = np.zeros((n, n))
+    for i, j in pairs:
+        a[i, j] += 1
+        a[j, i] += i != j
+    return spark.createDataFrame(pairs, "src long, dst long").repartition(5), a
+
+
+@pytest.fixture
+def small_rows(monkeypatch):
+    """Blocks of 64 rows, groups of 128 columns, many packs."""
+    monkeypatch.setattr(blocks, "TILE", 64)
+    for name, value in (("GROUP", 128), ("PACKED", 100), ("SORTED", 150)):
+        monkeypatch.setattr(neighbours, name, value)
+
+
+def test_a_product_by_rows(spark, monkeypatch, small_rows):
+    """Vectors are sent by pieces: some columns over a group of ids."""
+    monkeypatch.setattr(neighbours, "SENT", 2500)
+    edges, a = random_edges(spark, 150, 600, 5)
+    op = algebra.adjacency(edges)
+    assert op.shape == (150, 150)
+    x = block_of(blocks.unpack(blocks.dealt(spark, 150, 3, 1), 3), 150, 3)
+    assert np.allclose(block_of(blocks.unpack(op.product(blocks.dealt(spark, 150, 3, 1), 3), 3), 150, 3), a @ x)
+
+
+def test_pairs_of_an_adjacency_in_one_task(spark, small_rows):
+    edges, a = random_edges(spark, 300, 1500, 5)
+    op = algebra.adjacency(edges)
+    values, vectors = spectral.eigenpairs(op, 4, spark, tol=1e-8)
+    x, want = block_of(vectors, 300, 4), np.linalg.eigvalsh(a)
+    assert np.allclose(values, want[np.argsort(-np.abs(want))][:4], atol=1e-6)
+    assert np.abs(a @ x - x * values).max() < 1e-5 and np.abs(x.T @ x - np.eye(4)).max() < 1e-8
+    with pytest.raises(ArithmeticError):
+        spectral.eigenpairs(op, 4, spark, tol=1e-15, most=3)
+
+
+@pytest.mark.parametrize("held", [1 << 28, 0])
+def test_of_equal_values_the_vector_of_powers(spark, monkeypatch, held):
+    """The leading pair in one task and step by step, of a graph twice over: powers times the ones tend to this vector."""
+    monkeypatch.setattr(spectral, "HELD", held)
+    edges, a = random_edges(spark, 100, 900, 7)
+    twice = edges.unionByName(edges.select(F.col("src") + 100, F.col("dst") + 100).toDF("src", "dst"))
+    values, vectors = spectral.eigenpairs(algebra.adjacency(twice), 1, spark, tol=1e-6, ones=True)
+    x = block_of(vectors, 200, 1)[:, 0]
+    assert values[0] == pytest.approx(np.linalg.eigvalsh(a)[-1]) and np.allclose(x[:100], x[100:], atol=1e-7) and (x > 0).all()
+
+
+def test_the_solver_removes_what_a_step_leaves(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "NARROW", 2)
+    edges, a = random_edges(spark, 200, 900, 6)
+    matrix = graph.adjacency(edges).cache()
+    sizes = lambda: set(listing(spark, run_folder(spark)))
+    before = sizes()
+    values, vectors = spectral.eigenpairs(algebra.sparse((200, 200), matrix, True), 3, spark, tol=1e-6)
+    left = sizes() - before
+    assert len(left) <= 4  # tiles, their slices, the vectors
+    x = block_of(vectors, 200, 3)
+    assert np.abs(a @ x - x * values).max() < 1e-4
+
+
+@pytest.mark.parametrize("a", [np.eye(40) * 2.0 + np.diag(np.arange(40) >= 25) * 1.0, np.kron(np.eye(2), np.ones((9, 9)) - np.eye(9)), np.outer(np.arange(30), np.arange(30)) * 1.0, np.ones((1, 1))])
+def test_pairs_held_in_a_task_where_the_krylov_space_ends_early(a):
+    n = len(a)
+    k = min(18 if n == 40 else 4, max(n - 1, 1))
+    values, x, _, off = spectral.held_pairs(lambda v: a @ v, n, k, min(8, n), k + min(8, n), k + 160, 1e-9, 400, lambda m: np.random.default_rng(m).uniform(-1, 1, (n, min(8, n))))
+    want = np.sort(np.abs(np.linalg.eigvalsh(a)))[::-1]
+    assert off == 0 and len(values) == k and np.allclose(np.abs(values), want[:k], atol=1e-6)
+    assert np.abs(a @ x - x * values).max() < 1e-6 and np.abs(x.T @ x - np.eye(k)).max() < 1e-8
