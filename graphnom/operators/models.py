@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphnom.plans.shipping import ship_package
-from graphnom.plans.tables import materialise
+from graphnom.plans.tables import free, materialise
 
 from . import blocks
 from .features import log_density_constant
@@ -168,9 +168,33 @@ def sigmoid(score: Column) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
+#: Rows times trees that are grown at once: the driver holds these trees, whose nodes grow with the rows.
+GROWN = 2_000_000
+
+
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, seed: int = 123) -> DataFrame:
-    model = RandomForestClassifier(featuresCol="vector", labelCol="ind", numTrees=trees, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed).fit(_ready(train))
-    return model.transform(_ready(test)).select("node", F.element_at(vector_to_array("probability"), 2).alias("prob"))
+    """Trees are independent, so a forest of many rows is grown some trees at a time, each lot from its own seed. A lot
+    scores the rows and is let go; the probability is the mean over all trees."""
+
+    def grown(known: DataFrame, many: int, lot: int):
+        return RandomForestClassifier(featuresCol="vector", labelCol="ind", numTrees=many, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed + lot).fit(known)
+
+    chance = F.element_at(vector_to_array("probability"), 2)
+    each = max(1, GROWN // max(1, train.count()))
+    if each >= trees:
+        return grown(_ready(train), trees, 0).transform(_ready(test)).select("node", chance.alias("prob"))
+    known = materialise(_ready(train).select("vector", "ind"))
+    asked = materialise(_ready(test).select("node", "vector", F.monotonically_increasing_id().alias("_row")))
+    votes = None
+    for lot, first in enumerate(range(0, trees, each)):
+        many = min(each, trees - first)
+        model = grown(known, many, lot)
+        own = materialise(model.transform(asked).select("_row", "node", F.lit(lot).alias("lot"), (many * chance).alias("p")))
+        votes = own if votes is None else votes.unionByName(own)
+        del model
+        free(train.sparkSession)
+    lots = F.array_sort(F.collect_list(F.struct("lot", "p")))  # summed in order, so that equal rows stay equal
+    return votes.groupBy("_row", "node").agg((F.aggregate(lots, F.lit(0.0), lambda s, v: s + v["p"]) / trees).alias("prob")).select("node", "prob")
 
 
 #: Cuts of each feature that a stump may split at.

@@ -346,3 +346,24 @@ def test_boosted_samples_are_those_of_single_fits(sample):
     one = evaluate.resampled_boost(seeds, 3, 12, 9, 20, 7)
     other = evaluate.resampled(seeds, 3, 12, 9, 20, lambda a, b: models.boosted_stumps(a, b, 7))
     assert np.allclose(*[sorted(map(tuple, curve.collect())) for curve in (one, other)])
+
+
+def test_a_forest_grown_by_lots(spark, monkeypatch):
+    """As many trees as asked for, few at a time; the chances are the mean over all of them, one for each row."""
+    rows = models.gaussian_mixture(spark, 300, 3, seed=2).cache()
+    train, test = rows.where("node < 200"), rows.where("node >= 200")
+    asked = test.unionByName(test.limit(1))
+    grown, made = [], models.RandomForestClassifier
+
+    def forest(**options):
+        grown.append((options["numTrees"], options["seed"]))
+        return made(**options)
+
+    monkeypatch.setattr(models, "RandomForestClassifier", forest)
+    monkeypatch.setattr(models, "GROWN", 900)  # four trees at a time
+    got = models.random_forest(train, asked, 10, 5)
+    by = {r.node: r.prob for r in got.collect()}
+    assert grown == [(4, 5), (4, 6), (2, 7)] and got.count() == asked.count() == 101
+    monkeypatch.undo()
+    lots = [{r.node: r.prob for r in models.random_forest(train, test, many, s).collect()} for many, s in grown]
+    assert all(by[n] == pytest.approx((4 * lots[0][n] + 4 * lots[1][n] + 2 * lots[2][n]) / 10) for n in by)
